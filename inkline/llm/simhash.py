@@ -28,7 +28,7 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Most fingerprints that the driver sees, to place the upper levels of the trees.
 SAMPLE = 8192
 #: Fingerprints aimed at in a shard, and in a leaf that is compared block by block.
-SHARD, LEAF = 20_000, 384
+SHARD, LEAF = 4_000, 384
 
 
 def majority_bits(hashes: np.ndarray) -> int:
