@@ -31,7 +31,7 @@ from .words import as_bytes, in_chunks
 #: Stand-ins, no words since words hold no white space, for the end and the start of a text.
 END, START = b"\n", b" "
 #: Bytes of text in a block, tokens to a bucket, and the weight of the lower order.
-BLOCK_BYTES, BUCKET_TOKENS = 6 << 20, 2_000_000
+BLOCK_BYTES, BUCKET_TOKENS = 2 << 20, 2_000_000
 MU = 300.0
 
 
@@ -43,6 +43,15 @@ def expand(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=kind)
 
 
+def shrink_sorted(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as differences, their bytes by place: the upper places are mostly zero."""
+    return shrink(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.copy())
+
+
+def expand_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(expand(x, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
 def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Blocks of tokenized rows: ``block``, ``ids``, ``held``, ``sizes`` (tokens a row), ``words`` (of the block), ``tokens`` (numbers of words, row after row)."""
 
@@ -144,7 +153,7 @@ def ask(n_buckets: int):
             rows = []
             for kind in (0, 1):
                 keys, counts = (block.pair_hashes if kind else block.hashes), block.counts(kind).astype("<u4")
-                rows += [(2 * k + kind, number, shrink(keys[at]), shrink(counts[at])) for k, at in block.asked(kind, n_buckets)]
+                rows += [(2 * k + kind, number, shrink_sorted(keys[at]), shrink(counts[at])) for k, at in block.asked(kind, n_buckets)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "counts"])
 
@@ -154,7 +163,7 @@ def ask(n_buckets: int):
 def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Totals of one bucket, sent back to each block; for words also a row of their kinds and tokens."""
     frame = frame.sort_values("block", kind="stable")
-    keys = [expand(k, "<u8") for k in frame["keys"]]
+    keys = [expand_sorted(k) for k in frame["keys"]]
     counts = np.concatenate([expand(c, "<u4") for c in frame["counts"]]).astype(np.int64)
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
