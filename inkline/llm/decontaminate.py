@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WORD, as_bytes, in_chunks, split_words
+from .words import WORD, as_bytes, few, in_chunks, split_words
 
 #: Bytes of text in a shard, bytes of benchmark text searched for in one pass, and the distance between suffix samples.
-SHARD_BYTES, PART_BYTES, SAMPLED = 12 << 20, 1 << 20, 16
+SHARD_BYTES, PART_BYTES, SAMPLED = 4 << 20, 1 << 20, 16
 
 
 class FMIndex:
@@ -198,50 +198,54 @@ def parts_of(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFra
     return [benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k) if n > 1 else benchmark for k in range(n)]
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """``id_col``, ``text_col``, ``n_words``, ``spans`` (word ranges to remove, merged) and ``items`` (ids of items found, as strings) of every row.
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and, of every row, ``n_words``, ``spans`` (word ranges to remove, merged) and ``items`` (ids of items found, as strings).
 
     A phrase is any ``window`` consecutive words of an item, or a whole shorter item. Null and empty texts
     have no words; items without words are never found; a null item id is left out of ``items``. Rows are
-    never joined or shuffled, so repeated rows and ids stay as they are; other columns are ignored.
+    never joined or shuffled, so repeated rows and ids stay as they are; other columns are ignored. The
+    result has ``text_col`` too, first.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = f"`{id_col}` {kind}, `{text_col}` string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    first = ["_text", *(f"_{k}" for k in range(len(keep)))]  # plain names while rows pass through, whatever theirs are
 
     def search(phrases: Phrases):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = as_bytes(batch.column(1))
+            for batch in few(batches, 4096):
+                texts = as_bytes(batch.column(0))
                 for part in in_chunks(texts, SHARD_BYTES):
                     here = batch.slice(part.start, part.stop - part.start)
                     n_words, spans, items = find(texts[part], phrases)
-                    if batch.num_columns > 2:
-                        spans = [merge([(x["start"], x["end"]) for x in old], new) for old, new in zip(here.column(3).to_pylist(), spans, strict=True)]
-                        items = [sorted({*old, *new}) for old, new in zip(here.column(4).to_pylist(), items, strict=True)]
+                    if batch.num_columns > len(first):
+                        spans = [merge([(x["start"], x["end"]) for x in old], new) for old, new in zip(here.column("spans").to_pylist(), spans, strict=True)]
+                        items = [sorted({*old, *new}) for old, new in zip(here.column("items").to_pylist(), items, strict=True)]
                     spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], type=SPANS)
-                    yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array(n_words), spans, pa.array(items, type=pa.list_(pa.string()))], names=[id_col, text_col, "n_words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([*here.columns[: len(first)], pa.array(n_words), spans, pa.array(items, type=pa.list_(pa.string()))], names=[*first, "n_words", "spans", "items"])
 
         return run
 
-    out = docs.select(id_col, text_col)
+    out = docs.select(text_col, *keep).toDF(*first)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     for part in parts_of(benchmark, item_col, item_text_col):
         rows = part.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).collect()  # at most PART_BYTES, by parts_of
         out = out.mapInArrow(search(Phrases([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], window)), columns)
-    return out
+    return out.toDF(text_col, *keep, "n_words", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None, **how) -> DataFrame:
     """``docs`` with the removal spans cut from ``text_col``; the rows and the other columns stay. ``length_col``: a column that counts its characters anew."""
-    schema, names = docs.schema, docs.columns
-    at = names.index(text_col)
-    packed = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
-    found = contaminated_spans(packed, benchmark, id_col="row", text_col="text", **how)
+    names = docs.columns
+    others = tuple(n for n in names if n != text_col)
+    found = contaminated_spans(docs, benchmark, text_col, keep=others, **how)
+    inner = [f"_{k}" for k in range(len(others))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, type=pa.binary()).cast(pa.string()), batch.column(2)], names=["text", "row"])
-
-    cleaned = found.select("text", "spans", "row").mapInArrow(run, f"text string, row {schema.simpleString()}")
-    columns = [F.col("text").alias(n) if k == at else F.length("text").cast(schema[n].dataType).alias(n) if n == length_col else F.col("row")[n].alias(n) for k, n in enumerate(names)]
-    return cleaned.select(*columns)
+        for batch in few(batches):
+            spans = batch.column("spans").to_pylist()
+            text = batch.column(0)
+            if any(spans):
+                text = pa.array([cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(as_bytes(text), spans, strict=True)], type=pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([text, *batch.columns[1 : len(names)]], names=["_text", *inner])
+
+    kinds = ", ".join(f"{n} {docs.schema[o].dataType.simpleString()}" for n, o in zip(inner, others, strict=True))
+    cleaned = found.toDF("_text", *inner, "n_words", "spans", "items").mapInArrow(run, ", ".join(["_text string", *([kinds] if kinds else [])])).toDF(text_col, *others)
+    return cleaned.select(*(F.length(text_col).cast(docs.schema[n].dataType).alias(n) if n == length_col else F.col(n) for n in names))

@@ -9,7 +9,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import WORD, as_bytes, split_words
+from .words import WORD, as_bytes, few, split_words
 
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -160,7 +160,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             found = pa.array([scan(t) for t in as_bytes(batch.column(1))], type=KIND)
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.flatten()], names=[id_col, *(f.name for f in KIND)])
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import few
+
 #: Documents aimed at in a group that is packed together: so many that what its last sequences waste is far below a thousandth.
 GROUP = 50_000
 
@@ -55,20 +57,18 @@ def pieces(docs: DataFrame, json_path: str, rank_path: str | None = None, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, rank_path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low in range(0, len(texts), 512):
-                row, piece, start, ids = [], [], [], []
-                for k, text in enumerate(texts[low : low + 512], low):
-                    all_ids = np.array([*encode(text or ""), end_id], dtype="<u4")
-                    first = (len(all_ids) - 1) % length + 1
-                    cuts = [0, *range(first, len(all_ids) + 1, length)]
-                    for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        row.append(k)
-                        piece.append(j)
-                        start.append(a)
-                        ids.append(all_ids[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, type=pa.int64())), pa.array(piece, type=pa.int32()), pa.array(start, type=pa.int64()), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array(ids, type=pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
+        for batch in few(batches):
+            row, piece, start, ids = [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                all_ids = np.array([*encode(text or ""), end_id], dtype="<u4")
+                first = (len(all_ids) - 1) % length + 1
+                cuts = [0, *range(first, len(all_ids) + 1, length)]
+                for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    row.append(k)
+                    piece.append(j)
+                    start.append(a)
+                    ids.append(all_ids[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, type=pa.int64())), pa.array(piece, type=pa.int32()), pa.array(start, type=pa.int64()), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array(ids, type=pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, shuffle_width, written
+from .words import few
 
 HALVES = (np.uint64(0x00000000FFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row; a null text has no words, which gives 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 

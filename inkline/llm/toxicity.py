@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import as_bytes, split_words
+from .words import as_bytes, few, split_words
 
 #: Word beginnings that count as features beside the words, in bytes.
 BEGINNINGS = (4, 5, 6)
 #: Most labelled rows of a class that the model is fitted on, and most features.
-MOST_ROWS, MOST_FEATURES = 3000, 1500
+MOST_ROWS, MOST_FEATURES = 3000, 3000
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -46,7 +46,7 @@ class OrdinalModel:
 
         def score(text: bytes | None) -> float:
             hits: Counter[bytes] = Counter()
-            if len(memo) > 400_000:
+            if len(memo) > 100_000:
                 memo.clear()
             for word in split_words(text):
                 known = memo.get(word)
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
-        for batch in batches:
+        for batch in few(batches):
             for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 seen[y].update({f for w in set(split_words(text)) for f in features_of(w)})
                 seen[y][b""] += 1  # the rows themselves
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     telling = [r.n1 / total[1] > 10 * (r.n0 + 0.5) / total[0] for r in top if r.f]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             rows = []
             for text in as_bytes(batch.column(0)):
                 hits = Counter(number[f] for w in split_words(text) for f in features_of(w) if f in number)
@@ -158,7 +158,7 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in few(batches):
             p = model.probabilities(np.array([score(t) for t in as_bytes(batch.column(1))], dtype=float))
             toxic, mean = 1 - p[:, 0], p @ np.arange(p.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(toxic), pa.array(mean), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic >= threshold)], names=[id_col, "p_toxic", "expected_severity", "grade", "rejected"])
@@ -169,5 +169,12 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    return grade(packed, model, "row", "text", threshold).where("not rejected").select("row.*")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
+        for batch in few(batches):
+            p = model.probabilities(np.array([score(t) for t in as_bytes(batch.column(at))], dtype=float))
+            yield batch.filter(pa.array(1 - p[:, 0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,13 @@ def split_words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in shorter batches, so that what Python makes of them stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def in_chunks(texts: list[bytes | None], most: int) -> Iterator[slice]:
     """Slices of ``texts`` of about ``most`` bytes each; a longer text is a chunk of its own."""
     start = size = 0
