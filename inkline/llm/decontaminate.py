@@ -198,54 +198,66 @@ def parts_of(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFra
     return [benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k) if n > 1 else benchmark for k in range(n)]
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and, of every row, ``n_words``, ``spans`` (word ranges to remove, merged) and ``items`` (ids of items found, as strings).
+def with_phrases(benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> Iterator[Phrases]:
+    for part in parts_of(benchmark, item_col, item_text_col):
+        rows = part.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).collect()  # at most PART_BYTES, by parts_of
+        yield Phrases([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], window)
+
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+    """``id_col``, ``text_col`` and, of every row, ``n_words``, ``spans`` (word ranges to remove, merged) and ``items`` (ids of items found, as strings).
 
     A phrase is any ``window`` consecutive words of an item, or a whole shorter item. Null and empty texts
     have no words; items without words are never found; a null item id is left out of ``items``. Rows are
-    never joined or shuffled, so repeated rows and ids stay as they are; other columns are ignored. The
-    result has ``text_col`` too, first.
+    never joined or shuffled, so repeated rows and ids stay as they are; other columns are ignored. A
+    large benchmark is searched for in parts, one pass each, that add to the spans found before.
     """
-    first = ["_text", *(f"_{k}" for k in range(len(keep)))]  # plain names while rows pass through, whatever theirs are
 
     def search(phrases: Phrases):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in few(batches, 4096):
-                texts = as_bytes(batch.column(0))
+                texts = as_bytes(batch.column(1))
                 for part in in_chunks(texts, SHARD_BYTES):
                     here = batch.slice(part.start, part.stop - part.start)
                     n_words, spans, items = find(texts[part], phrases)
-                    if batch.num_columns > len(first):
+                    if batch.num_columns > 2:
                         spans = [merge([(x["start"], x["end"]) for x in old], new) for old, new in zip(here.column("spans").to_pylist(), spans, strict=True)]
                         items = [sorted({*old, *new}) for old, new in zip(here.column("items").to_pylist(), items, strict=True)]
                     spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], type=SPANS)
-                    yield pa.RecordBatch.from_arrays([*here.columns[: len(first)], pa.array(n_words), spans, pa.array(items, type=pa.list_(pa.string()))], names=[*first, "n_words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([*here.columns[:2], pa.array(n_words), spans, pa.array(items, type=pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
 
         return run
 
-    out = docs.select(text_col, *keep).toDF(*first)
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    for part in parts_of(benchmark, item_col, item_text_col):
-        rows = part.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).collect()  # at most PART_BYTES, by parts_of
-        out = out.mapInArrow(search(Phrases([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], window)), columns)
-    return out.toDF(text_col, *keep, "n_words", "spans", "items")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    for phrases in with_phrases(benchmark, item_col, item_text_col, window):
+        out = out.mapInArrow(search(phrases), f"id {kind}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return out.toDF(id_col, text_col, "n_words", "spans", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None, **how) -> DataFrame:
-    """``docs`` with the removal spans cut from ``text_col``; the rows and the other columns stay. ``length_col``: a column that counts its characters anew."""
-    names = docs.columns
-    others = tuple(n for n in names if n != text_col)
-    found = contaminated_spans(docs, benchmark, text_col, keep=others, **how)
-    inner = [f"_{k}" for k in range(len(others))]
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+    """``docs`` with all occurrences of benchmark phrases cut from ``text_col``, as ``contaminated_spans`` finds them; the rows and the other columns stay.
+
+    ``length_col``: a column that counts the characters of the text anew where it is cut.
+    """
+    at = docs.columns.index(text_col)
+    size = docs.columns.index(length_col) if length_col else None
+    parts = list(with_phrases(benchmark, item_col, item_text_col, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few(batches):
-            spans = batch.column("spans").to_pylist()
-            text = batch.column(0)
-            if any(spans):
-                text = pa.array([cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(as_bytes(text), spans, strict=True)], type=pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([text, *batch.columns[1 : len(names)]], names=["_text", *inner])
-
-    kinds = ", ".join(f"{n} {docs.schema[o].dataType.simpleString()}" for n, o in zip(inner, others, strict=True))
-    cleaned = found.toDF("_text", *inner, "n_words", "spans", "items").mapInArrow(run, ", ".join(["_text string", *([kinds] if kinds else [])])).toDF(text_col, *others)
-    return cleaned.select(*(F.length(text_col).cast(docs.schema[n].dataType).alias(n) if n == length_col else F.col(n) for n in names))
+        for batch in few(batches, 4096):
+            texts = as_bytes(batch.column(at))
+            for part in in_chunks(texts, SHARD_BYTES):
+                here, own = batch.slice(part.start, part.stop - part.start), texts[part]
+                spans: list[list[tuple[int, int]]] = [[] for _ in own]
+                for phrases in parts:  # all parts search the text as it came
+                    spans = [merge(a, b) for a, b in zip(spans, find(own, phrases)[1], strict=True)]
+                columns = list(here.columns)
+                if any(spans):
+                    own = [cut(t, s) if s else t for t, s in zip(own, spans, strict=True)]
+                    columns[at] = pa.array(own, type=pa.binary()).cast(pa.string())
+                    if size is not None:
+                        columns[size] = pa.array([len(t.decode()) if s else n for t, s, n in zip(own, spans, columns[size].to_pylist(), strict=True)], type=columns[size].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

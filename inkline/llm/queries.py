@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embeddings, licenses, lm, packing, pii, simhash, toxicity, warc
 
+from .common import short_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

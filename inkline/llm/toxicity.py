@@ -46,7 +46,7 @@ class OrdinalModel:
 
         def score(text: bytes | None) -> float:
             hits: Counter[bytes] = Counter()
-            if len(memo) > 100_000:
+            if len(memo) > 50_000:
                 memo.clear()
             for word in split_words(text):
                 known = memo.get(word)
