@@ -13,7 +13,7 @@ with a tree of its own and compares the leaves exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -200,9 +200,14 @@ def near_links(classes: DataFrame, reach: int = 3) -> DataFrame:
         trees.append(tree)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            points = frame["fp"].to_numpy(np.int64).view(np.uint64)
-            rows = np.arange(len(points))
+        held: list[np.ndarray] = []
+        for frame in chain(frames, [None]):
+            if frame is not None:
+                held.append(frame["fp"].to_numpy(np.int64))
+            if not held or frame is not None and sum(map(len, held)) < 100_000:
+                continue  # the trees are walked with many fingerprints at once
+            points = np.concatenate(held).view(np.uint64)
+            held, rows = [], np.arange(len(points))
             for half, tree in enumerate(trees):
                 for leaf, home, asks in tree.route(points, rows, rows[:0]):
                     at = np.concatenate([home, asks])
@@ -214,7 +219,7 @@ def near_links(classes: DataFrame, reach: int = 3) -> DataFrame:
         return pd.DataFrame({"a": points[a].view(np.int64), "b": points[b].view(np.int64)})
 
     shards = sum(t.leaves for t in trees)
-    dealt = classes.select("fp").mapInPandas(deal, "shard int, fp long, home boolean")
+    dealt = classes.select("fp").repartition(max(shuffle_width(spark), n // 500_000)).mapInPandas(deal, "shard int, fp long, home boolean")
     return dealt.repartition(max(min(shards, 4096), shuffle_width(spark)), "shard").groupBy("shard").applyInPandas(link, "a long, b long")
 
 
