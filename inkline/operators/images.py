@@ -1,0 +1,248 @@
+"""Pixel kernels in NumPy, and the page operators that run them in Arrow batches. Images are 2-D arrays, black ink on white."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Luma weights of blue, green, red; channel means and deviations of the imagenet normalization.
+LUMA_BGR = (0.114, 0.587, 0.299)
+IMAGENET_MEAN, IMAGENET_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def gray(image: np.ndarray) -> np.ndarray:
+    """2-D, one, three (BGR) or four (BGRA) channels as 8-bit gray; other shapes are an error."""
+    if image.ndim == 2:
+        return image
+    if image.ndim == 3 and image.shape[2] == 1:
+        return image[:, :, 0]
+    if image.ndim == 3 and image.shape[2] in (3, 4):
+        return np.clip(np.rint(image[:, :, :3].astype(float) @ np.array(LUMA_BGR)), 0, 255).astype(np.uint8)
+    raise ValueError(f"not an image: shape {image.shape}")
+
+
+def box_sum(image: np.ndarray, reach: int) -> np.ndarray:
+    """Sum over the (2 reach + 1)-square around each pixel, edges repeated."""
+    padded = np.pad(image.astype(float), reach, mode="edge")
+    total = np.pad(padded.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    n = 2 * reach + 1
+    return total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]
+
+
+def otsu(image: np.ndarray) -> int:
+    """The level that parts the histogram with the greatest variance between classes; of equals the lowest."""
+    weight = np.bincount(image.ravel(), minlength=256).astype(float)
+    below, mass = weight.cumsum(), (weight * np.arange(256)).cumsum()
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = np.where((below > 0) & (above > 0), (mass[-1] * below - mass * below[-1]) ** 2 / (below * above), -1)
+    return int(between.argmax())
+
+
+def binarize(image: np.ndarray, method: str = "otsu", window: int = 25, k: float = 0.2, block: int = 31, offset: float = 10.0) -> np.ndarray:
+    """Ink as 1: ``otsu``, ``sauvola`` or ``adaptive`` (weighted local mean less ``offset``); other names are an error."""
+    if method == "otsu":
+        return (image <= otsu(image)).astype(np.uint8)
+    if method == "sauvola":
+        window += 1 - window % 2
+        n = window * window
+        mean = box_sum(image, window // 2) / n
+        deviation = np.sqrt(np.maximum(box_sum(image.astype(float) ** 2, window // 2) / n - mean**2, 0))
+        return (image <= mean * (1 + k * (deviation / 128 - 1))).astype(np.uint8)
+    if method == "adaptive":
+        sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+        g = np.exp(-((np.arange(block) - block // 2) ** 2) / (2 * sigma**2))
+        g /= g.sum()
+        padded = np.pad(image.astype(float), block // 2, mode="edge")
+        rows = sum(w * padded[i : i + image.shape[0]] for i, w in enumerate(g))
+        mean = sum(w * rows[:, j : j + image.shape[1]] for j, w in enumerate(g))
+        return (image <= mean - offset).astype(np.uint8)
+    raise ValueError(f"unknown binarization: {method}")
+
+
+def equalize(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited adaptive equalization: clipped tile histograms, mappings interpolated between tile centres."""
+    h, w = image.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    padded = np.pad(image, ((0, th * tiles - h), (0, tw * tiles - w)), mode="symmetric" if min(h, w) > max(th, tw) else "edge")
+    limit = max(1.0, clip * th * tw / 256)
+    maps = np.empty((tiles, tiles, 256))
+    for a in range(tiles):
+        for b in range(tiles):
+            hist = np.bincount(padded[a * th : (a + 1) * th, b * tw : (b + 1) * tw].ravel(), minlength=256).astype(float)
+            over = np.maximum(hist - limit, 0).sum()
+            maps[a, b] = (np.minimum(hist, limit) + over / 256).cumsum() * 255 / (th * tw)
+    y, x = (np.arange(h) + 0.5) / th - 0.5, (np.arange(w) + 0.5) / tw - 0.5
+    y0, x0 = np.clip(np.floor(y).astype(int), 0, tiles - 1), np.clip(np.floor(x).astype(int), 0, tiles - 1)
+    y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
+    fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None, :]
+    at = lambda a, b: maps[a[:, None], b[None, :], image]
+    mixed = (1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x1)) + fy * ((1 - fx) * at(y1, x0) + fx * at(y1, x1))
+    return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)
+
+
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Area means when shrinking, linear interpolation when growing, each axis by itself."""
+
+    def along(a: np.ndarray, n: int) -> np.ndarray:
+        m = a.shape[0]
+        if n < m:  # mean over [i m/n, (i + 1) m/n)
+            total = np.concatenate([np.zeros((1, *a.shape[1:])), a.cumsum(0)])
+            edge = np.arange(n + 1) * m / n
+            low = np.minimum(edge.astype(int), m - 1)
+            upto = total[low] + (edge - low)[:, None] * a[low]
+            return np.diff(upto, axis=0) * n / m
+        at = np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
+        low = np.minimum(at.astype(int), max(m - 2, 0))
+        part = (at - low)[:, None]
+        return a[low] * (1 - part) + a[np.minimum(low + 1, m - 1)] * part
+
+    out = along(along(image.astype(float), height).T, width).T
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8) if image.dtype == np.uint8 else out
+
+
+def to_height(image: np.ndarray, height: int = 64, max_width: int = 1536) -> np.ndarray:
+    return resize(image, height, int(np.clip(round(image.shape[1] * height / image.shape[0]), 1, max_width)))
+
+
+def skew(image: np.ndarray) -> float:
+    """The angle, within 15 degrees, whose shear gives the row profile of the ink the greatest variance; 0 for under 10 ink pixels."""
+    y, x = np.nonzero(binarize(image))
+    if len(y) < 10:
+        return 0.0
+
+    def sharpness(degrees: float) -> float:
+        rows = np.rint(y - x * np.tan(np.radians(degrees))).astype(int)
+        return float(np.bincount(rows - rows.min()).astype(float).var())
+
+    best = max(np.arange(-15, 15.5, 1.0), key=lambda a: (sharpness(a), -abs(a)))
+    return float(max(best + np.arange(-1, 1.01, 0.1), key=lambda a: (sharpness(a), -abs(a))))
+
+
+def deskew(image: np.ndarray, least: float = 0.5, most: float = 15.0) -> np.ndarray:
+    """Rotated straight if the skew is within bounds; new corners are white."""
+    angle = skew(image)
+    if not least <= abs(angle) <= most:
+        return image
+    h, w = image.shape
+    t = np.radians(angle)
+    yy, xx = np.mgrid[0:h, 0:w]
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    sx = np.rint(np.cos(t) * (xx - cx) - np.sin(t) * (yy - cy) + cx).astype(int)
+    sy = np.rint(np.sin(t) * (xx - cx) + np.cos(t) * (yy - cy) + cy).astype(int)
+    inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
+    return np.where(inside, image[np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)], 255).astype(np.uint8)
+
+
+def normalize(image: np.ndarray, imagenet: bool = True) -> np.ndarray:
+    """Three equal channels in [0, 1], or by the imagenet means and deviations."""
+    x = image.astype(np.float32)
+    x = x / 255 if x.max(initial=0) > 1 else x
+    x = np.repeat(x[:, :, None], 3, axis=2) if x.ndim == 2 else x
+    return (x - np.array(IMAGENET_MEAN, dtype=np.float32)) / np.array(IMAGENET_STD, dtype=np.float32) if imagenet else x
+
+
+def denormalize(x: np.ndarray) -> np.ndarray:
+    return np.clip(x * np.array(IMAGENET_STD) + np.array(IMAGENET_MEAN), 0, 1)
+
+
+def pad_value() -> float:
+    """White after imagenet normalization, averaged over channels."""
+    return float(np.mean((1 - np.array(IMAGENET_MEAN)) / np.array(IMAGENET_STD)))
+
+
+def pad_width(image: np.ndarray, width: int, value: float) -> np.ndarray:
+    """To ``width`` columns: cut, or filled on the right."""
+    gap = max(width - image.shape[1], 0)
+    return np.pad(image[:, :width], [(0, 0), (0, gap), *[(0, 0)] * (image.ndim - 2)], constant_values=value)
+
+
+def prepare(image: np.ndarray, height: int = 64, max_width: int = 1536, imagenet: bool = True) -> np.ndarray:
+    """Gray, equalized, straight, of one height, normalized: a recognizer's input."""
+    return normalize(to_height(deskew(equalize(gray(image))), height, max_width), imagenet)
+
+
+def ink_distance(binary: np.ndarray, most: int = 64) -> np.ndarray:
+    """Distance of each pixel to ink in steps of a growing square, up to ``most``."""
+    reached, distance = binary > 0, np.zeros(binary.shape)
+    for step in range(1, most + 1):
+        p = np.pad(reached, 1)
+        grown = p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:] | p[1:-1, 1:-1]
+        if step % 2 == 0:
+            grown |= p[:-2, :-2] | p[:-2, 2:] | p[2:, :-2] | p[2:, 2:]
+        distance[grown & ~reached] = step
+        if grown.all():
+            break
+        reached = grown
+    distance[~reached] = most
+    return distance
+
+
+def seam(energy: np.ndarray) -> np.ndarray:
+    """The row of the cheapest left-to-right path in each column; of equals the smallest row."""
+    cost = energy.astype(float).copy()
+    for x in range(1, cost.shape[1]):
+        last = np.pad(cost[:, x - 1], 1, constant_values=np.inf)
+        cost[:, x] += np.minimum(np.minimum(last[:-2], last[2:]), last[1:-1])
+    rows = np.zeros(cost.shape[1], dtype=np.int32)
+    row = rows[-1] = int(cost[:, -1].argmin())
+    for x in range(cost.shape[1] - 2, -1, -1):
+        low = max(row - 1, 0)
+        row = rows[x] = low + int(cost[low : row + 2, x].argmin())
+    return rows
+
+
+def find_lines(projection: np.ndarray, ratio: float, min_height: float) -> list[tuple[int, int]]:
+    ink = np.concatenate([[0], (projection > projection.max(initial=0) * ratio).astype(np.int8), [0]])
+    edge = np.diff(ink)
+    lines = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+    if len(lines) < 2:
+        return lines
+    least = np.median([b - a for a, b in lines]) * min_height
+    return [(a, b) for a, b in lines if b - a >= least]
+
+
+def segment(image: np.ndarray, method: str = "otsu", min_height: float = 0.3, margin: int = 5) -> list[dict]:
+    """Lines of one page: ``line_no``, ``y0``, ``y1``, and the pixels between the seams above and below, white outside."""
+    page = gray(image)
+    binary = binarize(page, method)
+    h, w = binary.shape
+    k = max(3, int(h * 0.01) | 1)
+    padded = np.pad(binary.sum(axis=1).astype(float), k // 2)
+    smoothed = np.convolve(padded, np.ones(k) / k, mode="valid")
+    ratios = np.linspace(0.01, 0.5, 50)
+    counts = [len(find_lines(smoothed, r, min_height)) for r in ratios]
+    starts = [k for k in range(50) if k == 0 or counts[k] != counts[k - 1]] + [50]
+    start, end = max(zip(starts, starts[1:], strict=False), key=lambda r: (r[1] - r[0], -r[0]))
+    lines = find_lines(smoothed, ratios[start + (end - start) // 2], min_height)
+    distance = ink_distance(binary)
+    energy = distance.max(initial=0) - distance if distance.max(initial=0) else np.ones_like(distance)
+    seams = [np.zeros(w, dtype=np.int32)]
+    for (_, above), (below, _) in zip(lines, lines[1:], strict=False):
+        low, high = max(0, above - margin), min(h, below + margin)
+        seams.append(seam(energy[low:high]) + low if high > low else np.full(w, (above + below) // 2, dtype=np.int32))
+    seams.append(np.full(w, h, dtype=np.int32))
+    y = np.arange(h)[:, None]
+    out = []
+    for n, (y0, y1) in enumerate(lines):
+        top, bottom = seams[n], seams[n + 1]
+        a, b = int(top.min()), max(int(bottom.max()), int(top.min()))
+        cut = np.where((y >= top) & (y < bottom), page, 255)[a:b]
+        out.append({"line_no": n, "y0": y0, "y1": y1, "height": b - a, "width": w, "pixels": cut.astype(np.uint8).tobytes()})
+    return out
+
+
+def segment_pages(pages: DataFrame, **how) -> DataFrame:
+    """Lines of raw gray pages (``page``, ``height``, ``width``, ``pixels``); a page whose bytes don't fit its size is an error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["page", "line_no", "y0", "y1", "height", "width", "pixels"]
+        for frame in frames:
+            rows = [{"page": r.page, **line} for r in frame.itertuples() for line in segment(np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.height, r.width), **how)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    kind = pages.schema["page"].dataType.simpleString()
+    return pages.select("page", "height", "width", "pixels").mapInPandas(run, f"page {kind}, line_no int, y0 int, y1 int, height int, width int, pixels binary")
