@@ -83,7 +83,7 @@ def suffix(path: Column | str) -> Column:
 
 def listed(text: Column | str, kind: str) -> Column:
     """Comma-separated values, blanks dropped."""
-    return F.transform(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""), lambda x: x.cast(kind))
+    return F.transform(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast(kind))
 
 
 def variant(name: Column | str) -> Column:
