@@ -62,3 +62,24 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionAll(now.select("y", "y").toDF("node", "root").distinct())
+
+
+def keyed(docs: DataFrame, name: str = "keyed-rows") -> DataFrame:
+    """``docs`` as a written table with a number of its own for each row (``_row``), whatever its ids are."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def one_row_each(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``rows`` (see ``keyed``) that stand for their component: the least id, null ids last, then the least ``_row``.
+
+    ``classes``: ``class`` and ``first``, the least (id is null, id, row) of the class; ``roots``: ``node`` and
+    ``root`` of the classes that have links.
+    """
+    ends = classes.join(roots, F.col("class") == F.col("node"), "left")
+    kept = ends.groupBy(F.coalesce("root", "class").alias("_group")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
+
+
+def first_row(id_col: str):
+    """The aggregate for ``first`` in ``one_row_each``."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("first")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_width, written
+from .common import connected_components, first_row, keyed, one_row_each, shuffle_width, written
 from .words import few
 
 HALVES = (np.uint64(0x00000000FFFFFFFF), np.uint64(0xFFFFFFFF00000000))
@@ -240,8 +240,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(per_class, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those with its least id. Rows with a null id in a component without ids stay."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    gone = found.where(F.col(id_col).isNull() & F.col("component_id").isNotNull() | (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 3, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the least id, null ids last; of rows with equal ids one stays."""
+    rows = keyed(docs)
+    fps = fingerprints(rows, "_row", text_col, shingle, seed)
+    told = written(fps.join(rows.select("_row", id_col), "_row"), "fingerprints")
+    classes = written(told.groupBy(F.col("fp").alias("class")).agg(first_row(id_col)), "fingerprint-classes")
+    roots = connected_components(near_links(classes.select(F.col("class").alias("fp")), reach), "fingerprint-components")
+    return one_row_each(rows, classes, roots)

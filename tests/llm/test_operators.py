@@ -75,6 +75,16 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").distinct().collect()) == sorted(set(group.values()))
 
 
+def test_one_of_each_keeps_one_row_of_each_component(spark):
+    a, b, c, d = (" ".join(f"{x}{k * 7919 % 101}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, d), (None, d), (7, b), (7, b), (9, None), (9, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = simhash.one_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (None, c), (None, d), (9, "")], key=str)
+    assert simhash.one_of_each(table.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     roots = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
