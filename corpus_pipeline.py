@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkline.llm import decontaminate, packing, pii, simhash, toxicity
+from inkline.llm import decontaminate, jaccard, packing, pii, toxicity
 from inkline.llm.common import written
 from inkline.llm.queries import table, tokenizer_files
 
@@ -20,8 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    return simhash.one_of_each(docs, shingle=3, reach=3)
+    """One document of each group of near duplicates (five-word Jaccard similarity of 0.8 or more): the one with the least id."""
+    return jaccard.one_of_each(docs, shingle=5, threshold=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

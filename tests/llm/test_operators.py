@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkline.llm import chat, common, decontaminate, embeddings, licenses, lm, packing, pii, simhash, toxicity, warc
+from inkline.llm import chat, common, decontaminate, embeddings, jaccard, licenses, lm, packing, pii, simhash, toxicity, warc
 from inkline.llm.queries import op5_packing, tokenizer_files
 
 DOCS = "doc_id long, text string, lang string, row string, fp string, spans string, n_words int, score string, kind string, id string"
@@ -85,6 +85,34 @@ def test_one_of_each_keeps_one_row_of_each_component(spark):
     assert simhash.one_of_each(table.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_one_of_each_jaccard_group(spark, sf):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for group in range(60):
+        text = [f"g{group}w{k}" for k in range(int(rng.integers(20, 200)))]
+        rows.append(" ".join(text))
+        for copy in range(int(rng.integers(1, 8))):
+            changed = [f"c{copy}x{k}" if rng.random() < 0.03 else w for k, w in enumerate(text)]
+            rows.append(" ".join([*changed, *(f"t{copy}t{k}" for k in range(int(rng.integers(0, len(text) // 4))))]))
+    rows += [rows[0], "  " + rows[1].upper(), "one two", "one  two", None, "", "one two three"]
+    sets = [set(jaccard.shingles(t.encode() if t else None, 5).tolist()) for t in rows]
+    same = [[not (s or t) or len(s & t) >= 0.8 * len(s | t) for t in sets] for s in sets]
+    label = simhash.stars(len(rows), *np.nonzero(np.array(same)))
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, table, sf)
+    assert kept.columns == table.columns
+    assert sorted(r.doc_id for r in kept.collect()) == np.flatnonzero(label == np.arange(len(rows))).tolist()
+
+
+def test_jaccard_finds_links_that_no_hub_shows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "bands", lambda grams: np.zeros(1, dtype=np.int64))  # all in one bucket
+    texts = [" ".join(f"a{k}" for k in range(60)), *(" ".join(f"a{k}" for k in range(at, at + 60)) for at in (20, 4, 8, 12, 16, 40))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in jaccard.one_of_each(table).orderBy("doc_id").collect()] == [0, 6]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     roots = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
