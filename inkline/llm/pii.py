@@ -2,8 +2,8 @@
 
 Fixed patterns give the base spans. Loose generators propose overlapping candidates besides; features of
 a candidate's format and context go through gradient-boosted trees, fitted on a bounded sample with the
-strict checks as labels and written out as conditional expressions, and a calibrated threshold for each
-kind selects what is added. All spans of a row are found within the row: nothing is exploded or shuffled.
+strict checks as labels and written out as conditional expressions, and a threshold for each kind, calibrated
+over all rows, selects what is added. All spans of a row are found within the row: nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ NEAR_SECRET = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+
 #: Words before a span that speak for one kind or another.
 CUES = r"mail|phone|tel|call|fax|card|visa|address|server|host"
 SECRET_CUES = r"(?:password|passwd|token|secret|key|auth|pin)[^a-z0-9]{0,6}$"
-#: Documents whose candidates the trees are fitted on at most, and the share of right ones that a threshold must reach.
-SAMPLE_DOCS, PRECISION = 20_000, 0.98
+#: Documents whose candidates the trees are fitted on at most, right candidates of a kind added to them at most,
+#: and the share of right ones that a threshold must reach.
+SAMPLE_DOCS, RIGHT_EACH, PRECISION = 20_000, 2_000, 0.98
 SPANS = "array<struct<start:int,end:int,word:string>>"
 
 
@@ -197,30 +198,38 @@ def read_trees(told: str) -> list[tuple[float, tuple | float]]:
 
 
 def fit_selector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Selector:
-    """Trees and thresholds from the candidates of at most about ``sample_docs`` rows, chosen by a hash of id and text.
+    """Trees from a bounded sample, thresholds from the candidates of all rows.
 
-    Four fifths of the candidates fit the trees; on the rest the threshold of a kind is the lowest score
-    down to which the share of right candidates is at least ``precision``. A kind without right
-    candidates there is never added to; without both right and wrong candidates there are no trees.
+    The trees are fitted on the candidates of about ``sample_docs`` rows, chosen by a hash of id and text, and on
+    about ``RIGHT_EACH`` other right candidates of each kind, differing in their features, so that a rare kind is
+    learned too. The threshold of a kind is the lowest score down to which the share of right candidates among
+    all rows' is at least ``precision``. A kind without right candidates is never added to; without both right
+    and wrong candidates there are no trees.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     part = min(1.0, sample_docs / max(docs.count(), 1))
-    key = F.xxhash64(F.lit(9), id_col, text_col)
-    some = docs.select(F.col(id_col), clean(text_col).alias("text")).where(F.pmod(key, F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else docs.select(F.col(id_col), clean(text_col).alias("text"))
-    found = some.select(F.explode(candidates(F.col("text"))).alias("c"))
+    drawn = F.pmod(F.xxhash64(F.lit(9), id_col, text_col), F.lit(1_000_000)) < int(part * 1_000_000) if part < 1 else F.lit(True)
+    found = docs.select(drawn.alias("drawn"), clean(text_col).alias("text")).select("drawn", F.explode(candidates(F.col("text"))).alias("c"))
     names = ["kind", *FEATURES]
-    rows = written(found.select(strict(F.col("c")).cast("double").alias("label"), (F.pmod(F.xxhash64("c"), F.lit(5)) == 0).alias("held"), *(f.alias(n) for f, n in zip(features(F.col("c")), names, strict=True))), "pii-candidates").coalesce(4)
-    counts = rows.where("not held").agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
+    rows = written(found.select("drawn", strict(F.col("c")).cast("double").alias("label"), *(f.alias(n) for f, n in zip(features(F.col("c")), names, strict=True))), "pii-candidates")
+    others = rows.where("not drawn and label = 1").select("label", *names).distinct()
+    chance = F.lit(1.0)
+    for r in others.groupBy("kind").count().collect():  # a row a kind
+        chance = F.when(F.col("kind") == r.kind, min(1.0, RIGHT_EACH / r["count"])).otherwise(chance)
+    rare = others.where(F.pmod(F.xxhash64(F.lit(5), *names), F.lit(1_000_000)) < chance * 1_000_000)
+    sample = written(rows.where("drawn").select("label", *names).unionAll(rare).coalesce(4), "pii-sample")
+    counts = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     if not 0 < counts[0] < counts[1]:
         return Selector([], {})
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows.where("not held").select("label", *names))
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
     model = GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, seed=1, maxBins=32).fit(vectors.select("label", "features"))
     selector = Selector(read_trees(model.toDebugString), {})
-    scored = rows.where("held").select("kind", "label", selector.margin([F.col(n) for n in names]).alias("score"))
-    so_far = Window.partitionBy("kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    least = scored.withColumn("right", F.avg("label").over(so_far)).where(F.col("right") >= precision).groupBy("kind").agg(F.min("score").alias("least")).collect()  # a row a kind
+    scored = rows.select("kind", "label", selector.margin([F.col(n) for n in names]).alias("score")).groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count("*").alias("all"))
+    so_far = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = scored.withColumn("share", F.sum("right").over(so_far) / F.sum("all").over(so_far))
+    least = shares.where(F.col("share") >= precision).groupBy("kind").agg(F.min("score").alias("least")).collect()  # a row a kind
     selector.thresholds = {int(r.kind): float(r.least) for r in least}
     return selector
 

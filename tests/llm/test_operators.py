@@ -351,6 +351,15 @@ def test_pii_selects_and_redacts(spark, docs, empty):
     assert pii.fit_selector(empty).thresholds == {} and pii.redact(empty, selector).count() == 0
 
 
+def test_pii_selects_a_kind_that_the_sample_misses(spark):
+    secret = {k: hashlib.sha1(str(k).encode()).hexdigest() for k in (11, 222, 555)}
+    rows = [(k, (f"token = \"{secret[k]}\" and " if k in secret else "") + f"w{k} id {hashlib.md5(str(k).encode()).hexdigest()[:20]} mail u{k}@ex{k % 9}.org") for k in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    selector = pii.fit_selector(table, sample_docs=60)
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.added] for r in pii.find_spans(table, selector).collect()}
+    assert {k: v for k, v in found.items() if v} == {k: [v] for k, v in secret.items()}
+
+
 def test_lm(spark, docs, empty):
     table = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(k, f"a{k % 7} b{k % 3} \0 c", None) for k in range(300, 360)], "doc_id long, text string, score string"))
     rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), b"\n"], zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 10 == 0) for r in table.collect()]
