@@ -3,7 +3,8 @@
 Equal vectors are one class with a weight. A class lives in the cell of its nearest centre and also asks
 the cells whose centre is nearly as near (within ``margin`` of cosine): two vectors that are linked lie
 so close together that one of them asks the other's cell, but for a share too small to measure here. A
-cell is cut into blocks of bounded size; each pair of blocks is a task, so that a crowded cell is spread.
+cell is cut into blocks of bounded size, those at home and those that only ask apart; each pair of blocks
+is a task, so that a crowded cell is spread.
 """
 
 from __future__ import annotations
@@ -56,8 +57,10 @@ def links_of_block(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Of one task (left: the rows that ask; right: the rows asked): each class's linked weight, and stars over the linked."""
     x = unit(np.stack(frame["vector"].to_numpy()).astype(np.float64))
     ids, weight, home, cell, role = (frame[c].to_numpy() for c in ("class", "weight", "home", "cell", "role"))
-    probes = {(i, p) for i, row in zip(ids, frame["probes"], strict=True) for p in row}
     left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)  # 2: on both sides
+    # the cells that each row asked asks itself, as sorted numbers (row, cell); only rows that ask look there
+    asked = [np.asarray(p, dtype=np.int64) + row * MOST_CELLS for row, p in zip(right, frame["probes"].iloc[right], strict=True)] if (home[left] != cell[left]).any() else []
+    probes = np.concatenate(asked) if asked else np.zeros(0, dtype=np.int64)
     gained = np.zeros(len(ids), dtype=np.int64)
     a_all, b_all = [], []
     for k in range(0, len(left), 1024):
@@ -71,7 +74,7 @@ def links_of_block(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
         twice = keep & ~own & (home[a] < cell[a])
         if twice.any():
             at = np.flatnonzero(twice)
-            keep[at] = [(ids[q], home[p]) not in probes for p, q in zip(a[at], b[at], strict=True)]
+            keep[at] = ~np.isin(b[at] * MOST_CELLS + home[a[at]], probes)
         a, b = a[keep], b[keep]
         np.add.at(gained, a, weight[b])
         np.add.at(gained, b, weight[a])
@@ -119,11 +122,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     element = classes.schema["vector"].dataType.simpleString()
     in_cells = written(usual.select("class", "weight", "vector").mapInArrow(assign, f"class long, weight long, vector {element}, cell int, home int, probes array<int>"), "vector-cells")
-    crowd = in_cells.where("cell = home").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # MOST_CELLS rows at most
-    dealt = in_cells.join(F.broadcast(crowd), "cell").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     lives = F.col("cell") == F.col("home")
-    # one at home meets its own block and every other; one that asks meets every block
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.when(lives, F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("role"))).otherwise(F.struct(j.alias("low"), j.alias("high"), F.lit(0).alias("role"))))
+    blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
+    crowd = in_cells.groupBy("cell").agg(blocks(lives).alias("blocks"), blocks(~lives).alias("asking")).where("blocks > 0")  # MOST_CELLS rows at most
+    dealt = in_cells.join(F.broadcast(crowd), "cell").withColumn("block", F.pmod(F.xxhash64("class"), F.when(lives, F.col("blocks")).otherwise(F.col("asking"))).cast("int"))
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda j: j < F.col(n))
+    # one at home meets its own block, every other and every block that asks (numbered below zero); one that asks meets every block at home
+    at_home = F.transform(numbers("blocks"), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("role")))
+    answers = F.transform(numbers("asking"), lambda j: F.struct((-1 - j).alias("low"), F.col("block").alias("high"), F.lit(1).alias("role")))
+    asks = F.transform(numbers("blocks"), lambda j: F.struct((-1 - F.col("block")).alias("low"), j.alias("high"), F.lit(0).alias("role")))
+    meets = F.when(lives, F.concat(at_home, answers)).otherwise(asks)
     tasks = dealt.withColumn("meets", F.explode(meets)).select("cell", "meets.*", "class", "weight", "vector", "home", "probes")
     found = tasks.repartition(max(shuffle_width(spark), k // 8), "cell", "low", "high").groupBy("cell", "low", "high").applyInPandas(lambda frame: links_of_block(frame, threshold), "a long, b long, n long")
     found = written(found, "vector-links")

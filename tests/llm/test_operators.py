@@ -217,6 +217,26 @@ def test_embeddings_in_many_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect()} == {(59, 0)}
 
 
+def test_embeddings_cut_those_that_ask_into_blocks(spark, monkeypatch):
+    plain = embeddings.links_of_block
+
+    def bounded(frame, threshold):
+        assert len(frame) <= 100, len(frame)
+        return plain(frame, threshold)
+
+    for name, value in (("BLOCK", 20), ("CELL", 10), ("links_of_block", bounded)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(30, 12))[np.arange(300) % 30] + 0.15 * rng.normal(size=(300, 12))).astype(np.float32)
+    table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table, margin=2.0).collect()}  # all ask everywhere
+    x = embeddings.unit(x.astype(float))
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = simhash.stars(300, *np.nonzero(near))
+    assert found == {k: (near[k].sum(), label[k]) for k in range(300)}
+
+
 @pytest.mark.parametrize("size", [16, 64])
 def test_best_two_fit(size):
     rng = np.random.default_rng(6)
