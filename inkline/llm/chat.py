@@ -14,35 +14,52 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """What marks a turn, which roles are trained on, and which role may follow which ('' is the start; ``final`` may end)."""
+    """What marks a turn, which roles are trained on, and which role may follow which ('' is the start; ``final`` may end).
+
+    Every control string holds ``mark``, two characters that no escaped text holds next to each other.
+    """
 
     before: str = "<|im_start|>{role}\n"
     after: str = "<|im_end|>\n"
+    mark: str = "<|"
     trained: frozenset[str] = frozenset({"assistant"})
     follows: dict[str, frozenset[str]] = field(default_factory=lambda: {"": frozenset({"system", "user"}), "system": frozenset({"user"}), "user": frozenset({"assistant"}), "assistant": frozenset({"user"})})
     final: frozenset[str] = frozenset({"assistant"})
 
+    def __post_init__(self):
+        first, second = self.mark
+        if first == second or "\\" in self.mark or self.mark not in self.before or self.mark not in self.after or self.before.count("{role}") != 1:
+            raise ValueError("a template names the role once, and both its parts hold its mark of two different characters")
+
+    def patterns(self) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+        """What ``escape`` and ``unescape`` look for, and a whole turn."""
+        first, second = map(re.escape, self.mark)
+        head, tail = map(re.escape, self.before.split("{role}"))
+        turn = rf"{head}([\w;\\ -]*?){tail}(.*){re.escape(self.after)}"
+        return re.compile(rf"{first}(\\*){second}"), re.compile(rf"{first}(\\*)\\{second}"), re.compile(turn, re.DOTALL | re.ASCII)
 
-OPENED = re.compile(r"<(\\*)\|")
-CLOSED = re.compile(r"<(\\*)\\\|")
-TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.DOTALL)
 
+DEFAULT = Template()
 
-def escape(text: str) -> str:
-    """No control string is left: one backslash more between each ``<`` and ``|``."""
-    return OPENED.sub(r"<\1\\|", text)
 
+def escape(text: str, template: Template = DEFAULT) -> str:
+    """No control string is left: one backslash more between the characters of each mark."""
+    first, second = template.mark
+    return template.patterns()[0].sub(lambda m: f"{first}{m[1]}\\{second}", text)
 
-def unescape(text: str) -> str:
-    return CLOSED.sub(r"<\1|", text)
+
+def unescape(text: str, template: Template = DEFAULT) -> str:
+    first, second = template.mark
+    return template.patterns()[1].sub(lambda m: f"{first}{m[1]}{second}", text)
 
 
 def escape_role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+    """Letters, digits, blanks, dashes and low lines stay; any other character becomes its code."""
+    return re.sub(r"[^A-Za-z0-9_ -]", lambda m: f"\\{ord(m[0]):x};", role)
 
 
 def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.DOTALL)
+    return re.sub(r"\\([0-9a-f]+);", lambda m: chr(int(m[1], 16)), role)
 
 
 def in_order(turns: DataFrame, conv_col: str, turn_col: str) -> DataFrame:
@@ -61,7 +78,7 @@ def format_chat(turns: DataFrame, template: Template | None = None, conv_col: st
     conversation ids make one conversation; repeated rows are turns of their own; other columns are
     ignored. Turns stream through in order, so a conversation of any length needs the memory of one turn.
     """
-    template = template or Template()
+    template = template or DEFAULT
     kind = turns.schema[conv_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +99,7 @@ def format_chat(turns: DataFrame, template: Template | None = None, conv_col: st
                     conv, state, position, valid, begun = now, "", 0, True, True
                 valid = valid and role in template.follows.get(state, ())
                 state = role
-                rows += [(conv, position, 0, template.before.format(role=escape_role(role)), False, valid), (conv, position, 1, escape(text), role in template.trained, valid), (conv, position, 2, template.after, False, valid)]
+                rows += [(conv, position, 0, template.before.format(role=escape_role(role)), False, valid), (conv, position, 1, escape(text, template), role in template.trained, valid), (conv, position, 2, template.after, False, valid)]
                 position += 1
                 size += len(text)
                 if size > 4 << 20:
@@ -95,15 +112,19 @@ def format_chat(turns: DataFrame, template: Template | None = None, conv_col: st
     return in_order(turns, conv_col, turn_col).mapInArrow(run, f"conv_id {kind}, position long, part int, text string, loss boolean, valid boolean")
 
 
-def read_chat(segments: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed back from formatted segments that come whole and in order within partitions, as ``format_chat`` gives them.
+def read_chat(segments: DataFrame, template: Template | None = None) -> DataFrame:
+    """Digests of each conversation, parsed back from segments that ``format_chat`` made by the same template; they come whole and in order within partitions.
+
+    A turn that the template doesn't match is an error.
 
     ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``, ``valid``.
     """
+    template = template or DEFAULT
     kind = segments.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns, loss, n_turns, loss_chars, chars, pending = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
+        whole = template.patterns()[2]
         for batch in batches:
             rows = []
             for conv, part, text, trained, valid in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "part", "text", "loss", "valid")), strict=True):
@@ -113,12 +134,15 @@ def read_chat(segments: DataFrame) -> DataFrame:
                     continue
                 chars += len(text)
                 if trained:
-                    plain = unescape(text)
+                    plain = unescape(text, template)
                     loss_chars += len(plain)
                     loss.update(plain.encode())
                 pending += text
-                if part == 2 and (turn := TURN.fullmatch(pending)):
-                    turns.update(f"{unescape_role(turn[1])}\n{unescape(turn[2])}\n".encode())
+                if part == 2:
+                    turn = whole.fullmatch(pending)
+                    if turn is None:
+                        raise ValueError("a turn doesn't match the template")
+                    turns.update(f"{unescape_role(turn[1])}\n{unescape(turn[2], template)}\n".encode())
                     n_turns += 1
                     pending = ""
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7

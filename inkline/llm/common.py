@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table that may be broadcast at most.
+BROADCAST_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master (tests) gets a folder of its own; a cluster is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="inkline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -37,6 +43,32 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def drawn(share: float, seed: int, *columns: str) -> Column:
+    """Whether a row is in a sample of ``share`` of all rows, by a hash of ``columns``; exact to 2^-63, so that no table is too large for it."""
+    hashed = F.xxhash64(F.lit(seed), *columns)
+    return F.lit(True) if share >= 1 else hashed < drawn_below(share)
+
+
+def drawn_below(share: float) -> int:
+    """The bound on signed 64-bit hashes that leaves ``share`` of them below it."""
+    return max(-(1 << 63) + 1, min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63)))
+
+
+def join_each(rows: DataFrame, told: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row of ``told`` that has their ``key`` (a column of both, never null in ``told``).
+
+    ``weight`` of ``told`` says for how many rows it stands. A small ``told`` is broadcast. Of a large one, keys
+    that stand for many rows are: there are ``BROADCAST_ROWS`` of them at most; the others are dealt by key.
+    """
+    size = told.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(told), key, how)
+    many = F.col(weight) > max(1000, size[1] // BROADCAST_ROWS)
+    hot, cold = told.where(many), told.where(~many)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+
+
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """Least node reachable from each node that has an edge.
 

@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from .common import written
 from .words import WORD, as_bytes, few, in_chunks, split_words
 
-#: Bytes of text in a shard, bytes of benchmark text searched for in one pass, and the distance between suffix samples.
-SHARD_BYTES, PART_BYTES, SAMPLED = 4 << 20, 1 << 20, 16
+#: Bytes of text in a shard, bytes of benchmark text searched for in one pass, bytes of a piece of an item, and the distance between suffix samples.
+SHARD_BYTES, PART_BYTES, PIECE_BYTES, SAMPLED = 4 << 20, 1 << 20, 64 << 10, 16
 
 
 class FMIndex:
@@ -191,17 +193,68 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def parts_of(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
-    """The benchmark in parts small enough to go to every task: one part as a rule, more for a large benchmark."""
+def in_parts(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, int]:
+    """The benchmark's items as a table of pieces (``item``, ``text``, ``part``) and the number of parts, each small enough to go to every task.
+
+    A long item is cut into pieces that overlap by ``window`` - 1 words, so that each of its windows lies in one.
+    """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n = -(-size // PART_BYTES) or 1
-    return [benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k) if n > 1 else benchmark for k in range(n)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches, 64):
+            at, texts = [], []
+            for k, text in enumerate(as_bytes(batch.column(1))):
+                words = split_words(text)
+                start = 0
+                while True:
+                    end, held = start, 0
+                    while end < len(words) and (held < PIECE_BYTES or end < start + window):
+                        held += len(words[end]) + 1
+                        end += 1
+                    at.append(k)
+                    texts.append(b" ".join(words[start:end]))
+                    if end == len(words):
+                        break
+                    start = end - window + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, type=pa.int64())), pa.array(texts, type=pa.binary()).cast(pa.string())], names=["item", "text"])
+
+    pieces = benchmark.select(F.col(item_col).cast("string"), text_col).mapInArrow(run, "item string, text string")
+    return written(pieces.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), "benchmark-pieces"), n
+
+
+def phrases_of(pieces: DataFrame, part: int, window: int) -> Phrases:
+    """The windows of one part; about ``PART_BYTES`` reach the driver."""
+    rows = pieces.where(F.col("part") == part).select("item", F.col("text").cast("binary")).collect()
+    return Phrases([(r[0], bytes(r[1])) for r in rows], window)
 
-def with_phrases(benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> Iterator[Phrases]:
-    for part in parts_of(benchmark, item_col, item_text_col):
-        rows = part.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary")).collect()  # at most PART_BYTES, by parts_of
-        yield Phrases([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], window)
+
+def shards(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Rows whose texts (column ``at``) make a shard together, and those texts."""
+    for batch in few(batches, 4096):
+        texts = as_bytes(batch.column(at))
+        for part in in_chunks(texts, SHARD_BYTES):
+            yield batch.slice(part.start, part.stop - part.start), texts[part]
+
+
+def spans_of(column: pa.Array) -> list[list[tuple[int, int]]]:
+    return [[(x["start"], x["end"]) for x in old or ()] for old in column.to_pylist()]
+
+
+def search(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """``docs`` (id, text and, from parts before, n_words, spans, items) with what one part of the benchmark adds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for here, texts in shards(batches, 1):
+            n_words, spans, items = find(texts, phrases)
+            if here.num_columns > 2:
+                spans = [merge(old, new) for old, new in zip(spans_of(here.column("spans")), spans, strict=True)]
+                items = [sorted({*old, *new}) for old, new in zip(here.column("items").to_pylist(), items, strict=True)]
+            spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], type=SPANS)
+            yield pa.RecordBatch.from_arrays([*here.columns[:2], pa.array(n_words), spans, pa.array(items, type=pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
+
+    kind = docs.schema[0].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -210,54 +263,52 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     A phrase is any ``window`` consecutive words of an item, or a whole shorter item. Null and empty texts
     have no words; items without words are never found; a null item id is left out of ``items``. Rows are
     never joined or shuffled, so repeated rows and ids stay as they are; other columns are ignored. A
-    large benchmark is searched for in parts, one pass each, that add to the spans found before.
+    large benchmark is searched for in parts: one pass each, a written table between them, that adds to the
+    spans found before; one part at a time is held.
     """
-
-    def search(phrases: Phrases):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in few(batches, 4096):
-                texts = as_bytes(batch.column(1))
-                for part in in_chunks(texts, SHARD_BYTES):
-                    here = batch.slice(part.start, part.stop - part.start)
-                    n_words, spans, items = find(texts[part], phrases)
-                    if batch.num_columns > 2:
-                        spans = [merge([(x["start"], x["end"]) for x in old], new) for old, new in zip(here.column("spans").to_pylist(), spans, strict=True)]
-                        items = [sorted({*old, *new}) for old, new in zip(here.column("items").to_pylist(), items, strict=True)]
-                    spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], type=SPANS)
-                    yield pa.RecordBatch.from_arrays([*here.columns[:2], pa.array(n_words), spans, pa.array(items, type=pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
-
-        return run
-
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    for phrases in with_phrases(benchmark, item_col, item_text_col, window):
-        out = out.mapInArrow(search(phrases), f"id {kind}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    pieces, n = in_parts(benchmark, item_col, item_text_col, window)
+    for k in range(n):
+        out = search(out, phrases_of(pieces, k, window))
+        if k < n - 1:
+            out = written(out, "benchmark-spans")
     return out.toDF(id_col, text_col, "n_words", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """``docs`` with all occurrences of benchmark phrases cut from ``text_col``, as ``contaminated_spans`` finds them; the rows and the other columns stay.
 
-    ``length_col``: a column that counts the characters of the text anew where it is cut.
+    ``length_col``: a column that counts the characters of the text anew where it is cut. All parts of a large
+    benchmark search the text as it came; it is cut once, in the last pass.
     """
     at = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col else None
-    parts = list(with_phrases(benchmark, item_col, item_text_col, window))
+    pieces, n = in_parts(benchmark, item_col, item_text_col, window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few(batches, 4096):
-            texts = as_bytes(batch.column(at))
-            for part in in_chunks(texts, SHARD_BYTES):
-                here, own = batch.slice(part.start, part.stop - part.start), texts[part]
-                spans: list[list[tuple[int, int]]] = [[] for _ in own]
-                for phrases in parts:  # all parts search the text as it came
-                    spans = [merge(a, b) for a, b in zip(spans, find(own, phrases)[1], strict=True)]
-                columns = list(here.columns)
-                if any(spans):
-                    own = [cut(t, s) if s else t for t, s in zip(own, spans, strict=True)]
-                    columns[at] = pa.array(own, type=pa.binary()).cast(pa.string())
+    def find_more(phrases: Phrases, last: bool, carried: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for here, own in shards(batches, at):
+                spans, columns = find(own, phrases)[1], list(here.columns)
+                if carried:
+                    spans = [merge(a, b) for a, b in zip(spans_of(columns.pop()), spans, strict=True)]
+                names = here.schema.names[: len(columns)]
+                if last and any(spans):
+                    cuts = [cut(t, s) if s else t for t, s in zip(own, spans, strict=True)]
+                    columns[at] = pa.array(cuts, type=pa.binary()).cast(pa.string())
                     if size is not None:
-                        columns[size] = pa.array([len(t.decode()) if s else n for t, s, n in zip(own, spans, columns[size].to_pylist(), strict=True)], type=columns[size].type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                        columns[size] = pa.array([len(t.decode()) if s else x for t, s, x in zip(cuts, spans, columns[size].to_pylist(), strict=True)], type=columns[size].type)
+                if not last:
+                    columns.append(pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], type=SPANS))
+                    names = [*names, carry]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    kept, carry = StructType(docs.schema.fields), "_spans"
+    while carry in docs.columns:
+        carry += "_"
+    carries = StructType([*kept.fields, StructField(carry, ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))])
+    out = docs
+    for k in range(n - 1):
+        out = written(out.mapInArrow(find_more(phrases_of(pieces, k, window), False, k > 0), carries), "benchmark-spans")
+    return out.mapInArrow(find_more(phrases_of(pieces, n - 1, window), True, n > 1), kept)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,72 +37,67 @@ TAG = "spdx license identifier"
 #: How far a licence binds those who reuse the text, from 0 (free) to 1 (reserved); other known families by prefix.
 BINDING = {"cc0": 0.0, "public-domain": 0.0, "unlicense": 0.0, "0bsd": 0.0, "mit": 0.1, "bsd": 0.1, "isc": 0.1, "apache": 0.2, "cc-by": 0.3, "mpl": 0.4, "epl": 0.4, "lgpl": 0.5, "gfdl": 0.6, "cc-by-sa": 0.6, "gpl": 0.7, "agpl": 0.8, "cc-by-nd": 0.8, "cc-by-nc": 0.9, "reserved": 1.0}
 UNKNOWN = 0.9
-EXPRESSION = re.compile(rb"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+EXPRESSION = re.compile(rb"[\n()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
+JOIN = {"or": min, "and": max, "with": lambda licence, exception: 0.8 * licence}
 
 
+@lru_cache(maxsize=4096)
 def binding(label: str) -> float:
     """Of the longest known family that the label begins with."""
     known = [k for k in BINDING if label == k or re.match(rf"{re.escape(k)}[-.\d+]", label)]
     return BINDING[max(known, key=len)] if known else UNKNOWN
 
 
-def read_expression(line: bytes) -> tuple[list[str], float | None]:
-    """Licences named by the longest well-formed expression that ``line`` begins with, and how far it binds.
+def read_expression(text: bytes, start: int = 0) -> tuple[list[str], float | None]:
+    """Licences named by the longest well-formed expression from ``start`` on, within its line, and how far it binds.
 
     Shunting-yard: ``or`` takes the freer side, ``and`` the stricter one, ``with`` grants an exception
-    that eases its licence by a fifth; parentheses group. No expression: no licences and None.
+    that eases its licence by a fifth; parentheses group. The line is read once, up to its end or the first
+    token that nothing can follow; each place where the expression may end is remembered with its value.
+    No expression: no licences and None.
     """
-    tokens = [m.group().decode().lower() for m in EXPRESSION.finditer(line)]
-    for end in range(len(tokens), 0, -1):
-        found = evaluate(tokens[:end])
-        if found:
-            return found
-    return [], None
-
-
-def evaluate(tokens: list[str]) -> tuple[list[str], float] | None:
     values: list[float] = []
     operators: list[str] = []
     names: list[str] = []
-    operand, excepts = True, False  # what must come next; whether it is an exception's name
+    operand, excepts, depth = True, False, 0  # what must come next; whether it is an exception's name; open parentheses
+    found: tuple[int, float | None] = 0, None
 
     def apply() -> None:
-        op, right, left = operators.pop(), values.pop(), values.pop()
-        values.append({"or": min, "and": max, "with": lambda a, b: 0.8 * a}[op](left, right))
-
-    for token in tokens:
+        right, left = values.pop(), values.pop()
+        values.append(JOIN[operators.pop()](left, right))
+
+    for match in EXPRESSION.finditer(text, start):
+        token = match.group().decode().lower()
+        opens = token not in RANK and token not in (")", "\n")  # begins an operand
+        if token == "\n" or token[-1] == ":" or operand != opens or token == "(" and excepts or token == ")" and not depth:
+            break
         if token == "(":
-            if not operand or excepts:
-                return None
             operators.append(token)
-        elif token == ")":
-            while operators and operators[-1] != "(":
-                if len(values) < 2:
-                    return None
+            depth += 1
+            continue
+        if token == ")":
+            while operators[-1] != "(":
                 apply()
-            if operand or not operators:
-                return None
             operators.pop()
+            depth -= 1
         elif token in RANK:
-            if operand:
-                return None
             while operators and RANK.get(operators[-1], 0) >= RANK[token]:
                 apply()
             operators.append(token)
             operand, excepts = True, token == "with"
+            continue
         else:
-            if not operand:
-                return None
             values.append(0.0 if excepts else binding(token))
             if not excepts:
                 names.append(token)
             operand, excepts = False, False
-    if operand or "(" in operators:
-        return None
-    while operators:
-        apply()
-    return names, values[0]
+        if not depth:  # the operators that wait are of rising rank: three at most
+            value = values[-1]
+            for op, left in zip(reversed(operators), reversed(values[:-1][-3:]), strict=False):
+                value = JOIN[op](left, value)
+            found = len(names), value
+    return names[: found[0]], found[1]
 
 
 @cache
@@ -141,7 +136,7 @@ def scan(text: bytes | None) -> dict:
     if tags:
         ends = [m.end() for m in WORD.finditer(text)]
         for tag in tags:
-            names, value = read_expression(text[ends[tag] :].split(b"\n", 1)[0])
+            names, value = read_expression(text, ends[tag])
             labels.update(names)
             score = max(score, value or 0.0)
     return {"n_words": len(words), "places": [{"word": w, "phrase": p} for w, p in places], "base": base, "base_labels": sorted(base_labels), "labels": sorted(labels), "score": score}
@@ -155,7 +150,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``n_words``; ``places`` (word number and phrase, as they end); ``base`` (starts of the counted phrases);
     ``base_labels``, ``labels`` (sorted); ``score``: how far the strictest notice binds, 0 without any.
-    Null and empty texts have no words and no labels. Rows stay where they are: nothing is joined or
+    Null and empty texts have no words and no labels. An expression ends with its line at the latest; lines
+    of any length and with any number of tags are read in time in proportion to them. Rows stay where they are: nothing is joined or
     shuffled, repeated rows stay, other columns are ignored.
     """
 

@@ -1,15 +1,17 @@
 """Language-model scores: a weighted backoff automaton over smoothed n-grams counted on all training rows.
 
-Order two. A state is a history (a word, or the start of a text). An arc reads a word seen after it in
-training and weighs log10 of (c(h,w) + mu * p(w)) / (c(h) + mu); any other word takes the failure arc,
-log10 of mu / (c(h) + mu), to the root, whose arcs weigh log10 p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
-Dirichlet smoothing makes each state's weights sum to one.
+A state is a history: none (the root), a word or the start of a text, two words, up to ``order`` - 1. An arc
+reads a word seen after the history in training and leads to the state of the longest history that ends with
+it; a word not seen there takes the failure arc to the history without its first word. An arc weighs log10 of
+p(w|h) = (c(h,w) + mu * p(w|h')) / (c(h) + mu), a failure arc log10 of mu / (c(h) + mu), the root's arcs
+log10 of p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). So the weights of each state sum to one.
 
 Texts are handled in blocks of bounded size. A block asks for the counts of the n-grams that its texts
 hold, one sorted list a bucket of n-gram hashes; a bucket adds up what all blocks bring and answers each
 block with the totals in the order asked. So n-grams are counted before they are shuffled, each crosses
-once and only its count comes back, and each block scores its texts with the part of the automaton that
-they can enter. Nothing of the model goes through the driver but the two sums N and V.
+once and only its count comes back, and each block is read by the part of the automaton that its texts can
+enter. Nothing of the model goes through the driver but the two sums N and V. A block sends no row to a
+bucket that it asks nothing of: there are never more rows than n-grams.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import as_bytes, in_chunks
+from .words import as_bytes, few, in_chunks
 
 #: Stand-ins, no words since words hold no white space, for the end and the start of a text.
 END, START = b"\n", b" "
-#: Bytes of text in a block, tokens to a bucket, and the weight of the lower order.
-BLOCK_BYTES, BUCKET_TOKENS = 2 << 20, 2_000_000
-MU = 300.0
+#: Bytes of text in a block, tokens to a bucket, words of an n-gram, and the weight of the lower order for each order from two on.
+BLOCK_BYTES, BUCKET_TOKENS, ORDER = 6 << 20, 2_000_000, 3
+MU = (300.0, 100.0)
+#: Bits by which the keys of longer n-grams exceed the number of tokens: about one of 2^18 shares its key with another.
+SPARE_BITS = 18
 
 
 def shrink(x: np.ndarray) -> bytes:
@@ -57,155 +61,223 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for part in in_chunks(texts, BLOCK_BYTES):
-                number: defaultdict[bytes, int] = defaultdict()
-                number.default_factory = number.__len__
-                number[END], number[START]
-                tokens, sizes = [], []
-                for text in texts[part]:
-                    row = [number[w] for w in text.lower().split()] if text else []
-                    row.append(0)
-                    tokens.append(np.array(row, dtype=np.int32))
-                    sizes.append(len(row))
-                here = batch.slice(part.start, part.stop - part.start)
-                flat = np.concatenate(tokens)
-                words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(w for w in number if w not in (END, START)))
-                one = lambda values, kind: pa.array([values], type=pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, here.num_rows], type=pa.int32()), here.column(0)), one(here.column(2).to_pylist(), pa.bool_()), one(sizes, pa.int32()), pa.array([len(number)], type=pa.int32()), pa.array([words], type=pa.binary()), pa.array([shrink(flat)], type=pa.binary())], names=["block", "ids", "held", "sizes", "n_words", "words", "tokens"])
-                block += 1
+        for here in joined(batches, BLOCK_BYTES):
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            number[END], number[START]
+            tokens, sizes = [], []
+            for text in as_bytes(here.column(1)):
+                row = [number[w] for w in text.lower().split()] if text else []
+                row.append(0)
+                tokens.append(np.array(row, dtype=np.int32))
+                sizes.append(len(row))
+            flat = np.concatenate(tokens)
+            words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(w for w in number if w not in (END, START)))
+            one = lambda values, kind: pa.array([values], type=pa.list_(kind))
+            ids = pa.ListArray.from_arrays(pa.array([0, here.num_rows], type=pa.int32()), here.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), ids, one(here.column(2).to_pylist(), pa.bool_()), one(sizes, pa.int32()), pa.array([len(number)], type=pa.int32()), pa.array([words], type=pa.binary()), pa.array([shrink(flat)], type=pa.binary())], names=["block", "ids", "held", "sizes", "n_words", "words", "tokens"])
+            block += 1
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     return docs.select(id_col, text_col, held.alias("held")).mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, sizes array<int>, n_words int, words binary, tokens binary")
 
 
+def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows together until their texts (the second column) hold about ``most`` bytes; a longer text stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        for part in in_chunks(as_bytes(batch.column(1)), most):
+            here = batch.slice(part.start, part.stop - part.start)
+            grown = pa.compute.sum(pa.compute.binary_length(here.column(1))).as_py() or 0
+            if held and size + grown > most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(here)
+            size += grown
+    if size or sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Block:
-    """The n-grams of one block's texts: distinct keys, and where each token finds its own."""
+    """The n-grams of one block's texts, by length: distinct ones as (number of the history, number of the word)."""
 
-    def __init__(self, sizes: np.ndarray, held: np.ndarray, n_words: int, words: bytes, tokens: bytes):
+    def __init__(self, sizes: np.ndarray, held: np.ndarray, n_words: int, words: bytes, tokens: bytes, order: int, bits: int):
         import xxhash
 
         self.sizes = sizes = np.asarray(sizes, dtype=np.int64)
         self.tokens = expand(tokens, "<i4").astype(np.int64)
+        self.n_words = n_words
         text = zstandard.ZstdDecompressor().decompress(words)
         spelled = text.split(b"\n") if n_words > 2 else []  # no word holds a line end
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [END, START, *spelled]), dtype=np.uint64, count=n_words)
-        ends = np.cumsum(sizes)
-        self.history = np.concatenate([[1], self.tokens[:-1]]) if len(self.tokens) else self.tokens
-        self.history[(ends - sizes)[sizes > 0]] = 1
-        self.trained = np.repeat(~np.asarray(held, dtype=bool), sizes)
-        pair, self.arc = np.unique(self.history * n_words + self.tokens, return_inverse=True)
-        self.pair = pair
-        # of two words in order; the constants are the fixed ones of a common 64-bit mixer
-        mixed = self.hashes[pair // n_words] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[pair % n_words]
-        mixed ^= mixed >> np.uint64(31)
-        self.pair_hashes = mixed * np.uint64(0xBF58476D1CE4E5B9)
-
-    def asked(self, kind: int, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Bucket, and the n-grams (numbers within the block) that fall into it, in order of their hashes."""
-        keys = self.pair_hashes if kind else self.hashes
-        order = np.argsort(keys, kind="stable")
-        bucket = (keys[order] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-        at = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
-        for k in range(n_buckets):
-            if at[k] < at[k + 1]:
-                yield k, order[at[k] : at[k + 1]]
-
-    def counts(self, kind: int) -> np.ndarray:
-        """How often the training rows of the block hold each n-gram."""
-        return np.bincount((self.arc if kind else self.tokens)[self.trained], minlength=len(self.pair) if kind else len(self.hashes))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [END, START, *spelled]), dtype=np.uint64, count=n_words)
+        self.starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(self.tokens)) - np.repeat(self.starts, sizes)
+        trained = np.repeat(~np.asarray(held, dtype=bool), sizes)
+        self.grams: list[np.ndarray] = [np.arange(n_words)]  # history * n_words + word, ascending
+        self.keys = [hashes]
+        self.counts = [np.bincount(self.tokens[trained], minlength=n_words)]
+        # of each token: the number of the gram that ends with it, one word shorter than those to come; the start stands before a text
+        ends, full = self.tokens, hashes
+        for k in range(2, order + 1):
+            before = np.empty_like(ends)
+            before[1:] = ends[:-1]
+            before[place == 0] = 1  # for k = 2 the start; longer histories begin one word later
+            there = place >= k - 2
+            packed = before[there] * n_words + self.tokens[there]
+            grams, inverse = np.unique(packed, return_inverse=True)
+            ends = np.zeros_like(self.tokens)
+            ends[there] = inverse
+            # of a history and a word in order; the constants are the fixed ones of a common 64-bit mixer
+            mixed = full[grams // n_words] * np.uint64(0x9E3779B97F4A7C15) + hashes[grams % n_words] + np.uint64(k)
+            mixed ^= mixed >> np.uint64(31)
+            full = mixed * np.uint64(0xBF58476D1CE4E5B9)
+            full ^= full >> np.uint64(32)
+            self.grams.append(grams)
+            self.keys.append(full >> np.uint64(64 - bits) << np.uint64(64 - bits))
+            self.counts.append(np.bincount(inverse[trained[there]], minlength=len(grams)))
+
+    def asked(self, k: int, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Bucket, and the n-grams of ``k`` + 1 words (their numbers) that fall into it, in order of their keys; buckets without any are left out."""
+        order = np.argsort(self.keys[k], kind="stable")
+        bucket = (self.keys[k][order] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+        kinds, first = np.unique(bucket, return_index=True)
+        yield from zip(kinds.tolist(), np.split(order, first[1:]), strict=True)
 
 
 class Automaton:
-    """States, arcs and failure arcs that the texts of one block can use."""
+    """States, arcs and failure arcs that the texts of one block can use.
 
-    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, total: float, kinds: float, mu: float):
-        n = len(block.hashes)
-        self.root = np.log10((words + 0.1) / (total + 0.1 * (kinds + 1)))
-        seen = words.copy()
-        seen[1] = words[0]  # a text starts as often as it ends
-        state, word = block.pair // n, block.pair % n
-        self.fail = np.log10(mu / (seen + mu))
-        smooth = (pairs + mu * 10.0 ** self.root[word]) / (seen[state] + mu)
-        self.arcs = np.where(pairs > 0, np.log10(smooth), self.fail[state] + self.root[word])
+    State 0 is the root, then come the words, then the longer histories. ``arcs`` holds state * words + word,
+    ascending; ``weight`` and ``target`` go with it. Histories and n-grams never seen in training have none.
+    """
 
-    def traverse(self, arc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log-probability of each text, read from left to right: after a word the state is that word, so the path is known and its weights are added up."""
-        return sums(self.arcs[arc], sizes)
+    def __init__(self, n_words: int, grams: list[np.ndarray], counts: list[np.ndarray], total: float, kinds: float, mu: tuple[float, ...]):
+        n, order = n_words, len(grams)
+        self.n_words = n
+        below = (counts[0] + 0.1) / (total + 0.1 * (kinds + 1))  # p of every gram, seen or not
+        self.root = np.log10(below)
+        first = np.cumsum([1, *map(len, grams)])  # the state of the first gram of each length
+        times = counts[0].copy()
+        times[1] = counts[0][0]  # a text starts as often as it ends
+        arcs, weight, target = [np.arange(n)], [self.root], [np.where(times > 0, 1 + np.arange(n), 0)]
+        fail, given_up, states = [np.zeros(1, dtype=np.int64)], [np.zeros(1)], np.zeros(n, dtype=np.int64)
+        for k in range(1, order):
+            history, word = grams[k] // n, grams[k] % n
+            fail.append(states)  # of the histories of k words
+            given_up.append(np.log10(mu[k - 1] / (times + mu[k - 1])))
+            # the same n-gram without its first word: its history's failure state, read by the same word
+            shorter = word if k == 1 else np.searchsorted(grams[k - 1], (states[history] - first[k - 2]) * n + word)
+            below = (counts[k] + mu[k - 1] * below[shorter]) / (times[history] + mu[k - 1])
+            seen = counts[k] > 0
+            arcs.append((first[k - 1] + history[seen]) * n + word[seen])
+            weight.append(np.log10(below[seen]))
+            # after the word: the gram itself as a history, or its own shorter end if no longer history is kept
+            here = first[k] + np.arange(len(grams[k])) if k < order - 1 else first[k - 1] + shorter
+            target.append(here[seen])
+            states = first[k - 1] + shorter
+            times = counts[k]
+        self.arcs, self.weight, self.target = map(np.concatenate, (arcs, weight, target))
+        self.fail, self.given_up = np.concatenate(fail), np.concatenate(given_up)
+
+    def traverse(self, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log-probability of each text: all texts are read together, one word a step from left to right, each in its own state."""
+        order = np.argsort(-sizes, kind="stable")
+        starts, longest = starts[order], sizes[order]
+        state, score = np.full(len(sizes), 1 + 1, dtype=np.int64), np.zeros(len(sizes))  # at the start
+        active = len(sizes)
+        for step in range(int(longest[0]) if len(longest) else 0):
+            while longest[active - 1] <= step:
+                active -= 1
+            word, todo = tokens[starts[:active] + step], np.arange(active)
+            while len(todo):
+                want = state[todo] * self.n_words + word[todo]
+                at = np.minimum(np.searchsorted(self.arcs, want), len(self.arcs) - 1)
+                found = self.arcs[at] == want
+                hit, at = todo[found], at[found]
+                score[hit] += self.weight[at]
+                state[hit] = self.target[at]
+                todo = todo[~found]
+                score[todo] += self.given_up[state[todo]]
+                state[todo] = self.fail[state[todo]]
+        out = np.empty_like(score)
+        out[order] = score
+        return out
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    starts = np.cumsum(sizes) - sizes
-    return np.add.reduceat(values, starts) if len(sizes) else np.zeros(0)
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    for batch in batches:
-        for row in batch.select(["block", "sizes", "held", "n_words", "words", "tokens"]).to_pylist():
-            yield row.pop("block"), Block(**row)
+def ask(order: int, bits: int, n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches, 1):
+            for row in batch.select(["block", "sizes", "held", "n_words", "words", "tokens"]).to_pylist():
+                number, block, rows = row.pop("block"), Block(**row, order=order, bits=bits), []
+                for k in range(order):
+                    counts = block.counts[k].astype("<u4")
+                    rows += [(order * b + k, number, shrink_sorted(block.keys[k][at]), shrink(counts[at])) for b, at in block.asked(k, n_buckets)]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "counts"])
+
+    return run
 
 
-def ask(n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks_of(batches):
-            rows = []
-            for kind in (0, 1):
-                keys, counts = (block.pair_hashes if kind else block.hashes), block.counts(kind).astype("<u4")
-                rows += [(2 * k + kind, number, shrink_sorted(keys[at]), shrink(counts[at])) for k, at in block.asked(kind, n_buckets)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "counts"])
+def answer(order: int):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """Totals of one bucket, sent back to each block; for words also a row of their kinds and tokens."""
+        keys = [expand_sorted(k) for k in frame["keys"]]
+        counts = np.concatenate([expand(c, "<u4") for c in frame["counts"]]).astype(np.int64)
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
+        ends = np.cumsum([len(k) for k in keys])
+        replies = [shrink(total[place[e - len(k) : e]].astype("<i8")) for e, k in zip(ends, keys, strict=True)]
+        out = pd.DataFrame({"bucket": key[0], "block": frame["block"].to_numpy(), "totals": replies, "kinds": 0, "sum": 0})
+        if key[0] % order == 0:
+            out = pd.concat([out, pd.DataFrame({"bucket": [key[0]], "block": [-1], "totals": [b""], "kinds": [int((total > 0).sum())], "sum": [int(total.sum())]})])
+        return out
 
     return run
 
 
-def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Totals of one bucket, sent back to each block; for words also a row of their kinds and tokens."""
-    frame = frame.sort_values("block", kind="stable")
-    keys = [expand_sorted(k) for k in frame["keys"]]
-    counts = np.concatenate([expand(c, "<u4") for c in frame["counts"]]).astype(np.int64)
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
-    ends = np.cumsum([len(k) for k in keys])
-    replies = [shrink(total[place[e - len(k) : e]].astype("<i8")) for e, k in zip(ends, keys, strict=True)]
-    out = pd.DataFrame({"bucket": np.int32(key[0]), "block": frame["block"].to_numpy(), "totals": replies, "kinds": 0, "sum": 0})
-    if key[0] % 2 == 0:
-        out = pd.concat([out, pd.DataFrame({"bucket": [np.int32(key[0])], "block": [-1], "totals": [b""], "kinds": [int((total > 0).sum())], "sum": [int(total.sum())]})])
-    return out
+def key_bits(n_tokens: int) -> int:
+    return min(64, max(1, n_tokens).bit_length() + SPARE_BITS)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: tuple[float, ...] = MU) -> DataFrame:
     """``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row.
 
     The model learns from all rows whose crc32 of the id as text leaves a remainder mod 10 other than 0.
     Tokens are words between ASCII white space, A-Z lower-cased, then one end. A null text is empty (the
     end alone); a null id counts as empty text, which is held out; repeated rows count and stay; an empty
-    table gives an empty result; other columns are ignored. Words are told apart by 64-bit hashes.
+    table gives an empty result; other columns are ignored. Words are told apart by 64-bit hashes, longer
+    n-grams by as many bits as make about one in 2^``SPARE_BITS`` share its key. ``order`` words at most make
+    an n-gram; ``mu`` has a value for each length from two on.
     """
+    if not 1 <= order <= len(mu) + 1:
+        raise ValueError("mu has a value for each length from two on")
     blocks = written(in_blocks(docs, id_col, text_col), "lm-blocks")
     n_tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    n_buckets = max(4, -(-n_tokens // BUCKET_TOKENS))
-    asked = blocks.mapInArrow(ask(n_buckets), "bucket int, block long, keys binary, counts binary")
-    replies = written(asked.repartition(2 * n_buckets, "bucket").groupBy("bucket").applyInPandas(answer, "bucket int, block long, totals binary, kinds long, sum long"), "lm-counts")
+    n_buckets, bits = max(4, -(-n_tokens // BUCKET_TOKENS)), key_bits(n_tokens)
+    asked = blocks.mapInArrow(ask(order, bits, n_buckets), "bucket long, block long, keys binary, counts binary")
+    replies = written(asked.repartition(order * n_buckets, "bucket").groupBy("bucket").applyInPandas(answer(order), "bucket long, block long, totals binary, kinds long, sum long"), "lm-counts")
     kinds, total = replies.where("block = -1").agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("sum"), F.lit(0))).first()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples():
-            block = Block(row.sizes, row.held, row.n_words, row.words, row.tokens)
-            found = [np.zeros(len(block.hashes), dtype=np.int64), np.zeros(len(block.pair), dtype=np.int64)]
-            totals = dict(zip(right["bucket"], right["totals"], strict=True))
-            for k in (0, 1):
+            block = Block(row.sizes, row.held, row.n_words, row.words, row.tokens, order, bits)
+            told, counts = dict(zip(right["bucket"], right["totals"], strict=True)), []
+            for k in range(order):
+                counts.append(np.zeros(len(block.keys[k]), dtype=np.int64))
                 for bucket, at in block.asked(k, n_buckets):
-                    found[k][at] = expand(totals[2 * bucket + k], "<i8")
-            words, pairs = found
-            auto = Automaton(block, words, pairs, total, kinds, mu)
-            known = sums((words[block.tokens] > 0).astype(np.int64), block.sizes)
-            out.append(pd.DataFrame({id_col: pd.Series(list(row.ids), dtype=object), "held_out": np.asarray(row.held, dtype=bool), "n_tokens": block.sizes, "n_known": known, "train_tokens": total, "base_score": sums(auto.root[block.tokens], block.sizes), "score": auto.traverse(block.arc, block.sizes)}))
+                    counts[k][at] = expand(told.pop(order * bucket + k), "<i8")
+            auto = Automaton(block.n_words, block.grams, counts, total, kinds, mu)
+            known = sums((counts[0][block.tokens] > 0).astype(np.int64), block.sizes)
+            out.append(pd.DataFrame({id_col: pd.Series(list(row.ids), dtype=object), "held_out": np.asarray(row.held, dtype=bool), "n_tokens": block.sizes, "n_known": known, "train_tokens": total, "base_score": sums(auto.root[block.tokens], block.sizes), "score": auto.traverse(block.tokens, block.starts, block.sizes)}))
         return pd.concat(out) if out else pd.DataFrame(columns=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    told = replies.where("block >= 0").select("block", "bucket", "totals")
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, schema)
+    said = replies.where("block >= 0").select("block", "bucket", "totals")
+    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(score, schema)

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +51,14 @@ def encoder(json_path: str, rank_path: str | None):
 
 
 def pieces(docs: DataFrame, json_path: str, rank_path: str | None = None, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's ids and ``end_id``, cut into pieces of at most ``length``: ``id_col``, ``piece``, ``start``, ``length``, ``ids``.
+    """Every document's ids and ``end_id``, cut into pieces of at most ``length``: ``id_col``, ``piece``, ``start``, ``length``, ``ids``, ``deal``.
 
-    Only documents longer than ``length`` are cut; then the first piece is what full ones leave over.
+    ``deal`` is a number of the piece's own, from its task and its place there, the same when a task over a
+    file is run again. Only documents longer than ``length`` are cut; then the first piece is what full ones leave over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(json_path, rank_path)
+        encode, deal = encoder(json_path, rank_path), TaskContext.get().partitionId() << 40
         for batch in few(batches):
             row, piece, start, ids = [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
@@ -68,10 +70,11 @@ def pieces(docs: DataFrame, json_path: str, rank_path: str | None = None, length
                     piece.append(j)
                     start.append(a)
                     ids.append(all_ids[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, type=pa.int64())), pa.array(piece, type=pa.int32()), pa.array(start, type=pa.int64()), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array(ids, type=pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, type=pa.int64())), pa.array(piece, type=pa.int32()), pa.array(start, type=pa.int64()), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array(ids, type=pa.binary()), pa.array(np.arange(deal, deal + len(ids)))], names=[id_col, "piece", "start", "length", "ids", "deal"])
+            deal += len(ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary, deal long")
 
 
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,18 +135,18 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(cut: DataFrame, n_groups: int, length: int = 2048) -> DataFrame:
-    """``cut`` with ``sequence_id`` and ``offset``. ``cut``: ``length`` and any other columns.
+    """``cut`` with ``sequence_id`` and ``offset``. ``cut``: ``length``, ``deal`` and any other columns.
 
-    Pieces are dealt into ``n_groups`` groups by a hash of their columns, packed one by one, so that a
-    group of copies is spread. A sequence's number is its group's number times 2^32 and its own.
+    Pieces are dealt into ``n_groups`` groups by a hash of ``deal``, so that copies, and repeated rows too, are
+    spread; groups are packed one by one. A sequence's number is its group's number times 2^32 and its own.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = best_two_fit(frame["length"].to_numpy(np.int64), length)
         return frame.drop(columns="group").assign(sequence_id=(frame["group"].to_numpy(np.int64) << 32) + bins, offset=offsets)
 
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64(*cut.columns), F.lit(n_groups)).cast("int"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("deal"), F.lit(n_groups)).cast("int")).drop("deal")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "deal")
     return dealt.groupBy("group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 

@@ -13,13 +13,14 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, written
 
 #: Bytes of a chunk, and bytes of chunks that are sent on together.
 CHUNK, TOGETHER = 1 << 20, 8 << 20
@@ -35,23 +36,35 @@ def header(page: str | None, url: str | None, date: str, n: int, sha1: bytes, re
     """A record's head, blank line included; a revisit has no block of its own."""
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", f"X-Payload-Length: {n}"]
     if page is not None:
-        lines += [f"WARC-Record-ID: <urn:page:{page}>"]
+        lines += [f"WARC-Record-ID: <urn:page:{quote(page, safe='')}>"]
     if url is not None:
         lines += [f"WARC-Target-URI: {CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url)}"]
     if refers is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: <urn:page:{quote(refers, safe='')}>", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {n if refers is None else 0}", "", ""]).encode()
 
 
 def with_targets(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """``pages`` with ``sha1``, and ``refers``: the largest id among equal payloads of ``REVISIT_FROM`` bytes or more, where it isn't the row's own.
 
-    Only digests meet in the first shuffle, combined before it; of them, those that stand for several rows go into the join.
+    Digests alone are grouped, combined before the shuffle; those that stand for several rows (``held``) go
+    back to the pages as a broadcast if they are few. If not, those of the largest groups do, whose number is
+    bounded, and only pages whose payload is long enough meet the others in a join.
     """
     known = pages.withColumn("sha1", F.sha1(payload_col)).withColumn("n", F.octet_length(payload_col).cast("long"))
-    held = known.where(F.col("n") >= REVISIT_FROM).groupBy("sha1", "n").agg(F.max(id_col).alias("target"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    long, short = known.where(F.col("n") >= REVISIT_FROM), known.where(F.col("n") < REVISIT_FROM)
+    held = written(long.groupBy("sha1", "n").agg(F.max(id_col).alias("target"), F.count("*").alias("rows")).where("rows > 1"), "warc-repeated")
+    keys = ["sha1", "n"]
+    groups, total = held.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    if groups <= BROADCAST_ROWS:
+        joined = known.join(F.broadcast(held.drop("rows")), keys, "left")
+    else:
+        many = F.col("rows") > max(1000, total // BROADCAST_ROWS)
+        hot, cold = held.where(many).drop("rows"), held.where(~many).drop("rows")
+        rest = long.join(F.broadcast(hot), keys, "left_anti").join(cold, keys, "left")
+        joined = long.join(F.broadcast(hot), keys).unionByName(rest).unionByName(short, allowMissingColumns=True)
     refers = F.when(F.col("target").eqNullSafe(F.col(id_col)), F.lit(None)).otherwise(F.col("target"))
-    return known.join(held, ["sha1", "n"], "left").withColumn("refers", refers)
+    return joined.withColumn("refers", refers)
 
 
 def to_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", date: str = "2024-01-01T00:00:00Z", chunk: int = CHUNK) -> DataFrame:
@@ -124,7 +137,7 @@ class Reader:
         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
         if self.left or bytes(data_[len(block) :]) != b"\r\n\r\n" or fields["WARC-Type"] == "response" and self.sha1.hexdigest() != digest:
             raise ValueError("a record's block differs from its head")
-        page, refers = (fields[k][10:-1] if k in fields else None for k in ("WARC-Record-ID", "WARC-Refers-To"))
+        page, refers = (unquote(fields[k][10:-1]) if k in fields else None for k in ("WARC-Record-ID", "WARC-Refers-To"))
         return page, int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], refers
 
 

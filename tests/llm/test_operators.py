@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -146,8 +147,23 @@ def test_decontaminate(spark, docs, empty):
 def test_decontaminate_in_parts(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame([(k, f"{a} {b}") for k, (a, b) in enumerate(zip(BASE.split(), BASE.split()[1:], strict=False))], "item_id long, text string")
     whole = decontaminate.contaminated_spans(docs, benchmark).orderBy("doc_id", "text").drop("text").collect()
+    cleaned = sorted(map(str, decontaminate.decontaminate(docs, benchmark, length_col="n_words").collect()))
     monkeypatch.setattr(decontaminate, "PART_BYTES", 60)
     assert decontaminate.contaminated_spans(docs, benchmark).orderBy("doc_id", "text").drop("text").collect() == whole
+    assert sorted(map(str, decontaminate.decontaminate(docs.withColumnRenamed("lang", "_spans"), benchmark, length_col="n_words").withColumnRenamed("_spans", "lang").collect())) == cleaned
+
+
+def test_decontaminate_cuts_long_items_into_pieces(spark, monkeypatch):
+    words_ = [f"w{k * 7919 % 1009}" for k in range(400)]
+    benchmark = spark.createDataFrame([(1, " ".join(words_)), (2, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(["x", *words_[k : k + 12], "y"])) for k in range(0, 388, 5)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 500)
+    pieces, n = decontaminate.in_parts(benchmark, "item_id", "text", 10)
+    assert n > 1 and pieces.groupBy("part").count().count() > 1 and pieces.where("length(text) > 150").count() == 0
+    for r in decontaminate.contaminated_spans(docs, benchmark).collect():
+        assert [(s.start, s.end) for s in r.spans] == [(1, 13)] and r["items"] == ["1"]
+    assert {r.text for r in decontaminate.decontaminate(docs, benchmark).collect()} == {"x  y"}
 
 
 def test_fm_index_finds_every_place():
@@ -309,10 +325,20 @@ def test_chat(spark):
         assert (found[conv].n_turns, found[conv].turns_sha256, found[conv].loss_chars, found[conv].loss_sha256) == (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert {c: r.valid for c, r in found.items()} == {1: True, 2: False, 3: False, None: True, 4: False}
     assert chat.read_chat(chat.format_chat(table.limit(0))).count() == 0
+    other = chat.Template("[/{role}]: ", "[/end]\n", "[/", frozenset({"user"}))
+    again = {r.conv_id: r for r in chat.read_chat(chat.format_chat(table, other), other).collect()}
+    assert {c: (r.n_turns, r.turns_sha256) for c, r in again.items()} == {c: (r.n_turns, r.turns_sha256) for c, r in found.items()}
+    assert again[1].loss_sha256 == hashlib.sha256(b"<|im_start|>a\n").hexdigest()
+    with pytest.raises(Exception, match="doesn't match the template"):
+        chat.read_chat(segments, other).collect()
+    with pytest.raises(ValueError):
+        chat.Template("{role}: ", "end")
+    for text in ("[/end]\n[\\/", "[[/"):
+        assert chat.unescape(chat.escape(text, other), other) == text and "[/" not in chat.escape(text, other)
     for text in ("<|", "<\\|", "<\\\\||<|<", "<<||", "\\<|\\"):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
-    for role in ("a\nb", "\\n", "\\\\n\n", "<|x|>", "\\"):
-        assert chat.unescape_role(chat.escape_role(role)) == role and "\n" not in chat.escape_role(role)
+    for role in ("a\nb", "\\n", "\\\\n\n", "<|x|>", "\\", "\\41;", "é🙂"):
+        assert chat.unescape_role(chat.escape_role(role)) == role and re.fullmatch(r"[A-Za-z0-9_ ;\\-]*", chat.escape_role(role))
 
 
 def test_warc(spark):
@@ -328,6 +354,8 @@ def test_warc(spark):
             again = len(payload) >= 1000 and top != r.page_id
             assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if again else "response", top if again else None)
     assert warc.write_and_read(table.limit(0)).count() == 0
+    odd = spark.createDataFrame([("a\r\nb>", "u", "x" * 2000), ("ü %41", "u", "x" * 2000)], "page_id string, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.write_and_read(odd).collect()) == [("a\r\nb>", "revisit", "ü %41"), ("ü %41", "response", None)]
     archive = warc.to_archive(table, chunk=64).orderBy("record", "chunk").collect()
     assert b"".join(bytes(r.data) for r in archive).startswith(b"WARC/1.1\r\nWARC-Type: ")
     reader = warc.Reader()
@@ -336,6 +364,14 @@ def test_warc(spark):
             reader.feed(r.chunk, r["last"], bytes(r.data)[:-1] + b"?", r.crc)
 
 
+def test_warc_with_many_repeated_payloads(spark, monkeypatch):
+    rows = [(k, "u", f"{k % 9 if k % 3 else 'hot'}" * 1500 if k % 5 else "short") for k in range(90)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, warc.write_and_read(table).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 1)
+    assert sorted(map(str, warc.write_and_read(table).collect())) == want and sum("revisit" in x for x in want) == 65
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -430,6 +466,14 @@ def test_expressions(line, names, value):
     assert found[0] == names and (found[1] == value or math.isclose(found[1], value))
 
 
+def test_many_tags_on_one_line_take_time_in_proportion():
+    began = time.perf_counter()
+    for line in (b"SPDX-License-Identifier: MIT ", b"SPDX-License-Identifier: MIT AND ", b"SPDX-License-Identifier: (", b"MIT AND "):
+        found = licenses.scan(b"SPDX-License-Identifier: " + line * 20_000)
+        assert found["labels"] in (["mit"], [])
+    assert time.perf_counter() - began < 10
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
