@@ -22,19 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import as_bytes, few, in_chunks
+from .words import as_bytes, few
 
 #: Stand-ins, no words since words hold no white space, for the end and the start of a text.
 END, START = b"\n", b" "
 #: Bytes of text in a block, tokens to a bucket, words of an n-gram, and the weight of the lower order for each order from two on.
 BLOCK_BYTES, BUCKET_TOKENS, ORDER = 6 << 20, 2_000_000, 3
-MU = (300.0, 100.0)
+MU = (300.0, 20.0)
 #: Bits by which the keys of longer n-grams exceed the number of tokens: about one of 2^18 shares its key with another.
 SPARE_BITS = 18
 
@@ -84,19 +85,22 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows together until their texts (the second column) hold about ``most`` bytes; a longer text stands alone."""
-    held, size = [], 0
+    """Rows together until their texts (the second column) hold about ``most`` bytes; a longer text ends its block."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     for batch in batches:
-        for part in in_chunks(as_bytes(batch.column(1)), most):
-            here = batch.slice(part.start, part.stop - part.start)
-            grown = pa.compute.sum(pa.compute.binary_length(here.column(1))).as_py() or 0
-            if held and size + grown > most:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-            held.append(here)
-            size += grown
-    if size or sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        start = 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            size += n
+            if size >= most:
+                held.append(batch.slice(start, k + 1 - start))
+                yield whole()
+                held, size, start = [], 0, k + 1
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield whole()
 
 
 class Block:
@@ -254,8 +258,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n-grams by as many bits as make about one in 2^``SPARE_BITS`` share its key. ``order`` words at most make
     an n-gram; ``mu`` has a value for each length from two on.
     """
-    if not 1 <= order <= len(mu) + 1:
-        raise ValueError("mu has a value for each length from two on")
+    if not 2 <= order <= len(mu) + 1:
+        raise ValueError("n-grams have two words or more, and mu a value for each length from two on")
     blocks = written(in_blocks(docs, id_col, text_col), "lm-blocks")
     n_tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     n_buckets, bits = max(4, -(-n_tokens // BUCKET_TOKENS)), key_bits(n_tokens)

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from inkline.llm import chat, common, decontaminate, embeddings, jaccard, licenses, lm, packing, pii, simhash, toxicity, warc
@@ -416,37 +417,86 @@ def test_pii_selects_a_kind_that_the_sample_misses(spark):
     assert {k: v for k, v in found.items() if v} == {k: [v] for k, v in secret.items()}
 
 
-def test_lm(spark, docs, empty):
-    table = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(k, f"a{k % 7} b{k % 3} \0 c", None) for k in range(300, 360)], "doc_id long, text string, score string"))
-    rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), b"\n"], zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 10 == 0) for r in table.collect()]
-    count, pair, state = Counter(), Counter(), Counter()
+def plain_lm(rows, order, mu):
+    """Counts of all n-grams of training rows and a backoff scorer that walks one arc at a time: (id, words with the end, held out) -> score."""
+    count = Counter()
     for _, w, held in rows:
+        padded = [b" ", *w]
+        for k in range(1, order + 1) if not held else ():
+            count.update(tuple(padded[j : j + k]) for j in range(0 if k > 1 else 1, len(padded) - k + 1))
         if not held:
-            count.update(w)
-            pair.update(zip([b" ", *w], w, strict=False))
-            state.update([b" ", *w[:-1]])
-    total, kinds = sum(count.values()), len(count)
-    p = lambda w: (count[w] + 0.1) / (total + 0.1 * (kinds + 1))
-    want = Counter()
-    for d, w, held in rows:
-        base = sum(math.log10(p(x)) for x in w)
-        score = sum(math.log10((pair[a, b] + lm.MU * p(b)) / (state[a] + lm.MU)) for a, b in zip([b" ", *w], w, strict=False))
-        want[d, held, len(w), sum(count[x] > 0 for x in w), total, round(base, 4), round(score, 4)] += 1
-    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in lm.score_texts(table).collect())
-    assert got == want
+            count[(b" ",)] += 1
+    total = sum(n for g, n in count.items() if len(g) == 1 and g != (b" ",))
+    kinds = sum(len(g) == 1 and g != (b" ",) for g in count)
+
+    def p(history, w):
+        if not history:
+            return (count[(w,)] + 0.1) / (total + 0.1 * (kinds + 1))
+        m = mu[len(history) - 1]
+        return (count[(*history, w)] + m * p(history[1:], w)) / (count[history] + m)
+
+    def score(words_):
+        state, told = (b" ",), 0.0
+        for w in words_:
+            while state and not count[(*state, w)]:
+                m = mu[len(state) - 1]
+                told += math.log10(m / (count[state] + m))
+                state = state[1:]
+            told += math.log10(p(state, w))
+            state = (*state, w)[-(order - 1) :]
+            while state and not count[state]:
+                state = state[1:]
+        return told
+
+    base = lambda words_: sum(math.log10(p((), w)) for w in words_)
+    return count, total, base, score
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm(spark, docs, empty, order, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 5000)
+    mu = (30.0, 7.0, 2.0)[: order - 1]
+    table = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(k, f"a{k % 7} b{k % 3} \0 c d{k % 2} a1 b{k % 5} c d1", None) for k in range(300, 360)], "doc_id long, text string, score string"))
+    rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), b"\n"], zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 10 == 0) for r in table.collect()]
+    count, total, base, score = plain_lm(rows, order, mu)
+    want = sorted(((d is None, d or 0), held, len(w), sum(count[(x,)] > 0 for x in w), total, base(w), score(w)) for d, w, held in rows)
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_texts(table, order=order, mu=mu).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], abs_tol=1e-6) and math.isclose(a[6], b[6], abs_tol=1e-6)
     assert lm.score_texts(empty).count() == 0
 
 
 def test_states_weights_sum_to_one():
-    words, block = np.array([4, 0, 3, 5]), lm.Block.__new__(lm.Block)
-    block.hashes = np.zeros(4, dtype=np.uint64)
-    block.pair = np.arange(16)
-    pairs = np.zeros(16, dtype=np.int64)
-    pairs[2 * 4 + 3], pairs[2 * 4 + 0] = 2, 1  # after word 2, seen three times
-    total, kinds = 12, 3
-    auto = lm.Automaton(block, words, pairs, total, kinds, 5.0)
-    unseen = 0.1 / (total + 0.1 * (kinds + 1)) * 5 / (3 + 5)
-    assert math.isclose(sum(10 ** auto.arcs[2 * 4 + w] for w in (0, 2, 3)) + unseen, 1)
+    rng = np.random.default_rng(9)
+    sizes, held = np.array([40, 1, 25, 30]), [False, False, True, False]
+    tokens = np.concatenate([[*rng.integers(2, 9, n - 1), 0] for n in sizes]).astype(np.int32)
+    words_ = zstandard.ZstdCompressor().compress(b"\n".join(b"w%d" % k for k in range(7)))
+    block = lm.Block(sizes, held, 9, words_, lm.shrink(tokens), 3, 64)
+    total, kinds = int(block.counts[0].sum()), int((block.counts[0] > 0).sum())
+    auto = lm.Automaton(9, block.grams, block.counts, total, kinds, (5.0, 3.0))
+
+    def read(state, word):
+        told = 0.0
+        while (at := np.flatnonzero(auto.arcs == state * 9 + word)).size == 0:
+            told, state = told + auto.given_up[state], auto.fail[state]
+        return 10 ** (told + auto.weight[at[0]])
+
+    def unseen(state):
+        told = 0.0
+        while state:
+            told, state = told + auto.given_up[state], auto.fail[state]
+        return 10**told * 0.1 / (total + 0.1 * (kinds + 1))
+
+    known = np.flatnonzero(block.counts[0])
+    last = [0, *range(9), *(block.grams[1] % 9)]
+    for state in {*range(len(auto.fail))} - {1 + k for k in range(len(last) - 1) if last[1 + k] == 0}:  # nothing is read after the end
+        assert math.isclose(sum(read(state, w) for w in known) + unseen(state), 1)
+
+
+def test_lm_keys_grow_with_the_corpus():
+    assert [lm.key_bits(n) for n in (0, 1000, 10**9, 10**13, 10**16)] == [19, 28, 48, 62, 64]
 
 
 def test_licenses(docs, empty):
