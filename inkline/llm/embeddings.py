@@ -2,9 +2,10 @@
 
 Equal vectors are one class with a weight. A class lives in the cell of its nearest centre and also asks
 the cells whose centre is nearly as near (within ``margin`` of cosine): two vectors that are linked lie
-so close together that one of them asks the other's cell, but for a share too small to measure here. A
-cell is cut into blocks of bounded size, those at home and those that only ask apart; each pair of blocks
-is a task, so that a crowded cell is spread.
+so close together that one of them asks the other's cell, but for a share too small to measure here. Above
+``FAN`` cells the centres are two levels, so that their number grows with the vectors and few of them are
+looked at. Vectors travel as packed fragments of a cell; a cell is cut into blocks of bounded size, those at
+home and those that only ask apart; each pair of blocks is a task, so that a crowded cell is spread.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_width, written
-from .simhash import stars
+from .common import connected_components, drawn, join_each, shuffle_width, written
 
-#: Vectors that the centres are fitted on at most, vectors aimed at in a cell, most cells, vectors in a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK = 20_000, 800, 2048, 2000
+#: Bytes of vectors that the centres of a width are fitted on at most, vectors aimed at in a cell, cells of a level.
+SAMPLE_BYTES, CELL, FAN = 64 << 20, 800, 256
+#: Vectors and bytes of vectors in a block at most, vectors in a fragment, widths that get centres of their own (the rest have one cell each).
+BLOCK, BLOCK_BYTES, FRAGMENT, WIDTHS = 16_000, 4 << 20, 1000, 64
 MARGIN = 0.15
 
 
@@ -42,6 +44,43 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) ->
     return centres
 
 
+class Cells:
+    """Centres of one or two levels; cells are numbered through."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        fan = k if k <= FAN else int(np.ceil(np.sqrt(k)))
+        self.top = spherical_kmeans(x, max(1, fan))
+        self.sub = [self.top[c : c + 1] for c in range(len(self.top))]
+        if k > FAN:
+            near = np.concatenate([(x[a : a + 4096] @ self.top.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+            for c in range(len(self.top)):
+                mine = x[near == c]
+                if len(mine):
+                    self.sub[c] = spherical_kmeans(mine, max(1, min(len(mine) // 4, -(-k // fan))))
+        self.first = np.cumsum([0, *map(len, self.sub)])
+
+    def ask(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home of each row; and rows and the cells that they live in or ask, in order of rows."""
+        near = x @ self.top.T
+        if len(self.sub) == self.first[-1]:
+            row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+            return near.argmax(axis=1), row, cell
+        rows, cells, values = [], [], []
+        close = near >= near.max(axis=1, keepdims=True) - margin
+        for c in np.flatnonzero(close.any(axis=0)):
+            here = np.flatnonzero(close[:, c])
+            value = x[here] @ self.sub[c].T
+            rows.append(np.repeat(here, value.shape[1]))
+            cells.append(np.tile(np.arange(self.first[c], self.first[c + 1]), len(here)))
+            values.append(value.ravel())
+        row, cell, value = map(np.concatenate, (rows, cells, values))
+        order = np.lexsort((cell, -value, row))
+        row, cell, value = row[order], cell[order], value[order]
+        begins = np.searchsorted(row, np.arange(len(x)))  # the best of each row comes first
+        keep = value >= value[begins][row] - margin
+        return cell[begins], row[keep], cell[keep]
+
+
 def usable(vector: str):
     """Neither null nor zero, without null or non-finite components."""
     v = F.col(vector)
@@ -50,96 +89,157 @@ def usable(vector: str):
 
 
 def to_matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-
-
-def links_of_block(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Of one task (left: the rows that ask; right: the rows asked): each class's linked weight, and stars over the linked."""
-    x = unit(np.stack(frame["vector"].to_numpy()).astype(np.float64))
-    ids, weight, home, cell, role = (frame[c].to_numpy() for c in ("class", "weight", "home", "cell", "role"))
-    left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)  # 2: on both sides
-    # the cells that each row asked asks itself, as sorted numbers (row, cell); only rows that ask look there
-    asked = [np.asarray(p, dtype=np.int64) + row * MOST_CELLS for row, p in zip(right, frame["probes"].iloc[right], strict=True)] if (home[left] != cell[left]).any() else []
-    probes = np.concatenate(asked) if asked else np.zeros(0, dtype=np.int64)
-    gained = np.zeros(len(ids), dtype=np.int64)
-    a_all, b_all = [], []
-    for k in range(0, len(left), 1024):
-        rows = left[k : k + 1024]
-        i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
-        a, b = rows[i], right[j]
-        own = home[a] == cell[a]
-        # within a cell each pair once; a class that only asks is told apart by its home
-        keep = (ids[a] != ids[b]) & ~(own & (role[a] == 2) & (a > b))
-        # a pair that also meets in the asking class's own cell counts in the lower cell
-        twice = keep & ~own & (home[a] < cell[a])
-        if twice.any():
-            at = np.flatnonzero(twice)
-            keep[at] = ~np.isin(b[at] * MOST_CELLS + home[a[at]], probes)
-        a, b = a[keep], b[keep]
-        np.add.at(gained, a, weight[b])
-        np.add.at(gained, b, weight[a])
-        a_all.append(a)
-        b_all.append(b)
-    label = stars(len(ids), np.concatenate(a_all), np.concatenate(b_all)) if a_all else np.arange(len(ids))
-    told = pd.DataFrame({"a": ids, "b": ids, "n": gained})[gained > 0]
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def fit(classes: DataFrame) -> dict[int, Cells]:
+    """Centres for the widths that more than one cell's vectors have, from a sample of bounded size."""
+    found = {}
+    for r in classes.groupBy(F.size("vector").alias("width")).count().where(F.col("count") > CELL).orderBy(F.desc("count"), "width").limit(WIDTHS).collect():
+        most = max(1000, SAMPLE_BYTES // (4 * r.width))
+        wanted = min(most, max(20_000, 4 * r["count"] // CELL))
+        sample = classes.where((F.size("vector") == r.width) & drawn(min(0.5, wanted / r["count"]), 3, "class")).select("vector").limit(2 * wanted).toArrow()
+        if sample.num_rows:
+            x = unit(to_matrix(sample.column("vector").combine_chunks(), r.width).astype(np.float64))
+            found[r.width] = Cells(x, max(1, min(r["count"] // CELL, len(x) // 4)))
+    return found
+
+
+FRAGMENTS = "width int, cell int, lives boolean, n long, class binary, weight binary, vector binary, home binary, asked binary, asks binary"
+
+
+def in_fragments(classes: DataFrame, cells: dict[int, Cells], margin: float) -> DataFrame:
+    """Packed rows of one cell: classes that live there, with the cells that they ask (``asked``, ``asks`` of each), or that ask it, with their homes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = np.diff(batch.column(2).offsets.to_numpy()) if batch.num_rows else np.zeros(0, dtype=int)
+            rows = []
+            for w in np.unique(width).tolist():
+                here = batch.filter(pa.array(width == w))
+                ids, weight, raw = here.column(0).to_numpy(), here.column(1).to_numpy(), to_matrix(here.column(2), w)
+                if w in cells:
+                    home, row, cell = cells[w].ask(unit(raw.astype(np.float64)), margin)
+                else:
+                    home, row, cell = np.zeros(len(ids), dtype=int), np.arange(len(ids)), np.zeros(len(ids), dtype=int)
+                asks = np.bincount(row, minlength=len(ids)).astype("<i4")
+                ends = np.cumsum(asks)
+                lives = home[row] == cell
+                order = np.lexsort((row, home[row], lives, cell))  # those that ask by their homes
+                part = 2 * cell[order] + lives[order]
+                for at in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+                    for k in range(0, len(at), FRAGMENT):
+                        some = row[at[k : k + FRAGMENT]]
+                        own = bool(lives[at[k]])
+                        asked = np.concatenate([cell[ends[r] - asks[r] : ends[r]] for r in some]).astype("<i4") if own else home[:0].astype("<i4")
+                        rows.append((w, int(cell[at[k]]), own, len(some), ids[some].tobytes(), weight[some].tobytes(), raw[some].tobytes(), home[some].astype("<i4").tobytes(), asked.tobytes(), asks[some].tobytes() if own else b""))
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 6)
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FRAGMENTS.split(", ")])
+
+    return classes.select("class", "weight", "vector").mapInArrow(run, FRAGMENTS)
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least row of each group) once the rows ``a`` and ``b`` are joined."""
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        live = label[a] != label[b]
+        a, b = a[live], b[live]
+    while not np.array_equal(label, label[label]):
+        label = label[label]
+    return label
+
+
+def links_of_block(frame: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
+    """Of one task (``role`` 0: fragments that ask or come first, 1: those asked, 2: both): each class's linked weight, and stars over the linked."""
+    frame = frame.sort_values("role", kind="stable")  # 0, 2, 1 can't meet: it is 2 alone, or 0 and 1
+    many = lambda name, kind: np.frombuffer(b"".join(frame[name]), dtype=kind)
+    ids, weight, home = many("class", "<i8"), many("weight", "<i8"), many("home", "<i4")
+    width, cell, sizes, roles = int(frame["width"].iloc[0]), int(frame["cell"].iloc[0]), frame["n"].to_numpy(), frame["role"].to_numpy()
+    x = unit(many("vector", kind).reshape(-1, width).astype(np.float64))
+    role = np.repeat(roles, sizes)
+    left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+    left = left[np.argsort(home[left], kind="stable")]
+    # who of the right asks the lower homes of the left: such pairs count there
+    owner, asked = np.repeat(np.arange(len(ids)), many_asks(frame, sizes)), many("asked", "<i4")
+    gained, label = np.zeros(len(ids)), np.arange(len(ids))
+    y, heavy = x[right], weight[right].astype(float)
+    for k in range(0, len(left), 512):
+        rows = left[k : k + 512]
+        near = x[rows] @ y.T >= threshold
+        if not near.any():
+            continue
+        near &= ids[rows][:, None] != ids[right][None, :]
+        if role[rows[0]] == 2:
+            near &= rows[:, None] < right[None, :]  # each pair once
+        for h in np.unique(home[rows]):
+            if h < cell:
+                there = np.zeros(len(ids), dtype=bool)
+                there[owner[asked == h]] = True
+                near[np.ix_(home[rows] == h, there[right])] = False
+        gained[rows] += near @ heavy
+        gained[right] += weight[rows].astype(float) @ near
+        for s in range(0, len(rows), 64):
+            live = near[s : s + 64] & (label[rows[s : s + 64]][:, None] != label[right][None, :])
+            if live.any():
+                i, j = np.nonzero(live)
+                label = merge(label, rows[s : s + 64][i], right[j])
+    told = pd.DataFrame({"a": ids, "b": ids, "n": gained.astype(np.int64)})[gained > 0]
     joined = label != np.arange(len(ids))
     return pd.concat([told, pd.DataFrame({"a": ids[joined], "b": ids[label[joined]], "n": 0})])
 
 
+def many_asks(frame: pd.DataFrame, sizes: np.ndarray) -> np.ndarray:
+    """How many cells each row asks; none for rows that don't live here."""
+    return np.concatenate([np.frombuffer(a, dtype="<i4") if len(a) else np.zeros(n, dtype="<i4") for a, n in zip(frame["asks"], sizes, strict=True)])
+
+
+def same_vector(vector: str) -> Column:
+    """128 bits that tell vectors apart, zeros of either sign alike."""
+    plain = F.transform(vector, lambda x: x + F.lit(0.0).cast("float"))
+    return F.struct(F.xxhash64(plain).alias("x"), F.xxhash64(F.lit(7), plain).alias("y"))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, margin: float = MARGIN) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept`` of every row.
 
-    ``n_links``: other rows with cosine >= ``threshold``, equal vectors included. Vectors that are null,
-    zero, or hold null or non-finite components link with nothing and are kept; only vectors of the most
-    frequent width can be linked to others, those of another width link with equal ones alone. A null id
-    counts for others' links but stands for a component only if there is no other id. Other columns are
-    ignored; an empty table gives an empty result.
+    ``n_links``: other rows with cosine >= ``threshold``, equal vectors included; vectors of different widths
+    are never linked. Vectors that are null, zero, or hold null or non-finite components link with nothing and
+    are kept. A null id counts for others' links but stands for a component only if there is no other id.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    good = rows.where(usable("vector"))
-    classes = written(good.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("class", F.monotonically_increasing_id()), "vector-classes")
-    widths = classes.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
-    width, n = (widths[0].width, widths[0]["count"]) if widths else (0, 0)
-    usual = classes.where(F.size("vector") == width)
-    share = min(0.5, SAMPLE / max(n, 1))
-    sample = usual.where(F.pmod(F.xxhash64(F.lit(3), "class"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").limit(2 * SAMPLE).toArrow()
-    x = unit(to_matrix(sample.column("vector").combine_chunks(), width)) if sample.num_rows else np.ones((1, max(width, 1)))
-    k = int(min(MOST_CELLS, max(1, n // CELL), max(1, len(x) // 4)))
-    centres = spherical_kmeans(x, k)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = unit(to_matrix(batch.column(2), width)) @ centres.T
-            home = near.argmax(axis=1)
-            row, cell = np.nonzero(near >= near[np.arange(len(near)), home][:, None] - margin)
-            asks = np.split(cell, np.cumsum(np.bincount(row, minlength=len(near)))[:-1])
-            probes = pa.array(asks, type=pa.list_(pa.int32()))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), probes.take(at)], names=["class", "weight", "vector", "cell", "home", "probes"])
-
-    element = classes.schema["vector"].dataType.simpleString()
-    in_cells = written(usual.select("class", "weight", "vector").mapInArrow(assign, f"class long, weight long, vector {element}, cell int, home int, probes array<int>"), "vector-cells")
-    lives = F.col("cell") == F.col("home")
-    blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
-    crowd = in_cells.groupBy("cell").agg(blocks(lives).alias("blocks"), blocks(~lives).alias("asking")).where("blocks > 0")  # MOST_CELLS rows at most
-    dealt = in_cells.join(F.broadcast(crowd), "cell").withColumn("block", F.pmod(F.xxhash64("class"), F.when(lives, F.col("blocks")).otherwise(F.col("asking"))).cast("int"))
+    good = rows.where(usable("vector")).withColumn("same", same_vector("vector"))
+    classes = good.groupBy("same").agg(F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("weight"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
+    cells = fit(classes)
+    fragments = written(in_fragments(classes, cells, margin), "vector-cells")
+    lives = F.col("lives")
+    size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES / 4) / F.greatest("width", F.lit(1)))))
+    blocks = lambda which: F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / F.first(size)).cast("int")
+    crowd = fragments.groupBy("width", "cell").agg(blocks(lives).alias("blocks"), blocks(~lives).alias("asking")).where("blocks > 0")
+    dealt = fragments.join(crowd, ["width", "cell"]).withColumn("block", F.pmod(F.xxhash64("class"), F.when(lives, F.col("blocks")).otherwise(F.col("asking"))).cast("int"))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda j: j < F.col(n))
     # one at home meets its own block, every other and every block that asks (numbered below zero); one that asks meets every block at home
     at_home = F.transform(numbers("blocks"), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("role")))
     answers = F.transform(numbers("asking"), lambda j: F.struct((-1 - j).alias("low"), F.col("block").alias("high"), F.lit(1).alias("role")))
     asks = F.transform(numbers("blocks"), lambda j: F.struct((-1 - F.col("block")).alias("low"), j.alias("high"), F.lit(0).alias("role")))
-    meets = F.when(lives, F.concat(at_home, answers)).otherwise(asks)
-    tasks = dealt.withColumn("meets", F.explode(meets)).select("cell", "meets.*", "class", "weight", "vector", "home", "probes")
-    found = tasks.repartition(max(shuffle_width(spark), k // 8), "cell", "low", "high").groupBy("cell", "low", "high").applyInPandas(lambda frame: links_of_block(frame, threshold), "a long, b long, n long")
-    found = written(found, "vector-links")
+    tasks = dealt.withColumn("meets", F.explode(F.when(lives, F.concat(at_home, answers)).otherwise(asks))).select("meets.*", *fragments.columns)
+    kind = "<f4" if classes.schema["vector"].dataType.elementType.typeName() == "float" else "<f8"
+    n_cells = sum(int(c.first[-1]) for c in cells.values())
+    found = tasks.repartition(max(shuffle_width(spark), n_cells // 4), "width", "cell", "low", "high").groupBy("width", "cell", "low", "high")
+    found = written(found.applyInPandas(lambda frame: links_of_block(frame, threshold, kind), "a long, b long, n long"), "vector-links")
     linked = found.where("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
     roots = connected_components(found.where("n = 0").select("a", "b"), "vector-components").withColumnRenamed("node", "class")
-    per_class = classes.join(linked, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    per_class = classes.drop("vector").join(linked, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = per_class.join(least, "root").select(F.col("vector").alias("same"), (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
-    joined = rows.join(told, usable("vector") & (F.col("vector") == F.col("same")), "left")
+    told = per_class.join(least, "root").select("same", "weight", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
+    joined = join_each(good.select("id", "same"), written(told, "vector-told"), "same", "weight").select("id", "n_links", "component_id")
+    alone = rows.where(~usable("vector")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     component = F.coalesce("component_id", "id")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return joined.unionAll(alone).select(F.col("id").alias(id_col), "n_links", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

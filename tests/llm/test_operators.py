@@ -209,7 +209,7 @@ def test_embeddings(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
     rows = [(k, [float(np.float32(x)) for x in centres[k % 40] + 0.12 * rng.normal(size=16) * (k % 3)]) for k in range(600)]
-    rows += [(700 + k, v) for k, v in enumerate([None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [1.0, 2.0], []])] + [(None, rows[0][1])]
+    rows += [(700 + k, v) for k, v in enumerate([None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [1.0, 2.0], [], [2.0, 4.1], [0.0, -1.0], [-0.0, -1.0]])] + [(None, rows[0][1])]
     table = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], "vec_id long, embedding array<float>, label int, cell string, least string")
     found = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
     assert len(found) == len(rows)
@@ -222,36 +222,57 @@ def test_embeddings(spark):
     for k in range(600):
         assert (found[k].n_links, found[k].component_id, found[k].kept) == (near[k].sum(), label[k], label[k] == k)
     assert [(found[k].n_links, found[k].component_id) for k in (700, 701, 702, 703, 704, 707)] == [(0, k) for k in (700, 701, 702, 703, 704, 707)]
-    assert [(found[k].n_links, found[k].component_id) for k in (705, 706)] == [(1, 705), (1, 705)]
+    assert [(found[k].n_links, found[k].component_id) for k in (705, 706, 708, 709, 710)] == [(2, 705), (2, 705), (2, 705), (1, 709), (1, 709)]
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
 def test_embeddings_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 7)
+    monkeypatch.setattr(embeddings, "FRAGMENT", 3)
     rng = np.random.default_rng(5)
     x = (np.ones((60, 8)) + 0.05 * rng.normal(size=(60, 8))).astype(np.float32)
     table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
     assert {(r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect()} == {(59, 0)}
 
 
+def brute_force_links(x):
+    x = embeddings.unit(x.astype(float))
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = simhash.stars(len(x), *np.nonzero(near))
+    return {k: (near[k].sum(), label[k]) for k in range(len(x))}
+
+
 def test_embeddings_cut_those_that_ask_into_blocks(spark, monkeypatch):
     plain = embeddings.links_of_block
 
-    def bounded(frame, threshold):
-        assert len(frame) <= 100, len(frame)
-        return plain(frame, threshold)
+    def bounded(frame, *how):
+        assert frame["n"].sum() <= 120, frame["n"].sum()
+        return plain(frame, *how)
 
-    for name, value in (("BLOCK", 20), ("CELL", 10), ("links_of_block", bounded)):
+    for name, value in (("BLOCK", 20), ("CELL", 10), ("FRAGMENT", 4), ("links_of_block", bounded)):
         monkeypatch.setattr(embeddings, name, value)
     rng = np.random.default_rng(8)
     x = (rng.normal(size=(30, 12))[np.arange(300) % 30] + 0.15 * rng.normal(size=(300, 12))).astype(np.float32)
     table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
     found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table, margin=2.0).collect()}  # all ask everywhere
-    x = embeddings.unit(x.astype(float))
-    near = x @ x.T >= 0.95
-    np.fill_diagonal(near, False)
-    label = simhash.stars(300, *np.nonzero(near))
-    assert found == {k: (near[k].sum(), label[k]) for k in range(300)}
+    assert found == brute_force_links(x)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_with_centres_of_two_levels(spark, monkeypatch, kind):
+    for name, value in (("FAN", 4), ("CELL", 20), ("FRAGMENT", 7), ("BLOCK", 30)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(10)
+    x = (rng.normal(size=(60, 12))[np.arange(900) % 60] + 0.15 * rng.normal(size=(900, 12))).astype(np.float32)
+    table = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    cells = embeddings.fit(table.select(F.col("vec_id").alias("class"), F.col("embedding").alias("vector")))[12]
+    assert len(cells.sub) < cells.first[-1]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table, margin=0.5).collect()}
+    want = brute_force_links(x)
+    assert sum(v[0] for v in found.values()) >= 0.99 * sum(v[0] for v in want.values()) and all(found[k][0] <= want[k][0] for k in want)
+    home, row, cell = cells.ask(embeddings.unit(x.astype(float)), 0.1)
+    assert all(h in cell[row == k] for k, h in enumerate(home))
 
 
 @pytest.mark.parametrize("size", [16, 64])
