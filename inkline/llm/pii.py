@@ -9,12 +9,14 @@ over all rows, selects what is added. All spans of a row are found within the ro
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from ..functions.binding import let
+from .common import drawn, written
 
 #: Marks around a match; a text's own are swapped for a third control character of the same length, which no pattern takes.
 OPEN, CLOSE, OTHER = "\u0001", "\u0002", "\u0003"
@@ -36,21 +38,53 @@ SECRET_CUES = r"(?:password|passwd|token|secret|key|auth|pin)[^a-z0-9]{0,6}$"
 #: and the share of right ones that a threshold must reach.
 SAMPLE_DOCS, RIGHT_EACH, PRECISION = 20_000, 2_000, 0.98
 SPANS = "array<struct<start:int,end:int,word:string>>"
+CONTEXT_SPANS = "array<struct<start:int,end:int,word:string,before:string,after:string>>"
+#: Code points that a text is cut into before pieces of it are taken, and binary digits of the largest number of spans of a kind.
+STRIDE, DIGITS = 4096, 26
 
 
-def found_by(text: Column, pattern: str, guard: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches as (start, end, word), in code points; rows that ``guard`` excludes are not searched."""
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
+def running(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """``join`` of each value with all before it. In two levels of the size's square root, as arrays grow by copying."""
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), zero)
+    grown = lambda acc, x: F.concat(acc, F.array(join(last(acc), x)))
+    none = F.slice(F.array(zero), 1, 0)
 
-    def step(acc: Column, part: Column) -> Column:
-        hit = F.contains(part, F.lit(CLOSE))
-        word = F.substring_index(part, CLOSE, 1)
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(word)).alias("end"), word.alias("word"))
-        return F.struct((acc["at"] + F.length(part) - hit.cast("int")).alias("at"), F.when(hit, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).cast(SPANS).alias("found"))
+    def of(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.size(v) - 1, step), lambda k: F.aggregate(F.slice(v, k + 1, step), none, grown))
+        return let(parts, lambda ps: let(F.aggregate(F.transform(ps, last), F.array(zero), grown), lambda before: F.flatten(F.transform(ps, lambda p, k: F.transform(p, lambda x: join(F.get(before, k), x))))))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
-    spans = F.aggregate(parts, begin, step, lambda acc: acc["found"])
-    return spans if guard is None else F.when(guard, spans).otherwise(F.array().cast(SPANS))
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(none))
+
+
+def found_by(text: Column, pattern: str, guard: Column | None = None, context: bool = False) -> Column:
+    """Leftmost non-overlapping matches as (start, end, word), in code points, in time in proportion to the text; rows that ``guard`` excludes are not searched.
+
+    With ``context`` also ``before``, 24 characters at most and none before the last match but one, and ``after``, one character.
+    """
+    kind = CONTEXT_SPANS if context else SPANS
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
+    plain = lambda part: F.translate(F.coalesce(part, F.lit("")), CLOSE, "")
+
+    def of(parts: Column, ends: Column) -> Column:
+        def span(part: Column, k: Column) -> Column:  # the part at k + 1; what stands before it ends at ends[k]
+            word = F.substring_index(part, CLOSE, 1)
+            fields = [F.get(ends, k).alias("start"), (F.get(ends, k) + F.length(word)).alias("end"), word.alias("word")]
+            if context:
+                before = F.right(F.concat(plain(F.get(parts, k - 1)), plain(F.get(parts, k))), F.lit(24))
+                tail = F.concat(F.substring_index(part, CLOSE, -1), plain(F.get(parts, k + 2)))
+                fields += [F.lower(before).alias("before"), F.substring(tail, 1, 1).alias("after")]
+            return F.struct(*fields)
+
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), span)
+
+    def spans(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.length(p) - F.contains(p, F.lit(CLOSE)).cast("int"))
+        found = let(running(sizes, lambda a, b: a + b, F.lit(0)), lambda ends: of(parts, ends))
+        return F.when(F.size(parts) > 1, found).otherwise(F.array().cast(kind)).cast(kind)
+
+    found = let(marked, spans)
+    return found if guard is None else F.when(guard, found).otherwise(F.array().cast(kind))
 
 
 def digits(word: Column) -> Column:
@@ -94,33 +128,37 @@ def share(word: Column, class_: str) -> Column:
     return F.length(F.regexp_replace(word, f"[^{class_}]", "")) / F.length(word)
 
 
-#: Features of a candidate (its word, 24 characters before it, one after it), all numbers.
+def counted(word: Column, class_: str) -> Column:
+    return F.length(F.regexp_replace(word, f"[^{class_}]", "")).cast("double")
+
+
+#: Features of a candidate (its word, up to 24 characters before it, one after it), all numbers: format and
+#: context, none of them a check that labels are made by.
 FEATURES = {
     "length": lambda w, before, after: F.least(F.length(w), F.lit(80)).cast("double"),
-    "digits": lambda w, before, after: F.length(F.regexp_replace(w, "[^0-9]", "")).cast("double"),
+    "digits": lambda w, before, after: counted(w, "0-9"),
     "digit_share": lambda w, before, after: share(w, "0-9"),
     "upper_share": lambda w, before, after: share(w, "A-Z"),
     "lower_share": lambda w, before, after: share(w, "a-z"),
     "hex_share": lambda w, before, after: share(w, "0-9a-f"),
-    "dots": lambda w, before, after: F.length(F.regexp_replace(w, r"[^.]", "")).cast("double"),
-    "plus": lambda w, before, after: w.startswith("+").cast("double"),
+    "dots": lambda w, before, after: counted(w, "."),
+    "dashes": lambda w, before, after: counted(w, "-"),
+    "blanks": lambda w, before, after: counted(w, " "),
+    "parentheses": lambda w, before, after: counted(w, "()"),
     "distinct": lambda w, before, after: F.size(F.array_distinct(F.split(w, ""))).cast("double"),
-    "domain_ends": lambda w, before, after: w.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}[^A-Za-z0-9]*$").cast("double"),
-    "luhn": lambda w, before, after: is_card(F.regexp_replace(w, "[^0-9]", "")).cast("double"),
+    "assigned": lambda w, before, after: before.rlike(r"[=:]\s*['\"]?$").cast("double"),
+    "quoted": lambda w, before, after: (before.rlike(r"['\"]$") & after.rlike(r"['\"]")).cast("double"),
     "cue": lambda w, before, after: before.rlike(CUES).cast("double"),
-    "secret_cue": lambda w, before, after: before.rlike(SECRET_CUES).cast("double"),
     "joined": lambda w, before, after: before.rlike(r"[\w]$").cast("double"),
     "ends_word": lambda w, before, after: (~after.rlike(r"[\w]")).cast("double"),
 }
 
 
 def candidates(text: Column) -> Column:
-    """Overlapping proposals of all generators: kind, start, end, word, before, after."""
+    """Overlapping proposals of all generators: kind, start, end, word, before, after. Those of a generator don't overlap and come in order."""
 
     def shaped(s: Column, kind: Column) -> Column:
-        # the text before and after, cut at the code points that the span names
-        before = F.lower(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))))
-        return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word"), before.alias("before"), F.substring(text, s["end"] + 1, F.lit(1)).alias("after"))
+        return F.struct(kind.alias("kind"), *(s[x].alias(x) for x in ("start", "end", "word", "before", "after")))
 
     def number(s: Column) -> Column:
         w = s["word"]
@@ -128,9 +166,9 @@ def candidates(text: Column) -> Column:
         return F.when(w.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), 1).when(~w.startswith("+") & (n >= 13), 2).otherwise(3)
 
     return F.concat(
-        F.transform(found_by(text, NEAR_EMAIL, F.contains(text, F.lit("@"))), lambda s: shaped(s, F.lit(0))),
-        F.transform(found_by(text, NEAR_NUMBER), lambda s: shaped(s, number(s))),
-        F.transform(found_by(text, NEAR_SECRET), lambda s: shaped(s, F.lit(4))),
+        F.transform(found_by(text, NEAR_EMAIL, F.contains(text, F.lit("@")), True), lambda s: shaped(s, F.lit(0))),
+        F.transform(found_by(text, NEAR_NUMBER, None, True), lambda s: shaped(s, number(s))),
+        F.transform(found_by(text, NEAR_SECRET, None, True), lambda s: shaped(s, F.lit(4))),
     )
 
 
@@ -209,16 +247,15 @@ def fit_selector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    part = min(1.0, sample_docs / max(docs.count(), 1))
-    drawn = F.pmod(F.xxhash64(F.lit(9), id_col, text_col), F.lit(1_000_000)) < int(part * 1_000_000) if part < 1 else F.lit(True)
-    found = docs.select(drawn.alias("drawn"), clean(text_col).alias("text")).select("drawn", F.explode(candidates(F.col("text"))).alias("c"))
+    chosen = drawn(min(1.0, sample_docs / max(docs.count(), 1)), 9, id_col, text_col)
+    found = docs.select(chosen.alias("drawn"), clean(text_col).alias("text")).select("drawn", F.explode(candidates(F.col("text"))).alias("c"))
     names = ["kind", *FEATURES]
     rows = written(found.select("drawn", strict(F.col("c")).cast("double").alias("label"), *(f.alias(n) for f, n in zip(features(F.col("c")), names, strict=True))), "pii-candidates")
     others = rows.where("not drawn and label = 1").select("label", *names).distinct()
-    chance = F.lit(1.0)
+    chance = F.lit(False)
     for r in others.groupBy("kind").count().collect():  # a row a kind
-        chance = F.when(F.col("kind") == r.kind, min(1.0, RIGHT_EACH / r["count"])).otherwise(chance)
-    rare = others.where(F.pmod(F.xxhash64(F.lit(5), *names), F.lit(1_000_000)) < chance * 1_000_000)
+        chance |= (F.col("kind") == r.kind) & drawn(RIGHT_EACH / r["count"], 5, *names)
+    rare = others.where(chance)
     sample = written(rows.where("drawn").select("label", *names).unionAll(rare).coalesce(4), "pii-sample")
     counts = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     if not 0 < counts[0] < counts[1]:
@@ -241,8 +278,9 @@ def clean(text_col: str) -> Column:
 def find_spans(docs: DataFrame, selector: Selector, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``text``, an array of base spans for each of email, ip, card, phone, and ``added``; a row for every row.
 
-    ``added``: selected candidates that overlap no base span, as (kind, start, end), by kind and start.
-    Positions are code points, ends exclusive. A null text is empty. Repeated rows and null ids stay;
+    ``added``: selected candidates that overlap no base span, as (kind, start, end), those of a kind in order.
+    Positions are code points, ends exclusive. A null text is empty. A text of any length with any number of
+    matches takes time nearly in proportion to it. Repeated rows and null ids stay;
     other columns are ignored.
     """
     text = docs.select(F.col(id_col), F.col(text_col).alias("text"), clean(text_col).alias("_t"))
@@ -250,13 +288,19 @@ def find_spans(docs: DataFrame, selector: Selector, id_col: str = "doc_id", text
     if not selector.thresholds:
         return based.select(id_col, "text", *KINDS[:4], F.array().cast("array<struct<kind:int,start:int,end:int>>").alias("added"))
     chosen = F.filter(candidates(F.col("_t")), selector.accepts)
-    base = F.concat(*KINDS[:4])
-    with_all = based.select(id_col, "text", *KINDS[:4], chosen.alias("_c"), base.alias("_b"))
-    free = F.filter("_c", lambda c: ~F.exists("_b", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    added = F.array_sort(F.array_distinct(F.transform(free, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))
+    with_all = based.select(id_col, "text", *KINDS[:4], chosen.alias("_c"))
+    free = F.filter("_c", lambda c: ~(overlaps("email", c) | overlaps("ip", c) | overlaps("card", c) | overlaps("phone", c)))
+    added = F.transform(free, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return with_all.select(id_col, "text", *KINDS[:4], added.alias("added"))
 
 
+def overlaps(spans: str, c: Column) -> Column:
+    """Whether one of ``spans``, in order and apart from each other, overlaps ``c``: the last that starts before its end, by halving."""
+    bits = F.array(*(F.lit(1 << k) for k in range(DIGITS, -1, -1)))
+    before = F.aggregate(bits, F.lit(0), lambda at, bit: at + F.when(F.get(spans, at + bit - 1)["start"] < c["end"], bit).otherwise(0))
+    return F.when(F.size(spans) > 0, F.coalesce(F.get(spans, before - 1)["end"] > c["start"], F.lit(False))).otherwise(False)
+
+
 def listed(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
@@ -275,23 +319,26 @@ def all_listed() -> Column:
 
 
 def redact(docs: DataFrame, selector: Selector, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``docs`` with each stretch of spans in ``text_col`` replaced by ``<PII>``; rows, nulls and other columns stay."""
+    """``docs`` with each stretch of overlapping spans in ``text_col`` replaced by ``<PII>``; rows, nulls and other columns stay."""
     names = docs.columns
     others = F.struct(*(F.lit(None).cast(docs.schema[n].dataType).alias(n) if n == text_col else F.col(n) for n in names))
     packed = docs.select(others.alias("row"), F.col(text_col).alias("text"))
     found = find_spans(packed, selector, "row", "text")
     pairs = F.concat(*(F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in (*KINDS[:4], "added")))
-    kind = "array<struct<start:int,end:int>>"
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), joined).otherwise(F.concat(acc, F.array(s))).cast(kind)
-
-    merged = found.select("row", "text", F.array_sort(pairs).alias("_p")).select("row", "text", F.aggregate("_p", F.array().cast(kind), merge).alias("_m"))
-    piece = lambda start, end: F.substring("text", start + 1, end - start)
-    cut = F.transform("_m", lambda s, k: F.concat(piece(F.coalesce(F.get("_m", k - 1)["end"], F.lit(0)), s["start"]), F.lit("<PII>")))
-    last = F.coalesce(F.get("_m", F.size("_m") - 1)["end"], F.lit(0))
-    text = F.when(F.size("_m") > 0, F.concat(F.array_join(cut, ""), piece(last, F.length("text")))).otherwise(F.col("text"))
-    done = merged.select("row", text.alias("text"))
-    return done.select(*(F.col("text").alias(n) if n == text_col else F.length("text").cast(docs.schema[n].dataType).alias(n) if n == length_col else F.col("row")[n].alias(n) for n in names))
+    placed = found.select("row", "text", F.array_sort(pairs).alias("_p"))
+    placed = placed.select("row", "text", "_p", running(F.col("_p")["end"], F.greatest, F.lit(0)).alias("_e"), F.when(F.size("_p") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRIDE}}}"), F.lit(0))).alias("_s"))
+
+    def piece(start: Column, end: Column) -> Column:
+        """From the strides that hold it: a place in a long text is found by counting from its start."""
+        first = F.floor(start / STRIDE).cast("int")
+        near = F.array_join(F.slice("_s", first + 1, F.ceil(end / STRIDE).cast("int") - first), "")
+        return F.when(end > start, F.substring(near, start - first * STRIDE + 1, end - start)).otherwise("")
+
+    def cut(s: Column, k: Column) -> Column:
+        begin = F.coalesce(F.get("_e", k - 1), F.lit(0))
+        return F.when(s["start"] >= begin, F.concat(piece(begin, s["start"]), F.lit("<PII>"))).otherwise("")
+
+    rest = piece(F.get("_e", F.size("_e") - 1), F.length("text"))
+    text = F.when(F.size("_p") > 0, F.concat(F.array_join(F.transform("_p", cut), ""), rest)).otherwise(F.col("text"))
+    merged = placed.select("row", text.alias("text"))
+    return merged.select(*(F.col("text").alias(n) if n == text_col else F.length("text").cast(docs.schema[n].dataType).alias(n) if n == length_col else F.col("row")[n].alias(n) for n in names))

@@ -429,6 +429,25 @@ def test_pii_selects_and_redacts(spark, docs, empty):
     assert pii.fit_selector(empty).thresholds == {} and pii.redact(empty, selector).count() == 0
 
 
+def test_pii_takes_time_in_proportion_to_a_text(spark):
+    n = 20_000
+    mails = spark.createDataFrame([(0, " ".join(f"u{k}@ex.org" for k in range(n)))], "doc_id long, text string")
+    selector = pii.Selector([(1.0, 1.0)], {0: 0.5})
+    began = time.perf_counter()
+    found = pii.find_spans(mails, selector).first()
+    assert len(found.email) == n and (found.email[-1].end, found.added) == (len(mails.first().text), [])
+    assert pii.redact(mails, selector).first().text == " ".join(["<PII>"] * n)
+    assert time.perf_counter() - began < 60
+
+
+def test_running_totals(spark):
+    rng = np.random.default_rng(11)
+    rows = [([int(x) for x in rng.integers(-9, 9, n)],) for n in (0, 1, 2, 3, 7, 50, 99, 100, 101)] 
+    table = spark.createDataFrame(rows, "v array<int>")
+    for r in table.select("v", pii.running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s"), pii.running(F.col("v"), F.greatest, F.lit(0)).alias("m")).collect():
+        assert r.s == np.cumsum(r.v).tolist() and r.m == np.maximum.accumulate([0, *r.v])[1:].tolist()
+
+
 def test_pii_selects_a_kind_that_the_sample_misses(spark):
     secret = {k: hashlib.sha1(str(k).encode()).hexdigest() for k in (11, 222, 555)}
     rows = [(k, (f"token = \"{secret[k]}\" and " if k in secret else "") + f"w{k} id {hashlib.md5(str(k).encode()).hexdigest()[:20]} mail u{k}@ex{k % 9}.org") for k in range(600)]
