@@ -1,37 +1,40 @@
 """Toxicity as severity grades: cumulative-link ordinal regression over words and word beginnings.
 
 P(grade <= k) = sigmoid(theta_k - w.x): all thresholds share the weights ``w`` and are ordered. The
-model is fitted on a bounded sample of labelled rows; scoring covers every row.
+model is fitted on a bounded sample of labelled rows; scoring covers every row. Every word is a feature, by
+a hash into ``DIMS`` places; how far a feature's odds differ between the classes of the sample, in standard
+errors and less ``SHRINK`` of them, is its value where it occurs, so that noise has none.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import as_bytes, few, split_words
 
-#: Word beginnings that count as features beside the words, in bytes.
-BEGINNINGS = (4, 5, 6)
-#: Most labelled rows of a class that the model is fitted on, and most features.
-MOST_ROWS, MOST_FEATURES = 3000, 3000
+#: Word beginnings that count as features beside the words, in bytes, and places that features are hashed into.
+BEGINNINGS, DIMS = (4, 6), 1 << 18
+#: Most labelled rows of a class that the model is fitted on, and standard errors that noise may reach.
+MOST_ROWS, SHRINK = 1500, 1.5
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word itself, and its beginnings marked by a trailing dash."""
-    return [word, *(word[:n] + b"-" for n in BEGINNINGS if len(word) >= n)]
+def features_of(word: bytes) -> list[int]:
+    """Places of the word itself, and of its beginnings marked by a trailing dash."""
+    import xxhash
+
+    return [xxhash.xxh32_intdigest(x) % DIMS for x in (word, *(word[:n] + b"-" for n in BEGINNINGS if len(word) >= n))]
 
 
 @dataclass
 class OrdinalModel:
-    weights: dict[bytes, float]
+    weights: np.ndarray  # of a feature that occurs, by place
     thresholds: list[float]  # ascending, one fewer than grades
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
@@ -41,30 +44,27 @@ class OrdinalModel:
 
     def scorer(self):
         """Gives a text's w.x; words seen before cost one lookup."""
-        memo: dict[bytes, tuple[bytes, ...]] = {}
+        memo: dict[bytes, tuple[int, ...]] = {}
         weights = self.weights
 
         def score(text: bytes | None) -> float:
-            hits: Counter[bytes] = Counter()
+            hits: set[int] = set()
             if len(memo) > 50_000:
                 memo.clear()
-            for word in split_words(text):
+            for word in set(split_words(text)):
                 known = memo.get(word)
                 if known is None:
-                    known = memo[word] = tuple(f for f in features_of(word) if f in weights)
+                    known = memo[word] = tuple(f for f in features_of(word) if weights[f])
                 if known:
                     hits.update(known)
-            return sum(weights[f] * log1p(n) for f, n in sorted(hits.items()))
+            return float(weights[np.sort(np.fromiter(hits, dtype=np.int64, count=len(hits)))].sum())
 
         return score
 
 
-def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-4, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adam on the mean log loss; ``rows`` maps features to values."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.array([c for r in rows for c in r], dtype=np.int64)
-    value = np.array([v for r in rows for v in r.values()], dtype=float)
-    n, w = len(rows), np.zeros(n_features)
+def fit_ordinal(owner: np.ndarray, column: np.ndarray, value: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-4, rounds: int = 200, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by Adam on the mean log loss plus ``l2`` / 2 of the squared weights; row ``owner`` has ``value`` in ``column``."""
+    n, w = len(grades), np.zeros(n_features)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 0.01, 0.99)
     theta = np.log(share / (1 - share))
     raw = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])  # first, then logs of the steps up
@@ -92,61 +92,75 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, n_features: in
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_rows: int) -> DataFrame:
-    """At most ``most_rows`` labelled rows of each class, those with the least hash of their id: ``id_col``, ``text_col``, ``y``."""
+    """At most ``most_rows`` labelled ids of each class, those with the least hash: ``id_col``, ``text_col``, ``y``.
+
+    An id that is labelled both ways is toxic; of several texts of an id the least one counts.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     chosen = None
     for y in (0, 1):
-        of_class = labels.where((F.col(label_col) == y) & F.col(id_col).isNotNull()).groupBy(id_col).count().select(id_col, F.lit(y).alias("y"))
-        of_class = of_class.orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(most_rows)
+        of_class = known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(most_rows)
         chosen = of_class if chosen is None else chosen.unionAll(of_class)
-    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # 2 * most_rows ids at most
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> OrdinalModel:
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # 2 * most_rows ids at most
+    return found.groupBy(id_col).agg(F.min(text_col).alias(text_col), F.first("y").alias("y"))
+
+
+def telling(owner: np.ndarray, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The value of each place: the log odds ratio of its occurrence in the two classes in standard errors, less ``SHRINK``, by magnitude."""
+    n1 = np.bincount(place[y[owner] == 1], minlength=DIMS) + 0.5
+    n0 = np.bincount(place[y[owner] == 0], minlength=DIMS) + 0.5
+    odds = np.log(n1 / ((y == 1).sum() + 1 - n1)) - np.log(n0 / ((y == 0).sum() + 1 - n0))
+    return np.maximum(np.abs(odds) / np.sqrt(1 / n1 + 1 / n0) - SHRINK, 0) / 2
+
+
+def fit_rows(owner: np.ndarray, place: np.ndarray, y: np.ndarray, grades: np.ndarray, n_grades: int) -> OrdinalModel:
+    """A model of ``grades`` from rows of feature places; ``y`` says which rows are toxic."""
+    value = telling(owner, place, y)
+    some = value[place] > 0
+    used, column = np.unique(place[some], return_inverse=True)
+    w, theta = fit_ordinal(owner[some], column, value[place[some]], grades, len(used), n_grades)
+    weights = np.zeros(DIMS)
+    weights[used] = w * value[used]
+    return OrdinalModel(weights, theta.tolist())
+
+
+def severity(owner: np.ndarray, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Grades 0, 1, 2: a toxic row is severe if a model of the other half's labels scores it above the median toxic row."""
+    half = np.zeros(len(y), dtype=int)
+    for c in (0, 1):
+        half[y == c] = np.arange((y == c).sum()) % 2
+    score = np.zeros(len(y))
+    for h in (0, 1):
+        learns = half != h
+        number = np.cumsum(learns) - 1
+        mine = learns[owner]
+        model = fit_rows(number[owner[mine]], place[mine], y[learns], y[learns], 2) if len(set(y[learns])) == 2 else OrdinalModel(np.zeros(DIMS), [0.0])
+        score = np.where(learns, score, np.bincount(owner, weights=model.weights[place], minlength=len(y)) - model.thresholds[0])
+    return y + ((y == 1) & (score > np.median(score[y == 1])))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> OrdinalModel:
     """Fits three grades: 0 clean, 1 mild, 2 severe.
 
-    The labels only say toxic or not. A toxic row is severe if it has more telling words than the median
-    toxic row; telling features are those that toxic rows have far more often than clean ones. Without
-    rows of both classes the model has no weights and rejects nothing.
+    The labels only say toxic or not. How severe a toxic row is comes from models that have not seen it: one
+    fitted on each half of the sample grades the other half's toxic rows, of which those above the median are
+    severe. Without rows of both classes the model has no weights and rejects nothing.
     """
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, most_rows)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
-        for batch in few(batches):
-            for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                seen[y].update({f for w in set(split_words(text)) for f in features_of(w)})
-                seen[y][b""] += 1  # the rows themselves
-        names = list({*seen[0], *seen[1]})
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.binary()), pa.array([seen[0][x] for x in names], type=pa.int64()), pa.array([seen[1][x] for x in names], type=pa.int64())], names=["f", "n0", "n1"])
-
-    counts = sample.select(text_col, "y").mapInArrow(count, "f binary, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    # the most telling features, and the row counts under the empty name
-    mine, other = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0), F.greatest("n0", "n1")
-    ranked = counts.withColumn("telling", F.when(F.octet_length("f") == 0, F.lit(1e18)).otherwise(F.abs(F.log(mine / (1.0 - mine))) * F.sqrt(other)))
-    top = ranked.where("n0 + n1 >= 5").orderBy(F.desc("telling"), "f").limit(most_features + 1).collect()
-    total = next(((r.n0, r.n1) for r in top if not r.f), (0, 0))
-    if not total[0] or not total[1]:
-        return OrdinalModel({}, [40.0, 41.0])
-    names = [bytes(r.f) for r in top if r.f]
-    number = {f: k for k, f in enumerate(names)}
-    telling = [r.n1 / total[1] > 10 * (r.n0 + 0.5) / total[0] for r in top if r.f]
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
-            rows = []
-            for text in as_bytes(batch.column(0)):
-                hits = Counter(number[f] for w in split_words(text) for f in features_of(w) if f in number)
-                rows.append([{"c": c, "n": n} for c, n in sorted(hits.items())])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, type=pa.list_(pa.struct([("c", pa.int32()), ("n", pa.int32())])))], names=["y", "x"])
-
-    data = sample.select(text_col, "y").mapInArrow(gather, "y int, x array<struct<c:int,n:int>>").toArrow()  # 2 * most_rows rows, some hundred pairs each
-    y = np.array(data.column("y").to_pylist(), dtype=np.int64)
-    rows = [{p["c"]: log1p(p["n"]) for p in x} for x in data.column("x").to_pylist()]
-    hits = np.array([sum(v for c, v in r.items() if telling[c]) for r in rows])
-    middle = np.median(hits[y == 1])
-    w, theta = fit_ordinal(rows, y + ((y == 1) & (hits > middle)), len(names), 3)
-    return OrdinalModel({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 0.01}, theta.tolist())
+            rows = [sorted({f for w in set(split_words(text)) for f in features_of(w)}) for text in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, type=pa.list_(pa.int32()))], names=["id", "y", "x"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    data = sample.select(id_col, text_col, "y").mapInArrow(gather, f"id {kind}, y int, x array<int>").toArrow()  # 2 * most_rows rows, DIMS numbers at most
+    data = data.take(pc.sort_indices(data.column("id")))
+    y, x = data.column("y").to_numpy().astype(np.int64), data.column("x").combine_chunks()
+    if len(set(y.tolist())) < 2:
+        return OrdinalModel(np.zeros(DIMS), [40.0, 41.0])
+    owner, place = np.repeat(np.arange(len(y)), np.diff(x.offsets.to_numpy())), x.flatten().to_numpy().astype(np.int64)
+    return fit_rows(owner, place, y, severity(owner, place, y), 3)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

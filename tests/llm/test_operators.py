@@ -197,10 +197,40 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.without_toxic(docs, model).schema == docs.schema
     blind = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic").limit(0))
     assert toxicity.grade(table, blind).where("rejected").count() == 0
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for r in toxicity.grade(docs.where("doc_id is not null and doc_id != 3"), model).collect():
+        places = {f for w in set(words(TEXTS[r.doc_id])) for f in toxicity.features_of(w.encode())}
+        score = sum(model.weights[f] for f in places)
+        clean, mild = sigmoid(model.thresholds[0] - score), sigmoid(model.thresholds[1] - score)
+        assert math.isclose(r.p_toxic, 1 - clean, abs_tol=1e-9) and math.isclose(r.expected_severity, (mild - clean) + 2 * (1 - mild), abs_tol=1e-9)
+        assert r.rejected == (r.p_toxic >= 0.5) and r.grade == max(range(3), key=[clean, mild - clean, 1 - mild].__getitem__)
+
+
+def test_a_row_labelled_both_ways_is_toxic_and_repeated_ids_count_once(spark):
+    table = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    found = toxicity.labelled_sample(table, labels, "doc_id", "text", "toxic", 10).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in found) == [(1, "a", 1), (2, None, 0)]
+
+
+def test_ordinal_fit_finds_the_least_loss():
+    rng = np.random.default_rng(13)
+    x = (rng.random((200, 6)) < 0.4) * rng.random((200, 6))
+    grades = np.digitize(x @ [3, -2, 1, 0, 0, 2] + 0.5 * rng.normal(size=200), [0.5, 1.5])
+    owner, column = np.nonzero(x)
+    w, theta = toxicity.fit_ordinal(owner, column, x[owner, column], grades, 6, 3, l2=0.01, rounds=3000, rate=0.02)
+
+    def loss(w, theta):
+        below = 1 / (1 + np.exp(-(np.array([-np.inf, *theta, np.inf])[None, :] - (x @ w)[:, None])))
+        return -np.mean(np.log(np.diff(below, axis=1)[np.arange(200), grades])) + 0.005 * (w @ w)
+
+    assert theta[0] < theta[1]
+    for _ in range(200):
+        assert loss(w, theta) <= loss(w + 0.02 * rng.normal(size=6), theta + 0.02 * rng.normal(size=2)) + 1e-9
 
 
 def test_ordinal_probabilities_sum_to_one():
-    model = toxicity.OrdinalModel({}, [-1.0, 0.5, 2.0])
+    model = toxicity.OrdinalModel(np.zeros(toxicity.DIMS), [-1.0, 0.5, 2.0])
     p = model.probabilities(np.linspace(-5, 5, 11))
     assert p.shape == (11, 4) and np.allclose(p.sum(axis=1), 1) and (p >= 0).all()
 
