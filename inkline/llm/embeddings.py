@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, drawn, join_each, shuffle_width, written
+from .simhash import merge
 
 #: Bytes of vectors that the centres of a width are fitted on at most, vectors aimed at in a cell, cells of a level.
 SAMPLE_BYTES, CELL, FAN = 64 << 20, 800, 256
@@ -140,20 +141,6 @@ def in_fragments(classes: DataFrame, cells: dict[int, Cells], margin: float) ->
     return classes.select("class", "weight", "vector").mapInArrow(run, FRAGMENTS)
 
 
-def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (the least row of each group) once the rows ``a`` and ``b`` are joined."""
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        live = label[a] != label[b]
-        a, b = a[live], b[live]
-    while not np.array_equal(label, label[label]):
-        label = label[label]
-    return label
-
-
 def links_of_block(frame: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
     """Of one task (``role`` 0: fragments that ask or come first, 1: those asked, 2: both): each class's linked weight, and stars over the linked."""
     frame = frame.sort_values("role", kind="stable")  # 0, 2, 1 can't meet: it is 2 alone, or 0 and 1

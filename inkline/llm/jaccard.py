@@ -1,6 +1,8 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash proposes pairs, exact sets decide.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash links and MinHash propose pairs, exact sets decide.
 
-Texts with equal shingle sets are one class. A class goes to a bucket for each of ``BANDS`` bands of
+Texts with equal shingle sets are one class. Classes whose SimHash fingerprints vantage-point trees link (see
+``simhash``) share a bucket; but sets of similarity 0.8 differ in some nine bits of 64, where triangle bounds
+prune nothing, so that trees alone would miss them. A class also goes to a bucket for each of ``BANDS`` bands of
 ``ROWS`` least hashes; a pair of similarity 0.8 misses all its buckets with probability
 (1 - 0.8 ** ROWS) ** BANDS, below 1 in 10,000. Pairs of a bucket are confirmed in rounds: all members with the
 bucket's least class, then with a hub that differs between buckets, at last all members of buckets that still
@@ -18,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, first_row, keyed, one_row_each, written
+from . import simhash
+from .common import connected_components, first_row, join_each, keyed, one_row_each, written
+from .simhash import majority_bits
 from .words import few
 
 BANDS, ROWS = 24, 5
@@ -56,16 +60,25 @@ def bands(grams: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, text_col: str, size: int) -> DataFrame:
-    """``_row``, ``digest`` (of the shingle set), ``n`` (its size) and ``bands`` of every row."""
+    """``_row``, ``digest`` (of the shingle set), ``n`` (its size), ``fp`` (its SimHash) and ``bands`` of every row."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
             sets = [shingles(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digest, pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["_row", "digest", "n", "bands"])
+            fps = pa.array(np.array([majority_bits(s) for s in sets], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), digest, pa.array([len(s) for s in sets], pa.int64()), fps, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["_row", "digest", "n", "fp", "bands"])
 
-    return rows.select("_row", text_col).mapInArrow(run, "_row long, digest binary, n long, bands array<long>")
+    return rows.select("_row", text_col).mapInArrow(run, "_row long, digest binary, n long, fp long, bands array<long>")
+
+
+def by_fingerprint(classes: DataFrame, reach: int) -> DataFrame:
+    """``class``, ``n`` and ``bucket``: those whose fingerprints links of ``reach`` bits join share one."""
+    prints = written(classes.groupBy("fp").agg(F.count("*").alias("weight")), "fingerprint-classes")
+    roots = connected_components(simhash.near_links(prints, reach), "fingerprint-components").withColumnRenamed("node", "fp")
+    told = prints.join(roots, "fp", "left").select("fp", "weight", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"))
+    return join_each(classes.select("class", "n", "fp"), written(told, "fingerprint-told"), "fp", "weight").select("class", "n", "bucket")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -110,9 +123,9 @@ def rarest(some: DataFrame, texts: DataFrame, threshold: float, size: int) -> Da
     return written(first.where("often > 1").select("class", "n", "part", "gram"), "shingle-rarest")
 
 
-def near_links(classes: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """``node`` and ``root`` of the classes that confirmed links join; ``classes``: ``class``, ``n`` and ``bands``."""
-    each = classes.select("class", "n", F.explode("bands").alias("bucket"))
+def near_links(classes: DataFrame, texts: DataFrame, threshold: float, size: int, reach: int = 3) -> DataFrame:
+    """``node`` and ``root`` of the classes that confirmed links join; ``classes``: ``class``, ``n``, ``fp`` and ``bands``."""
+    each = classes.select("class", "n", F.explode("bands").alias("bucket")).unionByName(by_fingerprint(classes.where("n > 0"), reach))
     full = each.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     members = written(each.join(full, "bucket"), "shingle-buckets")
     links = tested = roots = None
@@ -148,7 +161,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = keyed(docs)
     told = written(signatures(rows, text_col, shingle).join(rows.select("_row", id_col), "_row"), "shingle-signatures")
-    classes = told.groupBy("digest").agg(first_row(id_col), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = told.groupBy("digest").agg(first_row(id_col), *(F.first(c).alias(c) for c in ("n", "fp", "bands")))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "shingle-classes")
     texts = classes.select("class", F.col("first.row").alias("_row")).join(rows.select("_row", F.col(text_col).alias("text")), "_row").select("class", "text")
     return one_row_each(rows, classes, near_links(classes, texts, threshold, shingle))

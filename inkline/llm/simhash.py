@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, first_row, keyed, one_row_each, shuffle_width, written
+from .common import connected_components, drawn, first_row, join_each, keyed, one_row_each, shuffle_width, written
 from .words import few
 
 HALVES = (np.uint64(0x00000000FFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Most fingerprints that the driver sees, to place the upper levels of the trees.
-SAMPLE = 8192
+#: Fingerprints that the driver sees at most, to place the upper levels of the trees, and for each shard aimed at.
+SAMPLE, SAMPLE_EACH = 65_536, 8
 #: Fingerprints aimed at in a shard, and in a leaf that is compared block by block.
 SHARD, LEAF = 4_000, 384
 
@@ -142,9 +142,8 @@ class VantageTree:
             todo.append((self.child[node][1], home[~inner], np.concatenate([home[over], asks[e > mu - bound]])))
 
 
-def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least row joined to each of ``n`` rows by the links (a, b)."""
-    label = np.arange(n)
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least row of each group) once the rows ``a`` and ``b`` are joined."""
     while len(a):
         low = np.minimum(label[a], label[b])
         np.minimum.at(label, label[a], low)
@@ -157,6 +156,11 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row joined to each of ``n`` rows by the links (a, b)."""
+    return merge(np.arange(n), a, b)
+
+
 def shard_links(points: np.ndarray, home: np.ndarray, half: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Stars over the fingerprints of one shard: every pair (one of them at home) within ``reach`` is joined by them."""
     rng = np.random.default_rng(7)
@@ -168,15 +172,12 @@ def shard_links(points: np.ndarray, home: np.ndarray, half: int, reach: int) ->
         if not len(here):
             continue
         both = np.concatenate([here, asks])
-        left, right = [], []
+        label = np.arange(len(both))
         for k in range(0, len(both), 1024):
-            near = np.bitwise_count(points[both[k : k + 1024], None] ^ points[None, here]) <= reach
-            i, j = np.nonzero(near)
-            i += k
-            keep = i != j
-            left.append(i[keep])
-            right.append(j[keep])
-        label = stars(len(both), np.concatenate(left), np.concatenate(right))
+            for m in range(0, len(here), 4096):  # a leaf that nothing divides can be large
+                near = np.bitwise_count(points[both[k : k + 1024], None] ^ points[None, here[m : m + 4096]]) <= reach
+                i, j = np.nonzero(near & (label[k : k + 1024, None] != label[None, m : m + 4096][:, : near.shape[1]]))
+                label = merge(label, i + k, j + m)
         joined = label != np.arange(len(both))
         ends_a.append(both[joined])
         ends_b.append(both[label[joined]])
@@ -187,12 +188,16 @@ def shard_links(points: np.ndarray, home: np.ndarray, half: int, reach: int) ->
     return rows[joined], label[joined]
 
 
+def sample_share(n: int) -> float:
+    """Of ``n`` fingerprints, those that the upper levels are placed by: more with more shards, an eighth and ``SAMPLE`` at most."""
+    return min(0.125, min(SAMPLE, max(2048, SAMPLE_EACH * n // SHARD)) / max(n, 1))
+
+
 def near_links(classes: DataFrame, reach: int = 3) -> DataFrame:
     """Links (a, b) between the distinct ``fp`` of ``classes`` whose components are those of all pairs within ``reach`` bits."""
     spark = classes.sparkSession
     n = classes.count()
-    share = min(0.125, SAMPLE / max(n, 1))
-    sample = np.array([r.fp for r in classes.where(F.pmod(F.xxhash64(F.lit(11), "fp"), F.lit(1 << 20)) < int(share * (1 << 20))).select("fp").limit(2 * SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in classes.where(drawn(sample_share(n), 11, "fp")).select("fp").limit(2 * SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     trees = []
     for half in (0, 1):
         tree = VantageTree(half, reach)
@@ -220,7 +225,7 @@ def near_links(classes: DataFrame, reach: int = 3) -> DataFrame:
 
     shards = sum(t.leaves for t in trees)
     dealt = classes.select("fp").repartition(max(shuffle_width(spark), n // 500_000)).mapInPandas(deal, "shard int, fp long, home boolean")
-    return dealt.repartition(max(min(shards, 4096), shuffle_width(spark)), "shard").groupBy("shard").applyInPandas(link, "a long, b long")
+    return dealt.repartition(max(shards, shuffle_width(spark)), "shard").groupBy("shard").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 3, seed: int = 42) -> DataFrame:
@@ -231,13 +236,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay; an empty table gives an empty result; other columns are ignored.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-classes")
+    classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("weight")), "fingerprint-classes")
     roots = connected_components(near_links(classes, reach), "fingerprint-components")
-    linked = roots.join(classes, F.col("node") == F.col("fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = linked.join(least, "root").select("fp", "component_id")
-    per_class = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(per_class, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = roots.join(classes.withColumnRenamed("fp", "node"), "node")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    found = join_each(linked.select("node", "root"), least, "root", "fps").select(F.col("node").alias("fp"), "component_id")
+    per_class = classes.join(found, "fp", "left").select("fp", "weight", F.coalesce("component_id", "least").alias("component_id"))
+    return join_each(fps, written(per_class, "fingerprint-told"), "fp", "weight").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 3, seed: int = 42) -> DataFrame:

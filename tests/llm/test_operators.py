@@ -58,7 +58,34 @@ def test_shard_links_join_all_pairs_within_reach(half):
     mask = np.bitwise_count((points[:, None] ^ points[None, :]) & simhash.HALVES[half]) <= 1
     i, j = np.nonzero(near & mask)
     assert (label[i] == label[j]).all()
-    assert (np.bitwise_count(points[a] ^ points[b]) >= 0).all() and len(set(label)) >= 250
+    want = simhash.stars(len(points), *np.nonzero(near))  # no group holds more than links within reach join
+    assert all(len(set(want[label == x].tolist())) == 1 for x in set(label.tolist()))
+
+
+def test_shard_links_of_a_leaf_that_nothing_divides(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 10**9)
+    points = np.unique(np.random.default_rng(2).integers(0, 1 << 13, 5000, dtype=np.uint64))
+    a, b = simhash.shard_links(points, np.arange(len(points)) % 7 > 0, 0, 1)
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 1
+    near &= (np.arange(len(points)) % 7 > 0)[None, :]
+    assert np.array_equal(simhash.stars(len(points), a, b), simhash.stars(len(points), *np.nonzero(near)))
+
+
+def test_samples_never_collapse(spark):
+    for n in (10**3, 10**6, 10**9, 10**11, 10**13):
+        share = simhash.sample_share(n)
+        assert min(n / 8, 2048) * 0.99 <= share * n <= 65_536 * 1.01
+        assert abs((common.drawn_below(share) + 2.0**63) / 2.0**64 * n - share * n) < 1 and common.drawn_below(20_000 / n if n > 20_000 else 1.0) > -(1 << 63) + 10**5
+    assert 9_000 < spark.range(100_000).where(common.drawn(0.1, 1, "id")).count() < 11_000 and spark.range(9).where(common.drawn(1.0, 1, "id")).count() == 9
+
+
+@pytest.mark.parametrize("most", [0, 3, 100])
+def test_join_each(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most or 1)
+    keys = [0] * 3000 + list(range(1, 40)) + [99]
+    rows = spark.createDataFrame([(k, f"r{j}") for j, k in enumerate(keys)], "key long, row string")
+    told = spark.createDataFrame([(k, keys.count(k), f"t{k}") for k in range(41)], "key long, weight long, told string")
+    assert sorted((r.row, r.told) for r in common.join_each(rows, told, "key", "weight").collect()) == sorted((f"r{j}", f"t{k}") for j, k in enumerate(keys) if k != 99)
 
 
 def test_near_duplicates(docs, empty):
