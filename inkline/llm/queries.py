@@ -80,5 +80,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: What SQL can say whole: n-gram matches, cosines, digests. The other operators are trained, packed or walk trees.
+SQL = {
+    "op2_decontaminate": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
+i AS (SELECT item_id, {WORDS} AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, n, array_to_string(ws[k : k + n - 1], ' ') AS phrase FROM (SELECT *, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 9, least(len(ws), 1)) + 1)) AS k FROM i)),
+w AS (SELECT r, n, k, array_to_string(ws[k : k + n - 1], ' ') AS phrase FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM p))),
+h AS (SELECT r, k, n, item_id FROM w JOIN p USING (n, phrase)),
+c AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS spot FROM h) GROUP BY r),
+f AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN f USING (r)""",
+    "op4_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS least FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op6_chat": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) AS x(k)),
+s AS (SELECT *, lag(role, 1, '') OVER w AS before, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS turns FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+o AS (SELECT *, CASE before WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END AND (place < turns OR role = 'assistant') AS fits FROM s)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars, bool_and(fits) AS valid FROM o GROUP BY conv_id""",
+    "op7_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages), q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n) ELSE page_id END AS target FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN target <> page_id THEN target END AS refers_to FROM q""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
