@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .binding import let
+from .text import normalize
 
 
 def matrix(flat: Column | str, width: int) -> Column:
@@ -64,5 +67,11 @@ def decode(ids: Column, charset: list[str]) -> Column:
     return F.array_join(F.transform(F.filter(ids, lambda i: (i > 0) & (i < len(charset))), lambda i: F.get(known, i)), "")
 
 
+def read(ids: Column, charset: list[str], tones: bool = True) -> Column:
+    """Decoded and normalized text of the classes. A charset of composed characters gives composed text unless marks stand alone in it."""
+    joins = any(unicodedata.combining(c) for token in charset[1:] for c in token)
+    return normalize(decode(ids, charset), tones, composed=not joins and all(unicodedata.is_normalized("NFC", c) for c in charset[1:]))
+
+
 def has_only(text: Column, charset: list[str]) -> Column:
     return F.size(F.array_except(F.filter(F.split(text, ""), lambda c: c != ""), F.array(*(F.lit(c) for c in charset[1:])))) == 0

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .binding import let
 from .text import tokens
 
-#: Words of a pair become code points from here on; above it, surrogates begin after some 55,000.
-FIRST_CODE, LAST_CODE = 256, 0xD7FF
+#: Common words of a pair become code points from here on, but for the 2,048 surrogates; words of one side alone are the two before.
+FIRST_CODE, SURROGATES, CODES = 258, 0xD800, 1_000_000
 
 
 def rate(edits: Column, length: Column, other: Column) -> Column:
@@ -22,27 +22,29 @@ def char_edits(ref: Column, hyp: Column) -> Column:
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Edits between the words: each distinct word of the pair becomes one code point.
+    """Edits between the words: each word that both sides hold becomes one code point, words of one side alone, which match nothing, one a side.
 
-    Pairs with more distinct words than there are codes raise an error rather than give a wrong figure.
+    Pairs with more than ``CODES`` common words raise an error rather than give a wrong figure.
     """
 
     def edits(both: Column) -> Column:
         r, h, known = both["r"], both["h"], both["known"]
 
-        def coded(words: Column) -> Column:
-            code = lambda w: F.decode(F.unhex(F.lpad(F.hex(FIRST_CODE + F.array_position(known, w)), 8, "0")), "UTF-32")
+        def coded(words: Column, alone: int) -> Column:
+            number = lambda at: F.when(at == 0, alone).otherwise(at + FIRST_CODE + F.when(at + FIRST_CODE >= SURROGATES, 2048).otherwise(0))
+            code = lambda w: F.decode(F.unhex(F.lpad(F.hex(number(F.array_position(known, w))), 8, "0")), "UTF-32")
             return F.array_join(F.transform(words, code), "")
 
-        fits = F.size(known) <= LAST_CODE - FIRST_CODE
-        return F.when(fits, F.levenshtein(coded(r), coded(h))).otherwise(F.raise_error(F.lit("too many distinct words in a pair")).cast("int"))
+        fits = F.size(known) <= CODES
+        return F.when(fits, F.levenshtein(coded(r, FIRST_CODE - 2), coded(h, FIRST_CODE - 1))).otherwise(F.raise_error(F.lit("too many common words in a pair")).cast("int"))
 
     words = F.struct(tokens(ref).alias("r"), tokens(hyp).alias("h"))
-    return let(words, lambda w: let(F.struct(w["r"].alias("r"), w["h"].alias("h"), F.array_distinct(F.concat(w["r"], w["h"])).alias("known")), edits))
+    return let(words, lambda w: let(F.struct(w["r"].alias("r"), w["h"].alias("h"), F.array_intersect(w["r"], w["h"]).alias("known")), edits))
 
 
-def cer(ref: Column, hyp: Column) -> Column:
-    return rate(char_edits(ref, hyp), F.length(ref), F.length(hyp))
+def cer(ref: Column, hyp: Column, edits: Column | None = None) -> Column:
+    """``edits``: where they are worked out already."""
+    return rate(char_edits(ref, hyp) if edits is None else edits, F.length(ref), F.length(hyp))
 
 
 def wer(ref: Column, hyp: Column) -> Column:
@@ -52,4 +54,4 @@ def wer(ref: Column, hyp: Column) -> Column:
 def comparison(ref: Column, hyp: Column) -> Column:
     """One pair in full; nulls are empty."""
     ref, hyp = F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))
-    return F.struct(ref.alias("reference"), hyp.alias("hypothesis"), char_edits(ref, hyp).alias("levenshtein"), cer(ref, hyp).alias("cer"), wer(ref, hyp).alias("wer"), F.length(ref).alias("ref_len"), (ref == hyp).alias("exact"))
+    return let(char_edits(ref, hyp), lambda n: F.struct(ref.alias("reference"), hyp.alias("hypothesis"), n.alias("levenshtein"), cer(ref, hyp, n).alias("cer"), wer(ref, hyp).alias("wer"), F.length(ref).alias("ref_len"), (ref == hyp).alias("exact")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -24,6 +24,12 @@ def nfc(text: Column | str) -> Column:
     return run(text)
 
 
+def compose(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``text`` in NFC. ASCII is composed already, so that only rows with other characters go to Python."""
+    plain = F.coalesce(~F.col(text).rlike(r"[^\x00-\x7F]"), F.lit(True))
+    return df.where(plain).unionAll(df.where(~plain).withColumn(text, nfc(text)).select(df.columns))
+
+
 def strip(text: Column | str) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -62,9 +68,9 @@ def place_tones(text: Column | str) -> Column:
     return F.when(text.rlike("|".join(tone_moves())), moved).otherwise(text)
 
 
-def normalize(text: Column | str, tones: bool = True) -> Column:
-    """NFC, tone marks, punctuation, white space."""
-    text = nfc(text)
+def normalize(text: Column | str, tones: bool = True, composed: bool = False) -> Column:
+    """NFC (unless ``composed`` says that the text is), tone marks, punctuation, white space; deployments leave the tones."""
+    text = (F.col(text) if isinstance(text, str) else text) if composed else nfc(text)
     return squeeze(fix_punctuation(place_tones(text) if tones else text))
 
 
@@ -77,6 +83,12 @@ def stem(path: Column | str) -> Column:
     return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
 
 
+def absolute(root: str, path: Column | str) -> Column:
+    """The place of a relative ``path`` under ``root``; an absolute one stays."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
 def suffix(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(basename(path), r".(\.[^.]+)$", 1))
 

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 
 
+#: Points of a tuning grid and rows of a calibration set at most.
+MOST_POINTS, CALIBRATION = 10_000, 300
+
+
 def with_rates(pairs: DataFrame, ref: str = "gt", hyp: str = "predict") -> DataFrame:
-    return pairs.withColumn("cer", metrics.cer(F.col(ref), F.col(hyp))).withColumn("wer", metrics.wer(F.col(ref), F.col(hyp)))
+    """``edits`` (of characters), ``cer`` and ``wer`` beside each pair; distances are worked out once."""
+    r, h = F.col(ref), F.col(hyp)
+    return pairs.withColumn("edits", metrics.char_edits(r, h)).withColumn("cer", metrics.cer(r, h, F.col("edits"))).withColumn("wer", metrics.wer(r, h))
 
 
-def corpus_rates(pairs: DataFrame, ref: str = "gt", hyp: str = "predict", by: tuple[str, ...] = ()) -> DataFrame:
+def corpus_rates(pairs: DataFrame, ref: str = "gt", hyp: str = "predict", by: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
     """Macro means of the pairs' rates, the micro CER beside them; an empty corpus has zeros."""
-    edits, size = metrics.char_edits(F.col(ref), F.col(hyp)), F.length(ref)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return with_rates(pairs, ref, hyp).groupBy(*by).agg(zero(F.avg("cer")).alias("cer"), zero(F.avg("wer")).alias("wer"), zero(F.sum(edits) / F.nullif(F.sum(size), F.lit(0))).alias("micro_cer"), F.count("*").alias("n"))
+    return with_rates(pairs, ref, hyp).groupBy(*by).agg(zero(F.avg("cer")).alias("cer"), zero(F.avg("wer")).alias("wer"), zero(F.sum("edits") / F.nullif(F.sum(F.length(ref)), F.lit(0))).alias("micro_cer"), F.count("*").alias("n"), *more)
 
 
 def failures(pairs: DataFrame, ref: str = "gt", hyp: str = "predict") -> DataFrame:
@@ -28,13 +33,33 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
+def shuffled(df: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """All rows in an order that seed and epoch fix: by the digest of them and the key, range-partitioned."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string"))), key)
+
+
+def evaluate_split(samples: DataFrame, hypothesis: Column, n: int | None = None, key: str = "path", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rates of a split (``samples``: ``path``, ``gt`` and what ``hypothesis`` is made from) with the number of failures, and the failures.
+
+    ``n`` samples are drawn by the seed if it is given.
+    """
+    drawn = samples if n is None else sample_n(samples, n, key, seed)
+    pairs = drawn.select("path", "gt", hypothesis.alias("predict"))
+    failed = F.count_if(F.col("gt") != F.col("predict")).alias("n_failures")
+    return corpus_rates(pairs, more=(failed,)), failures(pairs).select("path", "gt", "predict")
+
+
 def head_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
 def score_grid(outputs: DataFrame, grid: DataFrame, hypothesis: Column, ref: str = "gt") -> DataFrame:
-    """``hypothesis`` of every output at every grid point (``alpha``, ``beta``), and its mean rates. The grid is a handful of rows."""
-    tried = outputs.crossJoin(F.broadcast(grid)).withColumn("predict", hypothesis)
+    """``hypothesis`` of every output at every grid point (``alpha``, ``beta``), and its mean rates. A grid of more than ``MOST_POINTS`` points is an error."""
+    points = grid.select("alpha", "beta").limit(MOST_POINTS + 1).collect()
+    if len(points) > MOST_POINTS:
+        raise ValueError(f"a grid has {MOST_POINTS} points at most")
+    each = F.array(*(F.struct(F.lit(p.alpha).cast("double").alias("alpha"), F.lit(p.beta).cast("double").alias("beta")) for p in points)) if points else F.array().cast("array<struct<alpha:double,beta:double>>")
+    tried = outputs.withColumn("_p", F.explode(each)).select(*outputs.columns, "_p.*").withColumn("predict", hypothesis)
     return corpus_rates(tried, ref, "predict", ("alpha", "beta")).drop("micro_cer")
 
 
@@ -46,7 +71,7 @@ def best_point(grid: DataFrame) -> DataFrame:
 def latency_summary(times: DataFrame, by: tuple[str, ...], ms: str = "ms", batch: int | Column = 1) -> DataFrame:
     """Linear-interpolated p50 and p95, and images a second at the median."""
     batch = F.lit(batch) if isinstance(batch, int) else batch
-    half = F.percentile(ms, F.lit(0.5))
+    half = F.percentile(ms, F.lit(0.5))  # exact: it counts distinct values, so round a time to what its clock can tell
     return times.groupBy(*by).agg(F.round(half, 3).alias("latency_ms_p50"), F.round(F.percentile(ms, F.lit(0.95)), 3).alias("latency_ms_p95"), F.when(half > 0, F.round(batch * 1000 / half, 2)).otherwise(0.0).alias("images_per_s"))
 
 
@@ -71,12 +96,19 @@ def pick_variant(variants: DataFrame, preferred: tuple[tuple[str, int], ...] = (
     return variants.orderBy(rank, F.col("precision") != "int8", "batch", "precision").limit(1)
 
 
-def calibration_batches(samples: DataFrame, batch: int, order: str) -> DataFrame:
-    """Full batches in order, the tail dropped; fewer samples than one batch are repeated to fill one.
+def variant_grid(precisions: tuple[str, ...], batches: tuple[int, ...], present: DataFrame) -> DataFrame:
+    """``precision``, ``batch`` of the grid's variants that are ``present`` (same columns), in grid order; missing ones are left out."""
+    points = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(p).alias("precision"), F.lit(b).alias("batch")) for k, (b, p) in enumerate((b, p) for b in batches for p in precisions)))
+    grid = present.sparkSession.range(1).select(F.inline(points))
+    return grid.join(present, ["precision", "batch"], "left_semi").orderBy("place").select("precision", "batch")
+
+
+def calibration_batches(samples: DataFrame, batch: int, order: str, most: int = CALIBRATION) -> DataFrame:
+    """Full batches of the first ``most`` samples in order, the tail dropped; fewer samples than one batch are repeated to fill one.
 
-    Calibration sets are some hundred rows by definition, so one ordered window over them is enough; sample first.
+    ``most`` is the calibration set's own size, so that the windows below see no more rows.
     """
-    placed = samples.withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    placed = samples.orderBy(order).limit(most).withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))
     times = F.when(F.col("n") < batch, F.ceil(F.lit(batch) / F.col("n"))).otherwise(1)
     tiled = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), times.cast("int") - 1))).withColumn("slot", F.col("copy") * F.col("n") + F.col("pos"))
     full = F.greatest(F.floor(F.col("n") / batch), F.lit(1)) * batch

@@ -26,6 +26,11 @@ def unmatched(labels: DataFrame, images: DataFrame, keys: tuple[str, ...] = ("wr
     return labels.join(resolve_images(labels, images, keys).select(*keys, "name"), [*keys, "name"], "left_anti")
 
 
+def matched(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """``n``: how many images (``path``) have a label of their very name."""
+    return images.select(text.basename("path").alias("name")).join(labels.select("name"), "name", "left_semi").agg(F.count("*").alias("n"))
+
+
 def label_of_image(images: DataFrame, labels: DataFrame) -> DataFrame:
     """``path`` and ``gt``: the label of the exact name, else that of the first label (by name) with the same stem, else null."""
     named = images.select("path", text.basename("path").alias("name"), text.stem("path").alias("stem"))

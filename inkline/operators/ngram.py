@@ -47,7 +47,7 @@ def discounts(counts: DataFrame, fallback: float = 0.75) -> DataFrame:
 
 def kneser_ney_bigrams(texts: DataFrame, discount: float = 0.75, text: str = "text") -> DataFrame:
     """``context``, ``token``, ``p``: interpolated Kneser-Ney with one discount over all bigrams seen."""
-    pairs = ngram_counts(texts, 2, text=text)
+    pairs = ngram_counts(texts, 2, text=text).repartition("context")  # counted once: all uses share this exchange
     after = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     before = pairs.groupBy("token").agg(F.count("*").alias("histories"))
     whole = before.agg(F.sum("histories").alias("all_pairs"))  # one row
@@ -60,6 +60,7 @@ def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text:
 
     Lower orders count distinct words to the left instead of occurrences; each order has three discounts
     and interpolates with the one below. Probabilities of a context, the rest backed off, sum to one.
+    ``prune``: n-grams of any order with no higher a count are left out, and those whose shorter end is.
     """
     shorter = None
     out = None
@@ -77,7 +78,7 @@ def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text:
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         taken = counts.crossJoin(F.broadcast(d)).withColumn("cut", cut)
         total = taken.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("given"))
-        joined = taken.where(F.col("n") > (prune if k > 1 else 0)).join(total, "context")
+        joined = taken.where(F.col("n") > prune).join(total, "context")
         own = (F.col("n") - F.col("cut")) / F.col("total")
         if k == 1:
             size = counts.agg(F.count("*").alias("v"))

@@ -9,10 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 #: Millimetres between lines and of a stroke that resolution is judged by, and the resolution pages are brought to.
 LINE_MM, STROKE_MM, TARGET_DPI = 10.0, 0.4, 150.0
 
 
+def row_projection(image: Column | str) -> Column:
+    """Ink of each row of a binary image (array of rows)."""
+    return F.transform(image, lambda row: F.aggregate(row, F.lit(0).cast("long"), lambda a, x: a + x))
+
+
 def smooth(profile: DataFrame) -> DataFrame:
     """``page``, ``y``, ``p``, ``h`` and ``s``: the centred mean over max(3, height / 100 made odd) rows, zeros beyond the ends.
 
@@ -37,18 +44,40 @@ def lines_at(smoothed: DataFrame, ratio: Column | float, by: tuple[str, ...] = (
     return judged.where((F.col("n") < 2) | (F.col("y1") - F.col("y0") >= F.col("m") * min_height)).select(*by, "y0", "y1")
 
 
+def lines_above(values: Column, ratio: Column, min_height: float) -> Column:
+    """How many lines ``lines_at`` finds in a whole page's values at one threshold."""
+    ink = F.transform(values, lambda v: v > F.array_max(values) * ratio)
+
+    def heights(ink: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(ink) - 1)
+        edge = lambda step: F.filter(at, lambda y: F.get(ink, y) & ~F.coalesce(F.get(ink, y + step), F.lit(False)))
+        return F.array_sort(F.zip_with(edge(1), edge(-1), lambda last, first: last - first + 1))
+
+    def lines(h: Column) -> Column:
+        middle = (F.get(h, F.floor((F.size(h) - 1) / 2).cast("int")) + F.get(h, F.floor(F.size(h) / 2).cast("int"))) / 2
+        return F.when(F.size(h) < 2, F.size(h)).otherwise(let(middle, lambda m: F.size(F.filter(h, lambda x: x >= m * min_height))))
+
+    return let(ink, lambda i: let(heights(i), lines))
+
+
 def stable_threshold(smoothed: DataFrame, low: float = 0.01, high: float = 0.5, steps: int = 50, min_height: float = 0.3) -> DataFrame:
-    """``page``, ``threshold_ratio``, ``n_lines``: the middle of the first longest run of thresholds with one line count."""
-    spread = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.struct(k.alias("k"), (F.lit(low) + k * F.lit((high - low) / (steps - 1))).alias("ratio"))))
-    tried = smoothed.select("page", "y", "s", spread.alias("t")).select("page", "y", "s", F.col("t.k").alias("k"), F.col("t.ratio").alias("ratio"))
-    found = lines_at(tried, F.col("ratio"), ("page", "k"), min_height).groupBy("page", "k").agg(F.count("*").alias("n"))
-    grid = smoothed.select("page").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    counted = grid.join(found, ["page", "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    island = F.col("k") - F.row_number().over(Window.partitionBy("page", "n").orderBy("k"))
-    runs = counted.withColumn("island", island).groupBy("page", "n", "island").agg(F.min("k").alias("start"), F.count("*").alias("len"))
-    best = F.min_by(F.struct("start", "len", "n"), F.struct((-F.col("len")).alias("a"), F.col("start").alias("b"))).alias("best")
-    at = F.col("best.start") + F.floor(F.col("best.len") / 2)
-    return runs.groupBy("page").agg(best).select("page", (F.lit(low) + at * F.lit((high - low) / (steps - 1))).alias("threshold_ratio"), F.col("best.n").cast("long").alias("n_lines"))
+    """``page``, ``threshold_ratio``, ``n_lines``: the middle of the first longest run of thresholds with one line count.
+
+    A page's values go together as one array, and all thresholds are tried on it.
+    """
+    ratio = lambda k: F.lit(low) + k * F.lit((high - low) / (steps - 1))
+    pages = smoothed.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "s"))), lambda r: r["s"]).alias("v"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: lines_above(F.col("v"), ratio(k), min_height))
+
+    def runs(c: Column) -> Column:
+        """Of each threshold that begins a run: minus the run's length, its start and count; the first longest is least."""
+        at = F.sequence(F.lit(0), F.lit(steps - 1))
+        begins = F.filter(at, lambda k: ~F.coalesce(F.get(c, k - 1) == F.get(c, k), F.lit(False)))
+        return let(begins, lambda b: F.array_min(F.transform(b, lambda k, i: F.struct((k - F.coalesce(F.get(b, i + 1), F.lit(steps))).alias("less"), k.alias("start"), F.get(c, k).alias("n")))))
+
+    best = pages.select("page", let(counts, runs).alias("best"))
+    at = F.col("best.start") + F.floor(-F.col("best.less") / 2)
+    return best.select("page", ratio(at).alias("threshold_ratio"), F.col("best.n").cast("long").alias("n_lines"))
 
 
 def line_pitch(smoothed: DataFrame, ratio: float = 0.2) -> DataFrame:
@@ -65,7 +94,18 @@ def dpi(pitch: Column, stroke: Column) -> Column:
 
 def scale_to(dpi_: Column, target: float = TARGET_DPI, tolerance: float = 0.05) -> Column:
     scale = F.lit(target) / dpi_
-    return F.when(F.abs(scale - 1) <= tolerance, 1.0).otherwise(scale)
+    return F.when(F.abs(scale - 1) < tolerance, 1.0).otherwise(scale)
+
+
+def scaled(size: Column, scale: Column) -> Column:
+    """A dimension in whole pixels, halves to the even one, one at least."""
+    return F.greatest(F.lit(1), F.bround(size * scale)).cast("int")
+
+
+def limited(height: Column, width: Column, most: int = 2048) -> Column:
+    """``height`` and ``width`` with the larger one at most ``most``."""
+    scale = F.when(F.greatest(height, width) <= most, 1.0).otherwise(F.lit(float(most)) / F.greatest(height, width))
+    return F.struct(scaled(height, scale).alias("height"), scaled(width, scale).alias("width"))
 
 
 def multiline(profile: DataFrame, min_rows: int = 100, ratio: float = 0.15) -> DataFrame:

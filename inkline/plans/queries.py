@@ -17,7 +17,8 @@ from ..operators import beam, evaluate, labels, ngram, profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: The characters that texts may hold in the codec queries, after the blank.
+#: The classes of 8 x 8 scores, and the characters that texts may hold in the codec queries, after the blank.
+LETTERS = ["<BLANK>", *"ho a,()"]
 CHARSET = ["<BLANK>", *" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'\"()%-\n"]
 
 
@@ -42,27 +43,55 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return turns.withColumnRenamed("text", "gt").join(after, ["conv_id", "turn"])
 
 
-PAIRS = """pairs AS (SELECT a.conv_id, a.turn, a.text AS gt, b.text AS predict FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1),
-coded AS (SELECT *, list_distinct(list_concat(string_split(gt, ''), string_split(predict, ''))) AS d FROM pairs),
-rated AS (SELECT conv_id, turn, gt, predict, levenshtein(array_to_string(list_transform(string_split(gt, ''), lambda c: chr(list_position(d, c))), ''), array_to_string(list_transform(string_split(predict, ''), lambda c: chr(list_position(d, c))), '')) AS edits FROM coded),
-rates AS (SELECT *, CASE WHEN length(gt) > 0 THEN edits / length(gt) WHEN length(predict) = 0 THEN 0.0 ELSE 1.0 END AS cer FROM rated)"""
+def rated_sql(source: str) -> str:
+    """CTEs that give ``source`` (``gt``, ``predict``) its edits, rates and word rates as ``rates``. Distances count bytes, so that characters and common words become one byte each; words of one side alone match nothing."""
+    words = lambda c: f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
+    code = lambda c: f"array_to_string(list_transform(string_split({c}, ''), lambda c: chr(list_position(d, c))), '')"
+    word_code = lambda ws, alone: f"array_to_string(list_transform({ws}, lambda w: chr(CASE WHEN list_contains(k, w) THEN list_position(k, w)::INT + 2 ELSE {alone} END)), '')"
+    return f"""coded AS (SELECT *, list_distinct(list_concat(string_split(gt, ''), string_split(predict, ''))) AS d, {words('gt')} AS r, {words('predict')} AS h FROM {source}),
+known AS (SELECT *, list_distinct(list_intersect(r, h)) AS k FROM coded),
+rated AS (SELECT * EXCLUDE (d, k), levenshtein({code('gt')}, {code('predict')}) AS edits, levenshtein({word_code('r', 1)}, {word_code('h', 2)}) AS word_edits FROM known),
+rates AS (SELECT *, CASE WHEN length(gt) > 0 THEN edits / length(gt) WHEN length(predict) = 0 THEN 0.0 ELSE 1.0 END AS cer, CASE WHEN len(r) > 0 THEN word_edits / len(r) WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END AS wer FROM rated)"""
+
+
+PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, a.text AS gt, b.text AS predict FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1),
+{rated_sql('pairs')}"""
 
 
 @query(f"WITH {PAIRS} SELECT conv_id, turn, edits::BIGINT AS edits, round(cer, 9) AS cer FROM rates")
 def pair_error_rates(spark, sf):
     gt, predict = F.col("gt"), F.col("predict")
-    return pairs(spark, sf).select("conv_id", "turn", metrics.char_edits(gt, predict).cast("long").alias("edits"), F.round(metrics.cer(gt, predict), 9).alias("cer"))
+    found = pairs(spark, sf).withColumn("edits", metrics.char_edits(gt, predict))
+    return found.select("conv_id", "turn", F.col("edits").cast("long").alias("edits"), F.round(metrics.cer(gt, predict, F.col("edits")), 9).alias("cer"))
 
 
-@query()
+@query(f"WITH {PAIRS} SELECT conv_id, turn, word_edits::INTEGER AS edits, round(wer, 9) AS wer FROM rates")
 def pair_word_rates(spark, sf):
     gt, predict = F.col("gt"), F.col("predict")
     return pairs(spark, sf).select("conv_id", "turn", metrics.word_edits(gt, predict).alias("edits"), F.round(metrics.wer(gt, predict), 9).alias("wer"))
 
 
-@query(f"WITH {PAIRS} SELECT round(coalesce(avg(cer), 0), 9) AS cer, round(coalesce(sum(edits) / sum(length(gt)), 0), 9) AS micro_cer, count(*) AS n FROM rates")
+@query(f"WITH {PAIRS} SELECT round(coalesce(avg(cer), 0), 9) AS cer, round(coalesce(avg(wer), 0), 9) AS wer, round(coalesce(sum(edits) / sum(length(gt)), 0), 9) AS micro_cer, count(*) AS n FROM rates")
 def corpus_error_rates(spark, sf):
-    return evaluate.corpus_rates(pairs(spark, sf)).select(F.round("cer", 9).alias("cer"), F.round("micro_cer", 9).alias("micro_cer"), "n")
+    return evaluate.corpus_rates(pairs(spark, sf)).select(*(F.round(c, 9).alias(c) for c in ("cer", "wer", "micro_cer")), "n")
+
+
+SAMPLED = "picked AS (SELECT conv_id || '/' || turn AS path, gt, predict FROM pairs ORDER BY md5('42:' || path), path LIMIT 100)"
+
+
+def split(spark, sf) -> DataFrame:
+    return pairs(spark, sf).withColumn("path", F.concat_ws("/", "conv_id", "turn"))
+
+
+@query(f"WITH {PAIRS.partition(',' + chr(10))[0]}, {SAMPLED}, {rated_sql('picked')} SELECT round(avg(cer), 9) AS cer, round(avg(wer), 9) AS wer, count(*) AS n, count(*) FILTER (gt <> predict) AS n_failures FROM rates")
+def split_rates(spark, sf):
+    rates, _ = evaluate.evaluate_split(split(spark, sf), F.col("predict"), 100)
+    return rates.select(F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"), "n", "n_failures")
+
+
+@query(f"WITH {PAIRS.partition(',' + chr(10))[0]}, {SAMPLED} SELECT * FROM picked WHERE gt <> predict")
+def split_failures(spark, sf):
+    return evaluate.evaluate_split(split(spark, sf), F.col("predict"), 100)[1]
 
 
 @query(f"WITH {PAIRS} SELECT conv_id, turn, gt, predict FROM pairs WHERE gt <> predict")
@@ -70,11 +99,11 @@ def failures(spark, sf):
     return evaluate.failures(pairs(spark, sf)).select("conv_id", "turn", "gt", "predict")
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, gt AS reference, predict AS hypothesis, edits::BIGINT AS levenshtein, round(cer, 9) AS cer, length(gt)::BIGINT AS ref_len, gt = predict AS exact FROM rates")
+@query(f"WITH {PAIRS} SELECT conv_id, turn, gt AS reference, predict AS hypothesis, edits::BIGINT AS levenshtein, round(cer, 9) AS cer, round(wer, 9) AS wer, length(gt)::BIGINT AS ref_len, gt = predict AS exact FROM rates")
 def compare_prediction(spark, sf):
     c = F.col("c")
     found = pairs(spark, sf).select("conv_id", "turn", metrics.comparison(F.col("gt"), F.col("predict")).alias("c"))
-    return found.select("conv_id", "turn", c["reference"].alias("reference"), c["hypothesis"].alias("hypothesis"), c["levenshtein"].cast("long").alias("levenshtein"), F.round(c["cer"], 9).alias("cer"), c["ref_len"].cast("long").alias("ref_len"), c["exact"].alias("exact"))
+    return found.select("conv_id", "turn", c["reference"].alias("reference"), c["hypothesis"].alias("hypothesis"), c["levenshtein"].cast("long").alias("levenshtein"), F.round(c["cer"], 9).alias("cer"), F.round(c["wer"], 9).alias("wer"), c["ref_len"].cast("long").alias("ref_len"), c["exact"].alias("exact"))
 
 
 ALLOWED = "[" + ", ".join("chr(%d)" % ord(c) for c in CHARSET[1:]) + "]"
@@ -114,19 +143,28 @@ def fix_punctuation(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.fix_punctuation("text").alias("text"))
 
 
-@query()
+def tones_sql(value: str) -> str:
+    """All moves twice: a match takes the characters beside it, which the next one may need."""
+    for _ in range(2):
+        for old, new in text.tone_moves().items():
+            before = "(^|[^qQ])" if old[0] in "uU" else "()"
+            value = f"regexp_replace({value}, '{before}{old}($|[^\\pL\\pM\\pN\\p{{Pc}}])', '\\1{new}\\2', 'g')"
+    return value
+
+
+@query(f"SELECT doc_id, {tones_sql('text')} AS text FROM documents")
 def tone_placement(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.place_tones("text").alias("text"))
 
 
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def nfc(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.nfc("text").alias("text"))
+    return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
 @query()
 def normalize_transcripts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize("text").alias("text"))
+    return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", text.normalize("text", composed=True).alias("text"))
 
 
 STEPS = "list_transform(range(8), lambda t: embedding[t * 8 + 1 : t * 8 + 8])"
@@ -245,7 +283,7 @@ def kn_probs(spark, sf):
 
 @query()
 def modified_kn(spark, sf):
-    return ngram.modified_kneser_ney(table(spark, sf, "benchmark"), 3).select("length", "context", "token", F.round("p", 9).alias("p"), F.round("backoff", 9).alias("backoff"))
+    return ngram.modified_kneser_ney(ngram.corpus(table(spark, sf, "documents")), 4).select("length", "context", "token", F.round("p", 9).alias("p"), F.round("backoff", 9).alias("backoff"))
 
 
 @query(f"SELECT DISTINCT token FROM (SELECT unnest({WORDS}) AS token FROM documents UNION ALL SELECT unnest({WORDS}) FROM benchmark)")
@@ -266,14 +304,80 @@ def accuracy_delta(spark, sf):
     return evaluate.accuracy_deltas(rates, ("xx", "en")).withColumns({"cer": F.round("cer", 9), "wer": F.round("wer", 9)})
 
 
-@query("""WITH g AS (SELECT unnest([0.0, 0.5, 1.0]) AS alpha), h AS (SELECT unnest([0.0, 1.0]) AS beta), t AS (SELECT text, CASE WHEN alpha > beta THEN lower(text) WHEN alpha = beta THEN text ELSE '' END AS predict, alpha::DOUBLE AS alpha, beta::DOUBLE AS beta FROM conversations, g, h),
-x AS (SELECT *, CASE WHEN length(text) = 0 THEN (length(predict) > 0)::INT WHEN predict = '' THEN 1 ELSE len(list_filter(list_zip(string_split(text, ''), string_split(predict, '')), lambda z: z[1] <> z[2])) / length(text) END AS cer FROM t), y AS (SELECT alpha, beta, avg(cer) AS cer, count(*) AS n FROM x GROUP BY ALL)
-SELECT alpha, beta, round(cer, 9) AS cer, n FROM y ORDER BY cer, alpha, beta LIMIT 1""")
-def grid_best(spark, sf):
+PRIOR = [0.0, -0.3, -0.9, -0.6, -1.2, -0.7, -0.8, -1.0]
+GRID_SQL = f"""WITH g AS (SELECT a / 2 AS alpha, b::DOUBLE AS beta FROM (SELECT unnest(range(3)) AS a), (SELECT unnest(range(2)) AS b)),
+u AS (SELECT vec_id, alpha, beta, list_transform({{steps}}, lambda r: list_transform(range(1, 9), lambda c: r[c]::DOUBLE + alpha * {PRIOR}[c]::DOUBLE + beta * (c > 1)::INT)) AS m, {{ids}} AS plain FROM embeddings, g),
+i AS (SELECT vec_id, alpha, beta, plain, list_transform(m, lambda r: list_position(r, list_max(r)) - 1) AS tried FROM u),
+x AS (SELECT alpha, beta, {{plain}} AS gt, {{tried}} AS predict FROM i), {rated_sql('x')}, y AS (SELECT alpha, beta, avg(cer) AS cer, avg(wer) AS wer, count(*) AS n FROM rates GROUP BY ALL)"""
+
+
+def read_sql(ids: str) -> str:
+    """Text of argmax ids: collapsed, decoded, punctuation and white space set right."""
+    kept = f"list_filter(list_transform(range(1, 9), lambda t: CASE WHEN {ids}[t] <> 0 AND (t = 1 OR {ids}[t] <> {ids}[t - 1]) THEN {ids}[t] END), lambda c: c IS NOT NULL)"
+    letters = "[" + ", ".join(f"'{c}'" for c in LETTERS[1:]) + "]"
+    joined = f"array_to_string(list_transform({kept}, lambda c: {letters}[c]), '')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({joined}, '\\s+([,.;:!?%)])', '\\1', 'g'), '\\(\\s+', '(', 'g'), '\\s+', ' ', 'g'))"
+
+
+GRID_SQL = GRID_SQL.format(steps=STEPS, ids=IDS, plain=read_sql("plain"), tried=read_sql("tried"))
+
+
+def tuned(spark, sf) -> DataFrame:
+    """Each grid point's rates: scores plus ``alpha`` times a character's log weight and ``beta`` a character, decoded anew; log-probabilities are worked out once a row."""
+    outputs = scores(spark, sf).select(ctc.read(ctc.greedy("logits"), LETTERS).alias("gt"), ctc.log_softmax("logits").alias("lp"))
     grid = spark.range(6).select((F.floor(F.col("id") / 2) * 0.5).cast("double").alias("alpha"), (F.col("id") % 2).cast("double").alias("beta"))
-    tried = F.when(F.col("alpha") > F.col("beta"), F.lower("gt")).when(F.col("alpha") == F.col("beta"), F.col("gt")).otherwise("")
-    outputs = table(spark, sf, "conversations").select(F.col("text").alias("gt"))
-    return evaluate.best_point(evaluate.score_grid(outputs, grid, tried)).select("alpha", "beta", F.round("cer", 9).alias("cer"), "n")
+    prior = F.array(*(F.lit(x) for x in PRIOR))
+    weighed = F.transform("lp", lambda row: F.transform(row, lambda x, c: x + F.col("alpha") * F.get(prior, c) + F.col("beta") * (c > 0).cast("int")))
+    return evaluate.score_grid(outputs, grid, ctc.read(ctc.greedy(weighed), LETTERS))
+
+
+@query(f"{GRID_SQL} SELECT alpha, beta, round(cer, 9) AS cer, round(wer, 9) AS wer, n FROM y")
+def tuning_grid(spark, sf):
+    return tuned(spark, sf).select("alpha", "beta", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"), "n")
+
+
+@query(f"{GRID_SQL} SELECT alpha, beta, round(cer, 9) AS cer, round(wer, 9) AS wer, n FROM y ORDER BY y.cer, alpha, beta LIMIT 1")
+def grid_best(spark, sf):
+    return evaluate.best_point(tuned(spark, sf)).select("alpha", "beta", F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"), "n")
+
+
+@query(f"WITH x AS (SELECT vec_id, {IDS} AS ids FROM embeddings) SELECT vec_id, {read_sql('ids')} AS text FROM x")
+def decode_normalize(spark, sf):
+    return scores(spark, sf).select("vec_id", ctc.read(ctc.greedy("logits"), LETTERS).alias("text"))
+
+
+@query(f"WITH x AS (SELECT vec_id, unnest(range(8)) AS y, unnest({STEPS}) AS r FROM embeddings) SELECT vec_id, y, len(list_filter(r, lambda v: v > 0))::BIGINT AS p FROM x")
+def row_projection(spark, sf):
+    ink = F.transform("logits", lambda row: F.transform(row, lambda v: (v > 0).cast("int")))
+    return scores(spark, sf).select("vec_id", F.posexplode(profile.row_projection(ink)).alias("y", "p")).select("vec_id", F.col("y").cast("long").alias("y"), "p")
+
+
+@query("""WITH x AS (SELECT doc_id, n_chars, doc_id % 3000 + 1 AS w, CASE WHEN greatest(n_chars, doc_id % 3000 + 1) <= 2048 THEN 1.0 ELSE 2048::DOUBLE / greatest(n_chars, doc_id % 3000 + 1) END::DOUBLE AS scale FROM documents)
+SELECT doc_id, greatest(1, round_even(n_chars * scale, 0))::INTEGER AS height, greatest(1, round_even(w * scale, 0))::INTEGER AS width FROM x""")
+def size_limit(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", profile.limited(F.col("n_chars"), F.col("doc_id") % 3000 + 1).alias("size")).select("doc_id", "size.height", "size.width")
+
+
+@query("SELECT * FROM (VALUES ('fp16', 1::INTEGER), ('int8', 1::INTEGER), ('fp16', 16::INTEGER)) AS v(precision, batch)")
+def variant_grid(spark, sf):
+    names = F.array(*(F.lit(x) for x in ("fp16_b1", "int8_b1", "fp16_b16", "fp16_b4", "notes")))
+    present = spark.range(1).select(F.explode(names).alias("name")).select(text.variant("name").alias("v")).where("v IS NOT NULL").select("v.precision", "v.batch")
+    return evaluate.variant_grid(("fp16", "int8"), (1, 16), present)
+
+
+@query("SELECT count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality <> 0)")
+def matched_labels(spark, sf):
+    return labels.matched(*named(spark, sf))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '/%' THEN url ELSE '/data/' || url END AS path FROM pages")
+def absolute_paths(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.absolute("/data", "url").alias("path"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('7:2:' || doc_id), doc_id LIMIT 30")
+def seeded_shuffle(spark, sf):
+    return evaluate.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id", 7, 2).limit(30)
 
 
 @query("SELECT source AS writer, doc_id::VARCHAR || '.png' AS name, toxic::VARCHAR AS text, source || '/' || doc_id || CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN '.jpg' ELSE '.png' END AS path FROM documents JOIN labels USING (doc_id)")

@@ -42,6 +42,12 @@ def label_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return first.select("writer", F.explode(F.from_json(F.col("content").cast("string"), "map<string,string>")).alias("name", "text"))
 
 
+def folder_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """``name`` and ``text`` of the labels in ``folder`` itself: keys without their folders, composed texts; of equal names the greatest text stays."""
+    found = label_files(spark, folder, "").select(text.basename("name").alias("name"), "text")
+    return text.compose(found.groupBy("name").agg(F.max("text").alias("text")), "text")
+
+
 def discover(spark: SparkSession, root: str, split: str, folders: dict[str, str] | None = None) -> DataFrame:
     """``image`` (relative to ``root``), ``text``, ``writer`` of every label of the split that has an image."""
     folder = f"{root}/{split_folder(split, folders)}"
@@ -55,7 +61,7 @@ def load_split(spark: SparkSession, root: str, split: str, charset: list[str] |
     """``discover`` with composed texts; with a charset, rows with characters outside it are dropped."""
     from ..functions import ctc
 
-    found = discover(spark, root, split, folders).withColumn("text", text.nfc("text"))
+    found = text.compose(discover(spark, root, split, folders), "text")
     return found if charset is None else found.where(ctc.has_only(F.col("text"), charset))
 
 

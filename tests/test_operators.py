@@ -133,7 +133,45 @@ def test_kneser_ney_sums_to_one(spark):
         if back is not None:
             assert math.isclose(sum(seen.values()) + back * (1 - sum(uni[t].p for t in seen)), 1, abs_tol=1e-9)
     assert all(0 < r.p <= 1 for r in model)
-    assert math.isclose(sum(r.p for r in ngram.kneser_ney_bigrams(texts).where("context = 'a'").collect()), 1, abs_tol=0.6)
+    pairs = [p for (t,) in texts.collect() if t for p in itertools.pairwise(["<s>", *t.split(), "</s>"])] + [("<s>", "</s>")]
+    kinds, found = set(pairs), ngram.kneser_ney_bigrams(texts).collect()
+    for context in {a for a, _ in kinds}:
+        seen = {r.token: r.p for r in found if r.context == context}
+        rest = 0.75 * len(seen) / sum(a == context for a, _ in pairs) * sum(b not in seen for _, b in kinds) / len(kinds)
+        assert math.isclose(sum(seen.values()) + rest, 1)
+    pruned = {(r.length, r.context, r.token) for r in ngram.modified_kneser_ney(texts, 2, 1).collect()}
+    assert {t for n, _, t in pruned if n == 1} <= set(uni) and (2, "a", "b") in pruned and (2, "c", "d") not in pruned
+
+
+def test_word_edits_beyond_the_first_codes(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "FIRST_CODE", 0xD7F0)
+    rng = random.Random(1)
+    rows = [(" ".join(a), " ".join(b)) for a, b in ((rng.sample(range(60), 50), rng.sample(range(70), 50)) for _ in range(20)) for a, b in ((map(str, a), map(str, b)),)]
+    for r in spark.createDataFrame(rows, "r string, h string").select("r", "h", metrics.word_edits(F.col("r"), F.col("h")).alias("v")).collect():
+        assert r.v == plain_edits(r.r.split(), r.h.split())
+
+
+def test_reading_and_sizes(spark):
+    charset = ["<BLANK>", "h", "o", "à", " ", ","]
+    assert one(spark, ctc.read(F.array(*map(F.lit, (1, 2, 3, 4, 5, 4, 4))), charset), x=0) == "hòa,"
+    assert one(spark, ctc.read(F.array(*map(F.lit, (1, 2, 3))), charset, tones=False), x=0) == "hoà"
+    assert one(spark, ctc.read(F.array(F.lit(1), F.lit(2)), ["<BLANK>", "a", "\u0300"]), x=0) == "à"
+    assert one(spark, text.absolute("/d/", F.col("p")), p="a/b.png") == "/d/a/b.png" and one(spark, text.absolute("/d", F.col("p")), p="/x") == "/x"
+    assert tuple(one(spark, profile.limited(F.lit(4096), F.lit(3)), x=0)) == (2048, 2) and tuple(one(spark, profile.limited(F.lit(100), F.lit(1)), x=0)) == (100, 1)
+    assert one(spark, profile.scale_to(F.lit(150 / 1.05)), x=0) != 1.0 and one(spark, profile.scaled(F.lit(1), F.lit(0.01)), x=0) == 1
+    assert one(spark, profile.row_projection(F.array(F.array(F.lit(1), F.lit(0), F.lit(1)), F.array(F.lit(0)))), x=0) == [2, 0]
+    assert [r.t for r in text.compose(spark.createDataFrame([("e\u0301",), ("ascii",), (None,)], "t string"), "t").orderBy("t").collect()] == [None, "ascii", "é"]
+
+
+def test_evaluate_split(spark):
+    samples = spark.createDataFrame([(f"p{k}", "abcd", "abcx" if k % 2 else "abcd") for k in range(10)], "path string, gt string, raw string")
+    rates, failed = evaluate.evaluate_split(samples, F.col("raw"))
+    assert (rates.first().n, rates.first().n_failures, failed.count()) == (10, 5, 5) and math.isclose(rates.first().cer, 0.125)
+    assert evaluate.evaluate_split(samples, F.col("raw"), 4)[0].first().n == 4
+    assert [r.path for r in evaluate.shuffled(samples, "path", 1).collect()] != [r.path for r in evaluate.shuffled(samples, "path", 1, 1).collect()]
+    with pytest.raises(ValueError):
+        evaluate.score_grid(samples, spark.range(evaluate.MOST_POINTS + 1).selectExpr("id AS alpha", "id AS beta"), F.col("raw"))
+    assert evaluate.score_grid(samples, spark.range(0).selectExpr("id AS alpha", "id AS beta"), F.col("raw")).count() == 0
 
 
 def test_reports(spark):
@@ -143,6 +181,7 @@ def test_reports(spark):
     assert [(r.k, r.batch_id, r.slot) for r in evaluate.calibration_batches(few, 4, "k").orderBy("slot").collect()] == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (0, 0, 3)]
     many = spark.createDataFrame([(k,) for k in range(10)], "k int")
     assert evaluate.calibration_batches(many, 4, "k").count() == 8
+    assert sorted(r.k for r in evaluate.calibration_batches(many, 4, "k", 7).collect()) == [0, 1, 2, 3]
     rates = spark.createDataFrame([("keras", 0.1, 0.2), ("int8", 0.125, 0.2)], "model string, cer double, wer double")
     assert {r.model: (r.cer_delta, r.wer_delta) for r in evaluate.accuracy_deltas(rates, ("keras", "ov_fp16")).collect()} == {"keras": (0.0, 0.0), "int8": (0.025, 0.0)}
     assert [r.line for r in sinks.report(rates.orderBy("model"), {"model": 6, "cer": 7}).collect()] == ["int8     0.125", "keras      0.1"]
@@ -171,6 +210,8 @@ def test_discovery(spark, tree):
     assert [r.text for r in files.load_split(spark, tree, "train", ["<BLANK>", *"motbaá"]).collect()] == ["mot", "bá"]
     told = {text_.path.rsplit("/", 1)[1]: text_.gt for text_ in labels.label_of_image(shown.select("path"), files.label_files(spark, f"{tree}/train_data").select("name", "text")).collect()}
     assert told == {"a.jpg": "mot", "b.JPEG": "hai", "c.jpg": "bá", "d.jpg": None}
+    assert {tuple(r) for r in files.folder_labels(spark, f"{tree}/train_data/w2").collect()} == {("c.jpg", "bá")}
+    assert labels.matched(files.label_files(spark, f"{tree}/train_data"), shown).first().n == 2
     with pytest.raises(ValueError):
         files.split_folder("dev")
 
