@@ -153,7 +153,7 @@ def test_op10(spark, sf, texts):
         base = sorted(k for p in licenses.BASE for k in places[p])
         labels = {(licenses.BASE | licenses.NOTICES)[p] for p, at in places.items() if at and p != licenses.TAG}
         score = max((licenses.binding(x) for x in labels), default=0.0)
-        ends = [m.end() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+        ends = [m.end() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))]
         for k in places[licenses.TAG]:
             names, value = licenses.read_expression(text[ends[k + 2] :].split("\n")[0].encode())
             labels |= set(names)
