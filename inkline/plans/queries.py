@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ctc, metrics, text
 from ..operators import beam, evaluate, labels, ngram, profile
+from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -286,6 +287,21 @@ def modified_kn(spark, sf):
     return ngram.modified_kneser_ney(ngram.corpus(table(spark, sf, "documents")), 4).select("length", "context", "token", F.round("p", 9).alias("p"), F.round("backoff", 9).alias("backoff"))
 
 
+@query("SELECT line FROM (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line FROM documents) WHERE line <> ''")
+def corpus_lines(spark, sf):
+    return ngram.corpus(table(spark, sf, "documents")).withColumnRenamed("text", "line")
+
+
+@query(f"WITH {PAIRS.partition(',' + chr(10))[0]} SELECT to_json(struct_pack(path := conv_id || '/' || turn, gt := gt, predict := predict))::VARCHAR AS line FROM pairs WHERE gt <> predict")
+def failure_lines(spark, sf):
+    return sinks.failure_lines(evaluate.failures(split(spark, sf)))
+
+
+@query("SELECT rpad(event_type, 12, ' ') || ' ' || lpad(count(*)::VARCHAR, 8, ' ') AS line FROM events GROUP BY event_type")
+def report_lines(spark, sf):
+    return sinks.report(table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")), {"event_type": 12, "n": 8})
+
+
 @query(f"SELECT DISTINCT token FROM (SELECT unnest({WORDS}) AS token FROM documents UNION ALL SELECT unnest({WORDS}) FROM benchmark)")
 def unigram_vocab(spark, sf):
     lexicon = table(spark, sf, "benchmark").select(F.explode(text.tokens("text")).alias("token"))

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import ngram
 
 
+def failure_lines(failures: DataFrame) -> DataFrame:
+    """``line``: a failure as a JSON object, non-ASCII kept."""
+    return failures.select(F.to_json(F.struct("path", "gt", "predict"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def write_failures(failures: DataFrame, path: str) -> None:
-    """One JSON object a line, non-ASCII kept."""
-    failures.select("path", "gt", "predict").write.mode("overwrite").json(path)
+    """One JSON object a line."""
+    failure_lines(failures).write.mode("overwrite").text(path)
 
 
 def write_corpus(samples: DataFrame, path: str) -> None:
