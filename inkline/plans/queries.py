@@ -163,7 +163,7 @@ def nfc(spark, sf):
     return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
-@query()
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({tones_sql('nfc_normalize(text)')}, '\\s+([,.;:!?%)])', '\\1', 'g'), '\\(\\s+', '(', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
 def normalize_transcripts(spark, sf):
     return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", text.normalize("text", composed=True).alias("text"))
 
@@ -261,7 +261,11 @@ def multiline_flag(spark, sf):
     return profile.multiline(rows_of_pages(spark, sf), 24, 0.8)
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT vec_id, list_transform({STEPS}, lambda r: list_transform(r, lambda v: v::DOUBLE)) AS e FROM embeddings),
+c AS (SELECT vec_id, e, 1 AS x, [list_transform(e, lambda r: r[1])] AS a FROM m UNION ALL SELECT vec_id, e, x + 1, list_append(a, list_transform(range(1, 9), lambda y: e[y][x + 1] + least(CASE WHEN y > 1 THEN a[x][y - 1] END, a[x][y], CASE WHEN y < 8 THEN a[x][y + 1] END))) FROM c WHERE x < 8),
+b AS (SELECT vec_id, a, 8 AS x, [list_position(a[8], list_min(a[8]))] AS s FROM c WHERE x = 8
+UNION ALL SELECT vec_id, a, x - 1, list_prepend(greatest(s[1] - 1, 1) - 1 + list_position(a[x - 1][greatest(s[1] - 1, 1) : least(s[1] + 1, 8)], list_min(a[x - 1][greatest(s[1] - 1, 1) : least(s[1] + 1, 8)])), s) FROM b WHERE x > 1)
+SELECT vec_id, array_to_string(list_transform(s, lambda v: v - 1), ',') AS seam FROM b WHERE x = 1""")
 def seam_dp(spark, sf):
     costs = scores(spark, sf).withColumn("energy", F.transform("logits", lambda r: F.transform(r, lambda x: x.cast("double")))).withColumn("costs", profile.seam_costs(F.col("energy")))
     return costs.select("vec_id", joined_ids(profile.seam(F.col("costs"))).alias("seam"))
