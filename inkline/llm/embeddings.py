@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drawn, join_each, shuffle_width, written
+from .common import BROADCAST_ROWS, connected_components, drawn, join_each, shuffle_width, written
 from .simhash import merge
 
 #: Bytes of vectors that the centres of a width are fitted on at most, vectors aimed at in a cell, cells of a level.
@@ -209,8 +209,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     lives = F.col("lives")
     size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES / 4) / F.greatest("width", F.lit(1)))))
     blocks = lambda which: F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / F.first(size)).cast("int")
-    crowd = fragments.groupBy("width", "cell").agg(blocks(lives).alias("blocks"), blocks(~lives).alias("asking")).where("blocks > 0")
-    dealt = fragments.join(crowd, ["width", "cell"]).withColumn("block", F.pmod(F.xxhash64("class"), F.when(lives, F.col("blocks")).otherwise(F.col("asking"))).cast("int"))
+    crowd = written(fragments.groupBy("width", "cell").agg(blocks(lives).alias("blocks"), blocks(~lives).alias("asking")).where("blocks > 0"), "vector-crowd")
+    few = crowd.count() <= BROADCAST_ROWS  # cells, not vectors: fragments needn't move for them
+    dealt = fragments.join(F.broadcast(crowd) if few else crowd, ["width", "cell"]).withColumn("block", F.pmod(F.xxhash64("class"), F.when(lives, F.col("blocks")).otherwise(F.col("asking"))).cast("int"))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda j: j < F.col(n))
     # one at home meets its own block, every other and every block that asks (numbered below zero); one that asks meets every block at home
     at_home = F.transform(numbers("blocks"), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("role")))
