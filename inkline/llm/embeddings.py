@@ -67,7 +67,7 @@ class Cells:
             row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
             return near.argmax(axis=1), row, cell
         rows, cells, values = [], [], []
-        close = near >= near.max(axis=1, keepdims=True) - margin
+        close = near >= near.max(axis=1, keepdims=True) - 1.5 * margin  # the nearest cell can lie under another top centre than the nearest
         for c in np.flatnonzero(close.any(axis=0)):
             here = np.flatnonzero(close[:, c])
             value = x[here] @ self.sub[c].T
