@@ -8,7 +8,8 @@ prune nothing, so that trees alone would miss them. A class also goes to a bucke
 bucket's least class, then with a hub that differs between buckets, at last all members of buckets that still
 lie in several components. A pair whose ends are joined already can change no component and needs no look.
 The last round would be every pair of a crowded bucket; but two sets of n shingles or more with similarity t
-share one of their n - ceil(t n) + 1 rarest, whatever the order of equally rare ones, so only such pairs are compared.
+share one of their n - ceil(t n) + 1 rarest, whatever the order of equally rare ones, and the first that they share must
+have enough behind it in both sets, so only such pairs are compared.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -
 
 
 def rarest(some: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """``class``, ``n``, ``part``, ``gram`` of the rarest shingles of each class of ``some``, as many as a pair of ``threshold`` can't do without."""
+    """``class``, ``n``, ``part``, ``gram``, ``place`` of the rarest shingles of each class of ``some``, as many as a pair of ``threshold`` can't do without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches, 128):
@@ -120,7 +121,7 @@ def rarest(some: DataFrame, texts: DataFrame, threshold: float, size: int) -> Da
     often = each.groupBy("gram").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("class").orderBy("often", "gram"))
     first = each.join(often, "gram").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-    return written(first.where("often > 1").select("class", "n", "part", "gram"), "shingle-rarest")
+    return written(first.where("often > 1").select("class", "n", "part", "gram", "place"), "shingle-rarest")
 
 
 def near_links(classes: DataFrame, texts: DataFrame, threshold: float, size: int, reach: int = 3) -> DataFrame:
@@ -143,7 +144,11 @@ def near_links(classes: DataFrame, texts: DataFrame, threshold: float, size: int
             meet = now.join(heads.select("bucket", F.col("hub.class").alias("other"), F.col("hub.n").alias("m"), F.col("hub.part").alias("apart")), "bucket")
         else:
             rare = rarest(now.join(heads.select("bucket"), "bucket").select("class", "n", "part").distinct(), texts, threshold, size)
-            meet = rare.join(rare.select("gram", F.col("class").alias("other"), F.col("n").alias("m"), F.col("part").alias("apart")), "gram").where("class < other")
+            others = rare.select("gram", F.col("class").alias("other"), F.col("n").alias("m"), F.col("part").alias("apart"), F.col("place").alias("there"))
+            # the first shingle that both have leaves no more for both to have than stand behind it in either
+            shared = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("there")) + 1
+            enough = shared >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+            meet = rare.join(others, "gram").where((F.col("class") < F.col("other")) & (F.col("part") != F.col("apart")) & differ("n", "m") & enough)
         pairs = meet.where((F.col("part") != F.col("apart")) & differ("n", "m")).select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "shingle-pairs")
         found = written(confirmed(pairs, texts, threshold, size), "shingle-links")
