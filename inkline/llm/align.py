@@ -95,18 +95,20 @@ class Pair:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.blank = self.b.piece_to_id("▁")
-        # a piece with a blank behind anything else could reach over the end of a part
-        self.apart = not any(x != "▁" and y == "▁" for p in pieces for x, y in zip(p, p[1:], strict=False)) and self.b.encode(" ") == [self.b.piece_to_id("▁▁")]
+        # a piece with a blank behind anything else, or with a new line, could reach over the end of a part
+        self.apart = not any("\n" in p or any(x != "▁" and y == "▁" for x, y in zip(p, p[1:], strict=False)) for p in pieces) and self.b.encode(" ") == [self.b.piece_to_id("▁▁")] and self.b.encode("\n")[:1] == [self.blank]
         self.transducer = Transducer()
         self.known: dict[str, tuple | None] = {}
 
     def look_up(self, some: list[str]) -> dict[str, tuple | None]:
-        """Of each part, a blank standing before it; None where the tokens' bytes are not the text's."""
+        """Of each part, which begins with a blank or a new line; None where the tokens' bytes are not the text's."""
         found = {}
-        ids = zip(self.a.encode_batch([f" {p}" for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1) if some else [], strict=True)
+        # side B adds a blank: it takes the place of the part's own, and goes where there is a new line, which it never joins
+        own = [p.removeprefix(" ") for p in some]
+        ids = zip(self.a.encode_batch(some, add_special_tokens=False), self.b.encode(own, num_threads=1) if own else [], strict=True)
         for part, (a, b) in zip(some, ids, strict=True):
-            b = b or [self.blank]  # an empty text gets no blank of its own
-            raw = f" {part}".encode()
+            b = b[1:] if part[0] == "\n" else b or [self.blank]  # an empty text gets no blank
+            raw = part.encode()
             left = [(k, self.a_bytes.get(k, b"")) for k in a.ids]
             right = [(k, self.b_bytes[k]) for k in b]
             aligned = None
@@ -124,7 +126,7 @@ class Pair:
         """Of each text what is known of its parts; None for no tokens."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut = [(parts(f" {t}")[1:] if self.apart else [t]) if t else [] for t in texts]
+        cut = [(parts(f" {t}") if self.apart else [f" {t}"]) if t else [] for t in texts]
         fresh = self.look_up(list({p for c in cut for p in c if p not in self.known}))
         self.known.update((p, x) for p, x in fresh.items() if len(p) <= MEMORABLE)
         out: list[list[tuple] | None] = []

@@ -22,48 +22,47 @@ from pyspark.sql import DataFrame
 
 from .words import few
 
-#: Unicode white space; a blank behind none of it begins a part of a text.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-CLOSE = re.compile(f" [{WHITE}]|[{WHITE.replace(' ', '', 1)}] ")
-CUT = re.compile(f"(?<![{WHITE}]) ")
-#: Parts and words remembered at most, letters of one that is remembered, bytes from which a word counts as long, and rows of all rounds of a query.
-REMEMBERED, MEMORABLE, LONG, HELD_ROWS = 300_000, 64, 48, 8_000_000
+#: Unicode white space; and a part of a text: white space and what follows up to a blank or a new line behind none.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+INNER = WHITE.replace("\n", "", 1).replace(" ", "", 1)
+PART = re.compile(f"[{WHITE}]*(?:[^{WHITE}]+(?:[{INNER}][{WHITE}]*)?)+|[{WHITE}]+")
+#: Parts and words remembered at most (some 200 bytes each), letters of one that is remembered, bytes from which a word counts as long, and rows of all rounds of a query.
+REMEMBERED, MEMORABLE, LONG, HELD_ROWS = 900_000, 64, 48, 8_000_000
 
 
 def parts(text: str) -> list[str]:
-    """``text`` cut at each blank behind no white space: a blank stands before each part but the first.
-
-    The split pattern of byte-level tokenizers never matches across such a place, and ``" ".join`` gives the text back.
-    """
-    return CUT.split(text) if CLOSE.search(text) else text.split(" ")
+    """``text`` cut before each blank or new line that stands behind no white space; the split pattern of byte-level tokenizers never matches across such a place."""
+    return PART.findall(text)
 
 
 def contraction(every_place: bool) -> str:
-    """The recursive query over ``bytes`` (``word``, ``pos``, ``id``), of ``most`` rounds: ``word``, ``ids``, those as ``text``, and whether the word has pairs left (``again``).
+    """The recursive query over ``bytes`` (``word``, ``place``, ``id``), of ``most`` rounds: ``word``, ``id`` in order of places, and whether the word has pairs left (``again``).
 
     ``pairs`` are the rows with the merge of each and its right neighbour, ``best`` a word's least rank and its leftmost place.
     """
-    near = "lag(id) OVER w AS before, lead(id, 2) OVER w AS beyond, " if every_place else ""
     if every_place:
         # of neighbouring places of that rank the first, third and so on (what is left of the last place of another rank counts them),
         # up to the first where the new row could merge with one beside it at a lower rank
+        beside = "SELECT round, word, id, lag(id) OVER w AS before, lead(id, 2) OVER w AS beyond, lead(id) OVER w AS after, row_number() OVER w AS place FROM held WHERE again AND round < $most WINDOW w AS (PARTITION BY word ORDER BY place)"
         run = "place - coalesce(max(CASE WHEN made = best >> 32 THEN NULL ELSE place END) OVER (PARTITION BY word ORDER BY place), 0)"
         taken = f"""tried AS (SELECT *, coalesce(made = best >> 32 AND ({run}) % 2 = 1, false) AS tried FROM pairs JOIN best ON word = w),
 sided AS (SELECT *, CASE WHEN lag(tried, 2, false) OVER (PARTITION BY word ORDER BY place) THEN made ELSE before END AS beside FROM tried),
 risky AS (SELECT s.word AS r, min(s.place) AS last FROM sided s LEFT JOIN merges a ON a.first = s.beside AND a.second = s.made LEFT JOIN merges b ON b.first = s.made AND b.second = s.beyond WHERE s.tried AND (a.made < s.made OR b.made < s.made) GROUP BY s.word),
 marked AS (SELECT *, tried AND place <= coalesce(last, place) AS taken FROM sided LEFT JOIN risky ON word = r),
-kept AS (SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY place) AS eaten FROM marked)"""
+kept AS (SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY place) AS eaten, place AS spot FROM marked)"""
     else:
+        beside = "SELECT a.round, a.word, a.place, a.id, b.id AS after FROM rows a LEFT JOIN rows b ON b.word = a.word AND b.place = a.place + 1"
         taken = """marked AS (SELECT *, place - (best & 4294967295) AS off FROM pairs JOIN best ON word = w),
-kept AS (SELECT *, coalesce(off = 0, false) AS taken, coalesce(off = 1, false) AS eaten FROM marked)"""
-    return f"""WITH RECURSIVE held(round, word, pos, id, again) AS (
-SELECT 0, word, pos, id, true FROM bytes
+kept AS (SELECT *, coalesce(off = 0, false) AS taken, coalesce(off = 1, false) AS eaten, place - coalesce(off > 0, false)::INTEGER AS spot FROM marked)"""
+    return f"""WITH RECURSIVE held(round, word, place, id, again) AS (
+SELECT 0, word, place, id, true FROM bytes
 UNION ALL
-(WITH pairs AS MATERIALIZED (SELECT h.*, m.made FROM (SELECT round, word, pos, id, {near}lead(id) OVER w AS after, row_number() OVER w AS place FROM held WHERE again AND round < $most WINDOW w AS (PARTITION BY word ORDER BY pos)) h LEFT JOIN merges m ON h.id = m.first AND h.after = m.second),
+(WITH rows AS MATERIALIZED (SELECT * FROM held WHERE again AND round < $most),
+pairs AS MATERIALIZED (SELECT h.*, m.made FROM ({beside}) h LEFT JOIN merges m ON h.id = m.first AND h.after = m.second),
 best AS (SELECT word AS w, min(made::BIGINT << 32 | place) AS best FROM pairs GROUP BY word),
 {taken}
-SELECT round + 1, word, pos, CASE WHEN taken THEN made ELSE id END, best IS NOT NULL FROM kept WHERE NOT eaten))
-SELECT word, list(id ORDER BY pos) AS ids, string_agg(id::VARCHAR, ',' ORDER BY pos) AS text, bool_or(again) AS again FROM held WHERE NOT again OR round = $most GROUP BY word ORDER BY word"""
+SELECT round + 1, word, spot, CASE WHEN taken THEN made ELSE id END, best IS NOT NULL FROM kept WHERE NOT eaten))
+SELECT word, id, again FROM held WHERE NOT again OR round = $most ORDER BY word, place"""
 
 
 class Ranks:
@@ -93,65 +92,64 @@ class Ranks:
             self.db.register("given", pa.table(table))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.known: dict[tuple[bool, str] | str, tuple[bytes, bytes]] = {}  # of parts; those that begin a text are apart
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.decimal = {k: str(k) for k in self.rank.values()}
+        self.known: dict[str, bytes] = {}  # 32-bit ids of parts and of words
 
-    def contract(self, words: list[bytes], every_place: bool) -> Iterator[tuple[int, tuple[bytes, bytes]]]:
-        """Each word's number with its ids as decimals with commas and as 32-bit numbers; none is empty. What a query of bounded size leaves undone goes into the next."""
-        undone, size = np.arange(len(words)), np.array([len(w) for w in words])
+    def contract(self, words: list[bytes], every_place: bool) -> Iterator[tuple[int, bytes]]:
+        """Each word's number with its 32-bit ids; none is empty. What a query of bounded size leaves undone goes into the next."""
+        word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
         ids = self.one[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        while len(undone):
-            pos = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-            self.db.register("bytes", pa.table({"word": np.repeat(undone.astype(np.int32), size), "pos": pos.astype(np.int32), "id": ids}))
+        while len(ids):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            place = np.arange(1, len(ids) + 1) - np.repeat(first, np.diff(first, append=len(ids)))
+            self.db.register("bytes", pa.table({"word": word, "place": place.astype(np.int32), "id": ids}))
             found = self.db.sql(contraction(every_place), params={"most": max(2, min(64, HELD_ROWS // len(ids)))}).to_arrow_table()
             self.db.unregister("bytes")
-            lists, again = found.column("ids").combine_chunks(), found.column("again").to_numpy()
-            values, ends = lists.values.to_numpy(), 4 * lists.offsets.to_numpy()
-            raw = values.astype("<u4").tobytes()
-            for k, text, a, b, more in zip(found.column("word").to_pylist(), found.column("text").to_pylist(), ends.tolist(), ends[1:].tolist(), again.tolist(), strict=False):
-                if not more:
-                    yield k, (text.encode(), raw[a:b])
-            size = np.diff(ends // 4)
-            undone, ids, size = found.column("word").to_numpy()[again], values[np.repeat(again, size)], size[again]
-
-    def look_up(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids of words, as decimals with commas and as 32-bit numbers."""
+            word, ids, again = (found.column(c).to_numpy() for c in ("word", "id", "again"))
+            done, raw = word[~again], ids[~again].astype("<u4").tobytes()
+            first = np.flatnonzero(np.diff(done, prepend=-1))
+            yield from ((k, raw[4 * a : 4 * b]) for k, a, b in zip(done[first].tolist(), first.tolist(), [*first[1:].tolist(), len(done)][: len(first)], strict=True))
+            word, ids = word[again], ids[again]
+
+    def look_up(self, words: set[str]) -> dict[str, bytes]:
+        """The 32-bit ids of words."""
         out, rest = {}, ([], [])
+        known, rank = self.known, self.rank
         for word in words:
-            if word in self.words:
-                out[word] = self.words[word]
-                continue
-            raw = word.encode()
-            rank = self.rank.get(raw)
-            if rank is None:
-                rest[len(raw) >= LONG].append((word, raw))
+            if word in known:
+                out[word] = known[word]
+            elif (raw := word.encode()) in rank:
+                out[word] = rank[raw].to_bytes(4, "little")
             else:
-                out[word] = str(rank).encode(), rank.to_bytes(4, "little")
+                rest[len(raw) >= LONG].append((word, raw))
         for every_place, some in enumerate(rest):
-            for k in range(0, len(some), 50_000):
-                out.update((some[k + n][0], ids) for n, ids in self.contract([raw for _, raw in some[k : k + 50_000]], bool(every_place)))
-        self.words.update((w, x) for w, x in out.items() if len(w) <= MEMORABLE)
+            for k in range(0, len(some), 100_000):
+                fresh = {some[k + n][0]: ids for n, ids in self.contract([raw for _, raw in some[k : k + 100_000]], bool(every_place))}
+                out.update(fresh)
+                if not every_place:
+                    known.update(fresh)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[tuple[int, bytes, bytes]]:
-        """Of each text: how many ids, the ids as decimals with commas, and as 32-bit numbers."""
-        for memory in (self.known, self.words):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        cut = [parts(t) if t else [] for t in texts]
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The 32-bit ids of each text."""
         known = self.known
-        keys: list[tuple[bool, str] | str] = [*{p for c in cut for p in c[1:] if p not in known}, *{(True, c[0]) for c in cut if c and (True, c[0]) not in known}]
-        pieces = [self.split(k[1] if isinstance(k, tuple) else f" {k}") for k in keys]
+        if len(known) > REMEMBERED:
+            known.clear()
+        cut = [parts(t) if t else [] for t in texts]
+        keys = list(set().union(*cut).difference(known))
+        pieces = [self.split(k) for k in keys]
         ids = self.look_up({w for p in pieces for w in p})
-        fresh = {key: (b",".join([ids[w][0] for w in p]), b"".join([ids[w][1] for w in p])) for key, p in zip(keys, pieces, strict=True)}
-        known.update((k, x) for k, x in fresh.items() if len(k[1] if isinstance(k, tuple) else k) <= MEMORABLE)
-        out = []
-        for c in cut:
-            here = [known.get(p) or fresh[p] for p in ((True, c[0]), *c[1:])] if c else []
-            numbers = b"".join([h[1] for h in here])
-            out.append((len(numbers) // 4, b",".join([h[0] for h in here if h[0]]), numbers))
+        known.update((key, ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p])) for key, p in zip(keys, pieces, strict=True))
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for key in keys:
+            if len(key) > MEMORABLE:
+                del known[key]
         return out
 
+    def listed(self, ids: bytes) -> str:
+        """Ids as decimals with commas between."""
+        return ",".join(map(self.decimal.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """The bytes of each row of ids; an id that is no token is an error."""
         flat = np.frombuffer(b"".join(rows), dtype="<u4").astype(np.int32)
@@ -182,10 +180,10 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few(batches):
-            found = ranks(rank_path).encode(batch.column(1).to_pylist())
-            n, text, ids = map(list, zip(*found, strict=True)) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in text], type=pa.string())], names=[id_col, "n_tokens", "ids", "ids_sha256"])
+        for batch in few(batches, 1000):
+            both = ranks(rank_path)
+            ids = both.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array(ids, type=pa.binary()), pa.array([hashlib.sha256(both.listed(x).encode()).hexdigest() for x in ids], type=pa.string())], names=[id_col, "n_tokens", "ids", "ids_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, ids_sha256 string")
