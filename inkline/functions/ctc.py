@@ -55,6 +55,46 @@ def feasible(width: Column, label: Column, downsample: int = 4, strict: bool = F
     return time_steps(width, downsample) >= F.size(label) + (repeats if strict else 0)
 
 
+def log_sum(*terms: Column) -> Column:
+    """Log of the sum of what ``terms`` are the logs of; minus infinity for none. Terms may be any expressions: they are worked out once."""
+
+    def total(x: Column) -> Column:
+        top = F.array_max(x)
+        return F.when(top == float("-inf"), top).otherwise(top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
+
+    return let(F.array(*terms), total)
+
+
+def loss(log_probs: Column, label: Column, zero_infinity: bool = True) -> Column:
+    """Minus the log of the probability of all paths that collapse to ``label`` (classes without blanks), by the forward recursion.
+
+    ``log_probs``: a row of log-probabilities a step. The label stands between blanks, and one array, a value a place of it, goes
+    through the steps: a place is reached from itself, the one before and, over a blank between two different classes, the
+    one before that. A label that doesn't fit into the steps has an infinite loss, 0 if ``zero_infinity``. No steps give
+    0 for an empty label.
+    """
+    never = F.lit(float("-inf"))
+
+    def over(both: Column) -> Column:
+        rows, places = both["rows"], both["places"]
+        start = F.transform(places, lambda c, s: F.when(s == 0, F.lit(0.0)).otherwise(never))  # before the first step: nothing read
+
+        def step(held: Column, row: Column) -> Column:
+            before = lambda s, k: F.coalesce(F.get(held, s - k), never)
+            over_blank = lambda c, s: F.when((c != 0) & (c != F.coalesce(F.get(places, s - 2), F.lit(0))), before(s, 2)).otherwise(never)
+            return F.transform(places, lambda c, s: log_sum(before(s, 0), before(s, 1), over_blank(c, s)) + F.get(row, c))
+
+        def end(held: Column) -> Column:
+            return log_sum(F.get(held, F.size(held) - 1), F.coalesce(F.get(held, F.size(held) - 2), never))
+
+        # the start also lets the first class begin without a blank: the place after it is reached from the start's 0
+        return let(F.aggregate(rows, start, step), end)
+
+    places = F.transform(F.sequence(F.lit(0), 2 * F.size(label)), lambda s: F.when(s % 2 == 0, 0).otherwise(F.get(label, F.floor(s / 2).cast("int"))).cast("int"))
+    found = let(F.struct(log_probs.alias("rows"), places.alias("places")), over)
+    return F.when(found == float("-inf"), F.lit(0.0 if zero_infinity else float("inf"))).otherwise(-found + 0.0)
+
+
 def encode(text: Column, charset: list[str]) -> Column:
     """Class of each character; one that is missing raises an error."""
     known = F.create_map(*(F.lit(x) for pair in ((c, k) for k, c in enumerate(charset) if k) for x in pair))

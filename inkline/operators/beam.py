@@ -1,77 +1,95 @@
-"""Prefix beam search over per-time-step scores, alone or with a language model, in Arrow batches."""
+"""Prefix beam search over per-time-step scores as a fold: the beam is an array that each step grows, merges and cuts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Paths whose score falls this far below the best are given up, and classes below this log-probability aren't tried.
-BEAM_DROP, TOKEN_FLOOR = 10.0, -5.0
-
+from ..functions import ctc
+from ..functions.binding import let
 
-def log_probabilities(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1, keepdims=True)
-    return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
+#: Paths whose score falls this far below the best are given up, and classes below this log-probability aren't tried.
+BEAM_DROP, TOKEN_FLOOR = 10.0, -5.0
+#: Classes of a model that is broadcast at most, its weight of a pair it doesn't know (log10), and the narrowest beam with a model.
+MOST_CLASSES, UNKNOWN, NARROW = 2000, -6.0, 50
+NEVER = float("-inf")
 
 
-def prefix_beam(logits: np.ndarray, width: int = 100, score: Callable[[tuple[int, ...], int], float] | None = None, alpha: float = 0.5, beta: float = 1.0, token_floor: float = TOKEN_FLOOR, beam_drop: float = BEAM_DROP) -> tuple[int, ...]:
-    """The likeliest label sequence: prefixes with separate weights for ending in blank (class 0) or not.
+def prefix_beam(log_probs: Column, width: int = 100, gains: Column | None = None, token_floor: float = TOKEN_FLOOR, beam_drop: float = BEAM_DROP) -> Column:
+    """The likeliest label sequence (classes; 0 is the blank) of a row of log-probabilities a step.
 
-    With ``score`` (log10 of a class after a prefix) each added class earns ``alpha`` times its natural log
-    and ``beta``. Of equals the lexicographically smaller prefix stays.
+    A beam holds prefixes with the weights of all their paths that end in a blank and of those that don't.
+    A step lengthens each by each class above ``token_floor`` (the best class if there is none); a prefix that is there
+    already takes what its own shorter prefix brings, so that equal prefixes are one. The ``width`` best stay, of
+    equals those with the smaller prefix, and none ``beam_drop`` below the best. ``gains``: what a class earns after
+    another (``gains[last][class]``, row 0 for the beginning), see ``language_gains``. Null and empty scores give no classes.
     """
-    steps = log_probabilities(np.asarray(logits, dtype=float))
-    beams: dict[tuple[int, ...], tuple[float, float, float]] = {(): (0.0, -np.inf, 0.0)}  # blank, other, bonus
-    for row in steps:
-        tried = [c for c in range(1, len(row)) if row[c] >= token_floor] or [int(row[1:].argmax()) + 1] if len(row) > 1 else []
-        grown: dict[tuple[int, ...], list[float]] = {}
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("prefix"), F.lit(0.0).alias("blank"), F.lit(NEVER).alias("other"), F.lit(0.0).alias("gain")))
+    last = lambda p: F.coalesce(F.get(p, F.size(p) - 1), F.lit(0))
+    gain = lambda p, c: F.lit(0.0) if gains is None else F.coalesce(F.get(F.get(gains, last(p)), c), F.lit(0.0))
 
-        def add(prefix: tuple[int, ...], blank: float, other: float, bonus: float) -> None:
-            held = grown.setdefault(prefix, [-np.inf, -np.inf, bonus])
-            held[0], held[1] = np.logaddexp(held[0], blank), np.logaddexp(held[1], other)
+    def entry(prefix: Column, blank: Column, other: Column, earned: Column) -> Column:
+        return F.struct((-(ctc.log_sum(blank, other) + earned)).alias("cost"), prefix.alias("prefix"), blank.alias("blank"), other.alias("other"), earned.alias("gain"))
 
-        for prefix, (blank, other, bonus) in beams.items():
-            total = np.logaddexp(blank, other)
-            add(prefix, total + row[0], -np.inf, bonus)
-            for c in tried:
-                again = bool(prefix) and prefix[-1] == c
-                if again:
-                    add(prefix, -np.inf, other + row[c], bonus)
-                gain = bonus + (alpha * score(prefix, c) * np.log(10) + beta if score else 0.0)
-                add((*prefix, c), -np.inf, (blank if again else total) + row[c], gain)
-        order = sorted(grown.items(), key=lambda kv: (-(np.logaddexp(kv[1][0], kv[1][1]) + kv[1][2]), kv[0]))
-        best = np.logaddexp(order[0][1][0], order[0][1][1]) + order[0][1][2]
-        beams = {p: tuple(v) for p, v in order[:width] if np.logaddexp(v[0], v[1]) + v[2] >= best - beam_drop}
-    return next(iter(beams))
+    def longer(b: Column, c: Column, row: Column) -> Column:
+        """The weight that ``b`` brings to itself and ``c``: after an equal class only through a blank."""
+        return F.when(last(b["prefix"]) == c, b["blank"]).otherwise(ctc.log_sum(b["blank"], b["other"])) + F.get(row, c)
 
+    def step(beam: Column, row: Column) -> Column:
+        likely = F.filter(F.sequence(F.lit(1), F.greatest(F.size(row) - 1, F.lit(1))), lambda c: (c < F.size(row)) & (F.get(row, c) >= token_floor))
+        rest = F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0)))
+        best = F.filter(F.array(F.array_position(rest, F.array_max(rest)).cast("int")), lambda c: c > 0)
 
-def bigram_scorer(weights: dict[tuple[str, str], float], charset: list[str], floor: float = -6.0) -> Callable[[tuple[int, ...], int], float]:
-    """Scores a class by the log10 weight of its character after the one before; ``weights`` is a model of bounded size."""
-    return lambda prefix, c: weights.get((charset[prefix[-1]] if prefix else "<s>", charset[c]), floor)
+        def grown(tried: Column) -> Column:
+            def stays(b: Column) -> Column:
+                own = last(b["prefix"])
+                shorter = F.slice(b["prefix"], F.lit(1), F.greatest(F.size(b["prefix"]) - 1, F.lit(0)))
+                parent = F.filter(beam, lambda p: (F.size(b["prefix"]) > 0) & (p["prefix"] == shorter))
+                read = F.array_contains(tried, own) & (F.size(b["prefix"]) > 0)
+                brought = F.when(read, F.coalesce(F.get(F.transform(parent, lambda p: longer(p, own, row)), F.lit(0)), F.lit(NEVER))).otherwise(NEVER)
+                again = F.when(read, b["other"] + F.get(row, own)).otherwise(NEVER)
+                return entry(b["prefix"], ctc.log_sum(b["blank"], b["other"]) + F.get(row, F.lit(0)), ctc.log_sum(again, brought), b["gain"])
 
+            def grows(b: Column) -> Column:
+                deeper = F.filter(beam, lambda q: (F.size(q["prefix"]) == F.size(b["prefix"]) + 1) & (F.slice(q["prefix"], F.lit(1), F.size(b["prefix"])) == b["prefix"]))
+                there = F.transform(deeper, lambda q: last(q["prefix"]))
+                fresh = F.array_except(tried, there)
+                return F.transform(fresh, lambda c: entry(F.concat(b["prefix"], F.array(c)), F.lit(NEVER), longer(b, c, row), b["gain"] + gain(b["prefix"], c)))
 
-def beam_ids(logits: Column | str, width: int = 100, **how) -> Column:
-    """Classes of the best sequence for each row of scores; null and empty scores give no classes."""
+            return F.concat(F.transform(beam, stays), F.flatten(F.transform(beam, grows)))
 
-    @F.pandas_udf("array<int>")
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda m: [] if m is None or not len(m) else list(prefix_beam(np.stack(m), width, **how)))
+        tried = F.when(F.size(likely) > 0, likely).otherwise(best)
+        ranked = F.slice(F.array_sort(let(tried, grown)), 1, width)
+        return let(ranked, lambda r: F.filter(r, lambda b: b["cost"] <= F.get(r, F.lit(0))["cost"] + beam_drop))
 
-    return run(logits)
+    return F.get(F.aggregate(F.coalesce(log_probs, F.array().cast("array<array<double>>")), start, step), F.lit(0))["prefix"]
 
 
-def decoder(method: str, width: int = 100, **how) -> Callable[[Column], Column]:
-    """``greedy``, ``beam`` or ``beam_lm``; any other name is an error. Beams narrower than 50 with a model are widened to 100."""
-    from ..functions import ctc
+def language_gains(weights: DataFrame, charset: list[str], alpha: float = 0.5, beta: float = 1.0, floor: float = UNKNOWN) -> DataFrame:
+    """One row, ``gains``: ``alpha`` times the natural log of a character's weight after another, and ``beta`` a character.
 
-    if method == "greedy":
-        return ctc.greedy
-    if method == "beam":
-        return lambda logits: beam_ids(logits, width)
+    ``weights``: ``context``, ``token``, ``p`` (probabilities; the context of the first is ``<s>``), each pair once. The charset's size bounds the
+    matrix; a charset of over ``MOST_CLASSES`` classes is an error.
+    """
+    if len(charset) > MOST_CLASSES:
+        raise ValueError(f"a model that is broadcast has {MOST_CLASSES} classes at most")
+    spark = weights.sparkSession
+    classes = spark.createDataFrame([(c, k) for k, c in enumerate(["<s>", *charset[1:]])], "token string, class int")
+    known = weights.join(F.broadcast(classes), "token").join(F.broadcast(classes.toDF("context", "before")), "context")
+    none = F.lit(floor * 2.302585092994046)
+    rows = known.groupBy("before").agg(F.map_from_entries(F.collect_list(F.struct("class", F.log("p")))).alias("known"))
+    log = lambda k: F.coalesce(F.col("known")[k], none) * alpha + beta
+    each = classes.join(rows, F.col("class") == F.col("before"), "left").select("class", F.transform(F.sequence(F.lit(0), F.lit(len(charset) - 1)), lambda k: F.when(F.col("known").isNull(), none * alpha + beta).otherwise(log(k))).alias("row"))
+    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "row"))), lambda r: r["row"]).alias("gains"))
+
+
+def decode(outputs: DataFrame, method: str = "greedy", width: int = 100, gains: DataFrame | None = None, logits: str = "logits") -> DataFrame:
+    """``outputs`` with ``ids``: by ``beam``, by ``beam_lm`` with the one row of ``gains`` (beams narrower than ``NARROW`` widened to 100), else greedy, as an unknown method is."""
     if method == "beam_lm":
-        return lambda logits: beam_ids(logits, width if width >= 50 else 100, **how)
-    raise ValueError(f"unknown decode method: {method}")
+        if gains is None:
+            raise ValueError("beam_lm needs a model")
+        beam = prefix_beam(ctc.log_softmax(logits), width if width >= NARROW else 100, F.col("gains"))
+        return outputs.crossJoin(F.broadcast(gains)).withColumn("ids", beam).drop("gains")
+    if method == "beam":
+        return outputs.withColumn("ids", prefix_beam(ctc.log_softmax(logits), width))
+    return outputs.withColumn("ids", ctc.greedy(logits))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.text import strip, tokens
+from ..sources.scratch import bucketed, written
 
 START, END = "<s>", "</s>"
+#: Shares of the n-grams asked for from which one is hot: there are as many at most, and they are broadcast.
+HOT_SHARE = 10_000
 
 
 def corpus(samples: DataFrame, text: str = "text") -> DataFrame:
@@ -47,7 +50,7 @@ def discounts(counts: DataFrame, fallback: float = 0.75) -> DataFrame:
 
 def kneser_ney_bigrams(texts: DataFrame, discount: float = 0.75, text: str = "text") -> DataFrame:
     """``context``, ``token``, ``p``: interpolated Kneser-Ney with one discount over all bigrams seen."""
-    pairs = ngram_counts(texts, 2, text=text).repartition("context")  # counted once: all uses share this exchange
+    pairs = written(ngram_counts(texts, 2, text=text), "bigrams")
     after = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     before = pairs.groupBy("token").agg(F.count("*").alias("histories"))
     whole = before.agg(F.sum("histories").alias("all_pairs"))  # one row
@@ -59,46 +62,92 @@ def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text:
     """All orders up to ``order``: ``length``, ``context``, ``token``, ``p`` and ``backoff`` (of the n-gram as a context; null for the longest).
 
     Lower orders count distinct words to the left instead of occurrences; each order has three discounts
-    and interpolates with the one below. Probabilities of a context, the rest backed off, sum to one.
+    and interpolates with the one below. Probabilities of a context, the rest backed off, sum to one. The sentence's
+    beginning is a context only: its row has the probability 0.
     ``prune``: n-grams of any order with no higher a count are left out, and those whose shorter end is.
+    Each length is counted and each level worked out once, as a written table.
     """
-    shorter = None
-    out = None
-    by_length = {k: ngram_counts(texts, k, text=text) for k in range(1, order + 1)}
+    shorter, out = None, None
+    gram = F.when(F.col("context") == "", F.col("token")).otherwise(F.concat_ws(" ", "context", "token"))
+    counted = written(ngram_counts(texts, 1, text=text), "grams-1")
     for k in range(1, order + 1):
-        counts = by_length[k]
+        counts = counted
         if k < order:
+            counted = written(ngram_counts(texts, k + 1, text=text), f"grams-{k + 1}")
             # how many different words stand before the n-gram; those that begin a sentence keep their counts
-            longer = by_length[k + 1].select(F.array_join(F.slice(F.split(F.concat_ws(" ", "context", "token"), " "), 2, k), " ").alias("gram")).groupBy("gram").agg(F.count("*").alias("left"))
-            gram = F.when(F.col("context") == "", F.col("token")).otherwise(F.concat_ws(" ", "context", "token"))
+            end = F.concat_ws(" ", F.when(F.instr("context", " ") > 0, F.regexp_replace("context", "^[^ ]* ", "")), "token")
+            longer = counted.groupBy(end.alias("gram")).agg(F.count("*").alias("left"))
             counts = counts.withColumn("gram", gram).join(longer, "gram", "left").select("context", "token", F.coalesce("left", "n").alias("n"))
         if k == 1:
             counts = counts.where(F.col("token") != START)
+        counts = written(counts, f"weights-{k}")
         d = discounts(counts)
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         taken = counts.crossJoin(F.broadcast(d)).withColumn("cut", cut)
-        total = taken.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("given"))
-        joined = taken.where(F.col("n") > prune).join(total, "context")
-        own = (F.col("n") - F.col("cut")) / F.col("total")
-        if k == 1:
-            size = counts.agg(F.count("*").alias("v"))
-            level = joined.crossJoin(F.broadcast(size)).select("context", "token", (own + F.col("given") / F.col("total") / F.col("v")).alias("p"))
+        total = taken.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("given"), F.count("*").alias("v"))
+        own, rest = (F.col("n") - F.col("cut")) / F.col("total"), F.col("given") / F.col("total")
+        kept = taken.where(F.col("n") > prune)
+        if k == 1:  # one context, so one row of totals
+            level = kept.crossJoin(F.broadcast(total.drop("context"))).select("context", "token", (own + rest / F.col("v")).alias("p"))
         else:
-            rest = F.when(F.instr("context", " ") > 0, F.substring_index("context", " ", -(k - 2))).otherwise(F.lit("")) if k > 2 else F.lit("")
+            short = F.when(F.instr("context", " ") > 0, F.regexp_replace("context", "^[^ ]* ", "")).otherwise(F.lit(""))
             lower = shorter.select(F.col("context").alias("rest"), "token", F.col("p").alias("below"))
-            level = joined.withColumn("rest", rest).join(lower, ["rest", "token"]).select("context", "token", (own + F.col("given") / F.col("total") * F.col("below")).alias("p"))
-        if out is not None:
-            weights = total.select(F.col("context").alias("gram"), (F.col("given") / F.col("total")).alias("backoff"))
-            gram = F.when(F.col("context") == "", F.col("token")).otherwise(F.concat_ws(" ", "context", "token"))
-            shorter = shorter.withColumn("gram", gram).join(weights, "gram", "left").select(F.lit(k - 1).alias("length"), "context", "token", "p", "backoff")
-            out = shorter if k == 2 else out.unionByName(shorter)
-        else:
-            out = level
-        shorter = level
+            level = kept.join(total.drop("v"), "context").withColumn("rest", short).join(lower, ["rest", "token"]).select("context", "token", (own + rest * F.col("below")).alias("p"))
+            weights = total.select(F.col("context").alias("gram"), rest.alias("backoff"))
+            if k == 2:
+                shorter = shorter.unionAll(shorter.sparkSession.range(1).select(F.lit(""), F.lit(START), F.lit(0.0)))
+            told = shorter.withColumn("gram", gram).join(weights, "gram", "left").select(F.lit(k - 1).alias("length"), "context", "token", "p", "backoff")
+            out = told if k == 2 else out.unionByName(told)
+        shorter = written(level, f"level-{k}")
     last = shorter.select(F.lit(order).alias("length"), "context", "token", "p", F.lit(None).cast("double").alias("backoff"))
     return last if order == 1 else out.unionByName(last)
 
 
+def model_table(model: DataFrame, buckets: int) -> DataFrame:
+    """``gram`` (blank-joined), ``p``, ``backoff`` of a model, bucketed by the n-gram: what ``score`` looks up without moving it."""
+    gram = F.when(F.col("context") == "", F.col("token")).otherwise(F.concat_ws(" ", "context", "token"))
+    return bucketed(model.select(gram.alias("gram"), "p", "backoff"), "model", "gram", buckets)
+
+
+def score(texts: DataFrame, table: DataFrame, order: int, *ids: str, text: str = "text") -> DataFrame:
+    """``ids``, ``n_tokens`` (the sentence's end included), ``n_unknown``, ``log10_p`` and ``perplexity`` of each text by the model of ``table`` (see ``model_table``).
+
+    A token's probability is that of the longest n-gram of the model that ends with it, times the backoff weights of the longer
+    contexts; tokens that the model doesn't know are counted and left out, as in the perplexity. Null is empty.
+    Each n-gram is looked up once, whatever the number of texts that ask for it; what is found is joined to the tokens that ask, n-grams
+    that more than one in ``HOT_SHARE`` asks for by broadcast.
+    """
+    rows = written(texts.select(F.monotonically_increasing_id().alias("_row"), *ids, tokens(F.coalesce(text, F.lit(""))).alias("words")), "scored-rows")
+
+    def ends(padded: Column) -> Column:
+        """All n-grams that end at each place, from the sentence's beginning on."""
+        at = F.sequence(F.lit(0), F.size(padded) - 1)
+        here = lambda p: F.transform(F.sequence(F.lit(1), F.least(p + 1, F.lit(order))), lambda k: F.struct(p.alias("pos"), k.alias("k"), F.array_join(F.slice(padded, p - k + 2, k), " ").alias("gram")))
+        return F.flatten(F.transform(at, here))
+
+    asked = rows.select("_row", F.explode(let(F.concat(F.array(F.lit(START)), F.col("words"), F.array(F.lit(END))), ends)).alias("a")).select("_row", "a.*")
+    found = written(asked.groupBy("gram").agg(F.count("*").alias("n")).join(table, "gram"), "found-grams")
+    most = F.broadcast(found.agg((F.sum("n") / HOT_SHARE).alias("most")))
+    told = found.crossJoin(most).withColumn("hot", F.col("n") > F.col("most")).select("gram", "p", "backoff", "hot")
+    hot, cold = (told.where(which).drop("hot") for which in ("hot", "NOT hot"))
+    common = F.broadcast(hot)
+    each = asked.join(common, "gram").unionByName(asked.join(common.select("gram"), "gram", "left_anti").join(cold, "gram"))
+    per = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    places = each.groupBy("_row", "pos").agg(*(per("p", k).alias(f"p{k}") for k in range(1, order + 1)), *(per("backoff", k).alias(f"b{k}") for k in range(1, order)))
+    # places of which nothing is known have no row: the window must not take another for the one before
+    wanted = rows.select("_row", F.explode(F.sequence(F.lit(0), F.size("words") + 1)).alias("pos"))
+    lined = wanted.join(places, ["_row", "pos"], "left")
+    before = Window.partitionBy("_row").orderBy("pos")
+    lined = lined.withColumns({f"b{k}": F.coalesce(F.log10(F.lag(f"b{k}").over(before)), F.lit(0.0)) for k in range(1, order)})
+    value = F.lit(None).cast("double")
+    for k in range(1, order + 1):  # the longest comes first
+        lost = sum((F.col(f"b{j}") for j in range(k, order)), F.lit(0.0))
+        value = F.when(F.col(f"p{k}").isNotNull(), F.log10(f"p{k}") + lost).otherwise(value)
+    sums = lined.where("pos > 0").withColumn("v", value).groupBy("_row").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("v").isNull()).alias("n_unknown"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("log10_p"))
+    known = F.col("n_tokens") - F.col("n_unknown")
+    return rows.drop("words").join(sums, "_row").select(*ids, "n_tokens", "n_unknown", "log10_p", F.when(known > 0, F.pow(F.lit(10.0), -F.col("log10_p") / known)).alias("perplexity"))
+
+
 def vocabulary(texts: DataFrame, lexicon: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Distinct words of the texts and the lexicon (comments and blanks dropped), in code-point order."""
     words = texts.select(F.explode(tokens(text)).alias("token"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ctc, metrics, text
-from ..operators import beam, evaluate, labels, ngram, profile
+from ..operators import evaluate, labels, ngram, profile
 from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,11 +202,6 @@ def ctc_feasible(spark, sf):
     return scores(spark, sf).withColumn("ids", ctc.greedy("logits")).where(ctc.feasible(F.col("label") * 3, F.col("ids"))).select("vec_id")
 
 
-@query()
-def prefix_beam(spark, sf):
-    return scores(spark, sf).select("vec_id", joined_ids(beam.beam_ids(F.col("logits"), 20)).alias("ids"))
-
-
 def rows_of_pages(spark, sf) -> DataFrame:
     events = table(spark, sf, "events")
     counted = events.groupBy(F.col("user_id").alias("page"), F.hour("ts").alias("y")).agg(F.count("*").alias("p"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkline.functions import ctc, metrics, text
-from inkline.operators import beam, evaluate, images, labels, ngram, profile
+from inkline.operators import evaluate, labels, ngram, profile
 from inkline.sources import files, sinks
 from inkline.streaming import evaluate as live
 
@@ -76,26 +76,6 @@ def test_ctc(spark):
     assert one(spark, ctc.feasible(F.lit(8), F.array(F.lit(1), F.lit(1)))) and not one(spark, ctc.feasible(F.lit(8), F.array(F.lit(1), F.lit(1)), strict=True))
 
 
-def test_beam_finds_the_likeliest_labelling():
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        logits = rng.normal(size=(4, 3)) * 2
-        p = np.exp(beam.log_probabilities(logits))
-        total = {}
-        for path in itertools.product(range(3), repeat=4):
-            label = tuple(c for k, c in enumerate(path) if c and (k == 0 or path[k - 1] != c))
-            total[label] = total.get(label, 0) + np.prod([p[t, c] for t, c in enumerate(path)])
-        assert beam.prefix_beam(logits, 100, token_floor=-99, beam_drop=99) == max(total, key=total.get)
-    with pytest.raises(ValueError):
-        beam.decoder("best")
-
-
-def test_beam_follows_the_language_model():
-    logits = np.log(np.array([[0.1, 0.5, 0.4]]))
-    score = beam.bigram_scorer({("<s>", "b"): -0.1, ("<s>", "a"): -3.0}, ["", "a", "b"])
-    assert beam.prefix_beam(logits) == (1,) and beam.prefix_beam(logits, score=score) == (2,)
-
-
 PROFILE = [0, 0, 8, 9, 9, 8, 0, 1, 0, 7, 9, 8, 7, 0, 0, 3, 0, 9, 9, 8, 9, 0, 0]
 
 
@@ -118,7 +98,6 @@ def test_seam(spark):
     df = spark.createDataFrame([(energy,), ([[2.0], [1.0]],)], "e array<array<double>>")
     costs = df.select(profile.seam_costs(F.col("e")).alias("c")).select("c", profile.seam(F.col("c")).alias("s")).collect()
     assert [list(r) for r in zip(*costs[0].c, strict=True)] == [[1, 10, 11, 12], [2, 2, 11, 4], [3, 11, 3, 12]] and costs[0].s == [0, 1, 2, 1] and costs[1].s == [1]
-    assert images.seam(np.array(energy)).tolist() == [0, 1, 2, 1]
 
 
 def test_kneser_ney_sums_to_one(spark):
@@ -238,43 +217,6 @@ def test_sinks(spark, tmp_path):
         sinks.write_corpus(samples.where("text = ''"), str(tmp_path / "none"))
 
 
-def page():
-    image = np.full((120, 200), 255, dtype=np.uint8)
-    for top in (15, 55, 95):
-        image[top : top + 14, 20:180] = 0
-    return image
-
-
-def test_segmentation(spark):
-    image = page()
-    df = spark.createDataFrame([(1, *image.shape, bytearray(image.tobytes())), (2, 10, 10, bytearray(b"\xff" * 100))], "page long, height int, width int, pixels binary")
-    lines = images.segment_pages(df).orderBy("page", "line_no").collect()
-    assert [(r.page, r.line_no) for r in lines] == [(1, 0), (1, 1), (1, 2)]
-    for r, top in zip(lines, (15, 55, 95), strict=True):
-        assert abs(r.y0 - top) <= 2 and abs(r.y1 - top - 14) <= 2
-        assert (np.frombuffer(r.pixels, dtype=np.uint8) == 0).sum() == 14 * 160
-
-
-def test_kernels():
-    image = page()
-    for method in ("otsu", "sauvola", "adaptive"):
-        assert images.binarize(image, method)[20, 20] == 1 and images.binarize(image, method)[40, 100] == 0
-    with pytest.raises(ValueError):
-        images.binarize(image, "magic")
-    with pytest.raises(ValueError):
-        images.gray(np.zeros((2, 2, 5)))
-    assert images.gray(np.full((2, 2, 3), 100, dtype=np.uint8)).tolist() == [[100, 100], [100, 100]]
-    assert images.to_height(image, 64).shape == (64, 107) and images.resize(image, 240, 400).shape == (240, 400)
-    assert abs(images.resize(image, 30, 50).mean() - image.mean()) < 1
-    assert images.prepare(image).shape == (64, 107, 3) and math.isclose(images.pad_value(), 2.43916, abs_tol=1e-5)
-    assert np.allclose(images.denormalize(images.normalize(image)), np.repeat(image[:, :, None] / 255, 3, axis=2), atol=1e-6)
-    tilted = np.full((200, 200), 255, dtype=np.uint8)
-    for x in range(20, 180):
-        tilted[int(80 + x * math.tan(math.radians(5))) : int(86 + x * math.tan(math.radians(5))), x] = 0
-    assert abs(abs(images.skew(tilted)) - 5) < 0.6 and abs(images.skew(images.deskew(tilted))) < 0.8
-    assert images.pad_width(image, 300, 9).shape == (120, 300) and images.pad_width(image, 50, 9).shape == (120, 50)
-
-
 def test_streamed_rates(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [("2024-01-01T00:01:00", "abcd", "abcx"), ("2024-01-01T00:02:00", "ab", "ab"), ("2024-01-01T01:00:00", "a", "b")]
