@@ -14,8 +14,10 @@ to it. Every pair crosses once a block, whatever the number of documents or occu
 from __future__ import annotations
 
 import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -28,59 +30,60 @@ from .bpe import MEMORABLE, parts
 from .common import written
 from .words import few
 
-#: Bytes of text in a block at most (a longer text is a block of its own), parts and transitions remembered at most.
-BLOCK_BYTES, REMEMBERED, STEPS = 24 << 20, 250_000, 500_000
+#: Bytes of text in a block at most (a longer text is a block of its own), parts (some 400 bytes each) and transitions remembered at most.
+BLOCK_BYTES, REMEMBERED, STEPS = 24 << 20, 600_000, 300_000
 NONE = np.zeros(0, dtype=np.int64)
 
 
 class Transducer:
-    """Reads two sides of tokens given as (id, bytes)."""
+    """Reads two sides of tokens. ``names`` are the decimals of ids, a list a side."""
 
-    def __init__(self) -> None:
-        self.steps: dict[tuple[bool, bytes, bytes], tuple[bool, bytes] | None] = {}
+    def __init__(self, names: tuple[list[str], list[str]]) -> None:
+        self.names = names
+        self.steps: dict[tuple[bool, bytes, bytes], tuple[bool, bytes]] = {}
 
     def step(self, leads: bool, rest: bytes, token: bytes) -> tuple[bool, bytes] | None:
         """The state after the side behind reads ``token`` against the suffix ``rest`` of side ``leads``; None where the bytes differ."""
-        key = (leads, rest, token)
-        if key not in self.steps:
-            if len(self.steps) >= STEPS:
-                self.steps.clear()
-            if rest.startswith(token):
-                self.steps[key] = (leads, rest[len(token) :])
-            else:
-                self.steps[key] = (not leads, token[len(rest) :]) if token.startswith(rest) else None
-        return self.steps[key]
-
-    def align(self, a: list[tuple[int, bytes]], b: list[tuple[int, bytes]]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """Groups and links; None where the joined bytes of the sides differ. Tokens hold a byte at least."""
-        sides, at = (a, b), [0, 0]
-        groups, links = [], []
-        while at[0] < len(a) and at[1] < len(b):
-            leads, group = False, ([], [])
-            last = a[at[0]]
+        if rest.startswith(token):
+            found = leads, rest[len(token) :]
+        elif token.startswith(rest):
+            found = not leads, token[len(rest) :]
+        else:
+            return None
+        if len(self.steps) >= STEPS:
+            self.steps.clear()
+        self.steps[leads, rest, token] = found
+        return found
+
+    def align(self, ids: tuple[list[int], list[int]], tokens: tuple[list[bytes], list[bytes]]) -> tuple[str, list[int]] | None:
+        """The groups as text, and the links as ``a << 32 | b``; None where the joined bytes of the sides differ. Tokens hold a byte at least."""
+        steps, names, ends = self.steps, self.names, (len(ids[0]), len(ids[1]))
+        at, groups, links = [0, 0], [], []
+        while at[0] < ends[0] and at[1] < ends[1]:
+            leads, last, rest = False, ids[0][at[0]], tokens[0][at[0]]
             at[0] += 1
-            group[0].append(last[0])
-            rest = last[1]
+            read: tuple[list[str], list[str]] = ([names[0][last]], [])
             while rest:
                 behind = not leads
-                if at[behind] == len(sides[behind]):
+                k = at[behind]
+                if k == ends[behind]:
                     return None
-                token = sides[behind][at[behind]]
-                at[behind] += 1
-                group[behind].append(token[0])
-                links.append((token[0], last[0]) if leads else (last[0], token[0]))
-                found = self.step(leads, rest, token[1])
+                at[behind] = k + 1
+                number, token = ids[behind][k], tokens[behind][k]
+                read[behind].append(names[behind][number])
+                links.append(number << 32 | last if leads else last << 32 | number)
+                found = steps.get((leads, rest, token)) or self.step(leads, rest, token)
                 if found is None:
                     return None
-                if found[0] != leads:
-                    last = token
+                if found[0] is not leads:
+                    last = number
                 leads, rest = found
-            groups.append(group)
-        return None if at != [len(a), len(b)] else (groups, links)
+            groups.append(f"{','.join(read[0])}|{','.join(read[1])}")
+        return None if (at[0], at[1]) != ends else (";".join(groups), links)
 
 
 class Pair:
-    """Both tokenizers, and what is known of parts: numbers of A's and B's tokens and of groups, the groups as text, links as ``a << 32 | b``."""
+    """Both tokenizers, and what is known of parts: the groups as text, the links as 64-bit ``a << 32 | b``, and the number of A's tokens."""
 
     def __init__(self, json_path: str, piece_path: str):
         import sentencepiece
@@ -97,42 +100,37 @@ class Pair:
         self.blank = self.b.piece_to_id("▁")
         # a piece with a blank behind anything else, or with a new line, could reach over the end of a part
         self.apart = not any("\n" in p or any(x != "▁" and y == "▁" for x, y in zip(p, p[1:], strict=False)) for p in pieces) and self.b.encode(" ") == [self.b.piece_to_id("▁▁")] and self.b.encode("\n")[:1] == [self.blank]
-        self.transducer = Transducer()
-        self.known: dict[str, tuple | None] = {}
+        self.transducer = Transducer(([*map(str, range(self.a.get_vocab_size()))], [*map(str, range(len(pieces)))]))
+        self.known: dict[str, tuple[bytes, bytes, int] | None] = {}
 
-    def look_up(self, some: list[str]) -> dict[str, tuple | None]:
+    def look_up(self, some: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes, int] | None]]:
         """Of each part, which begins with a blank or a new line; None where the tokens' bytes are not the text's."""
-        found = {}
         # side B adds a blank: it takes the place of the part's own, and goes where there is a new line, which it never joins
         own = [p.removeprefix(" ") for p in some]
-        ids = zip(self.a.encode_batch(some, add_special_tokens=False), self.b.encode(own, num_threads=1) if own else [], strict=True)
-        for part, (a, b) in zip(some, ids, strict=True):
-            b = b[1:] if part[0] == "\n" else b or [self.blank]  # an empty text gets no blank
+        a_bytes, b_bytes, blank, align = self.a_bytes, self.b_bytes, [self.blank], self.transducer.align
+        for part, a, b in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), self.b.encode(own, num_threads=1) if own else [], strict=True):
+            b = b[1:] if part[0] == "\n" else b or blank  # an empty text gets no blank
+            a = a.ids
+            left, right = [a_bytes.get(k, b"") for k in a], [b_bytes[k] for k in b]
             raw = part.encode()
-            left = [(k, self.a_bytes.get(k, b"")) for k in a.ids]
-            right = [(k, self.b_bytes[k]) for k in b]
-            aligned = None
-            if b"".join(x for _, x in left) == raw and b"".join(x for _, x in right) == raw:
-                aligned = self.transducer.align(left, right)
-            if aligned is None:
-                found[part] = None
-                continue
-            groups, links = aligned
-            text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            found[part] = (len(left), len(right), len(groups), text.encode(), np.array([x << 32 | y for x, y in links], dtype=np.int64))
-        return found
+            aligned = align((a, b), (left, right)) if b"".join(left) == raw and b"".join(right) == raw else None
+            yield part, None if aligned is None else (aligned[0].encode(), pack(f"<{len(aligned[1])}q", *aligned[1]), len(a))
 
-    def read(self, texts: list[str | None]) -> list[list[tuple] | None]:
+    def read(self, texts: list[str | None]) -> list[list[tuple[bytes, bytes, int]] | None]:
         """Of each text what is known of its parts; None for no tokens."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
         cut = [(parts(f" {t}") if self.apart else [f" {t}"]) if t else [] for t in texts]
-        fresh = self.look_up(list({p for c in cut for p in c if p not in self.known}))
-        self.known.update((p, x) for p, x in fresh.items() if len(p) <= MEMORABLE)
-        out: list[list[tuple] | None] = []
+        keys = list(set().union(*cut).difference(known))
+        known.update(self.look_up(keys))
+        out: list[list[tuple[bytes, bytes, int]] | None] = []
         for c in cut:
-            here = [self.known[p] if p in self.known else fresh[p] for p in c]
+            here = [*map(known.__getitem__, c)]
             out.append(here if here and None not in here else None)
+        for key in keys:
+            if len(key) > MEMORABLE:
+                del known[key]
         return out
 
 
@@ -147,24 +145,23 @@ class Block:
 
     def __init__(self, number: int):
         self.number, self.size = number, 0
-        self.parts: dict[bytes, int] = {}  # by the part's groups, which tell its links
-        self.links: list[np.ndarray] = []
+        self.parts: defaultdict[bytes, int] = defaultdict()  # by the part's groups, which tell its links
+        self.parts.default_factory = self.parts.__len__
+        self.links: list[bytes] = []
         self.pairs: list[np.ndarray] = []
 
-    def add(self, found: list[tuple]) -> tuple[bytes, bytes]:
+    def add(self, found: list[tuple[bytes, bytes, int]]) -> tuple[bytes, bytes]:
         """The numbers of a document's parts, ascending, as differences, and how often each occurs."""
-        numbers = []
-        for x in found:
-            n = self.parts.get(x[3])
-            if n is None:
-                n = self.parts[x[3]] = len(self.links)
-                self.links.append(x[4])
-            numbers.append(n)
-        part, times = np.unique(np.array(numbers, dtype=np.int64), return_counts=True)
-        self.pairs.append(np.unique(np.concatenate([self.links[k] for k in part.tolist()])))
+        times = Counter(map(self.parts.__getitem__, [x[0] for x in found]))
+        if len(self.parts) > len(self.links):
+            links = dict((x[0], x[1]) for x in found)
+            fresh = [g for g in links if self.parts[g] >= len(self.links)]
+            self.links += [links[g] for g in sorted(fresh, key=self.parts.__getitem__)]
+        part = np.array(sorted(times), dtype=np.int64)
+        self.pairs.append(np.unique(np.frombuffer(b"".join([self.links[k] for k in part.tolist()]), dtype="<i8")))
         if len(self.pairs) >= 2000:
             self.pairs = [self.counted()]
-        return np.diff(part, prepend=0).astype("<u4").tobytes(), times.astype("<u4").tobytes()
+        return np.diff(part, prepend=0).astype("<u4").tobytes(), np.array([times[k] for k in part.tolist()], dtype="<u4").tobytes()
 
     def counted(self) -> np.ndarray:
         """Pairs so far, each as often as there are documents with it."""
@@ -173,8 +170,8 @@ class Block:
     def told(self) -> tuple[np.ndarray, np.ndarray, bytes, bytes]:
         """The pairs and their documents; of each part how many links and where their pairs are in that list."""
         pairs, documents = np.unique(self.counted(), return_counts=True)
-        flat = np.concatenate(self.links) if self.links else NONE
-        return pairs, documents, np.array([len(x) for x in self.links], dtype="<u4").tobytes(), np.searchsorted(pairs, flat).astype("<u4").tobytes()
+        flat = np.frombuffer(b"".join(self.links), dtype="<i8")
+        return pairs, documents, np.array([len(x) // 8 for x in self.links], dtype="<u4").tobytes(), np.searchsorted(pairs, flat).astype("<u4").tobytes()
 
 
 ALIGNED = "block long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, part binary, times binary, pairs array<long>, documents array<long>, sizes binary, places binary"
@@ -213,8 +210,10 @@ def in_blocks(docs: DataFrame, json_path: str, piece_path: str, id_col: str, tex
                 if found is None:
                     values.append((block.number, 0, 0, 0, "", "" if keep_groups else None, b"", b"", None, None, None, None))
                     continue
-                groups = b";".join([x[3] for x in found])
-                values.append((block.number, sum(x[0] for x in found), sum(x[1] for x in found), sum(x[2] for x in found), hashlib.sha256(groups).hexdigest(), groups.decode() if keep_groups else None, *block.add(found), None, None, None, None))
+                groups = b";".join([x[0] for x in found])
+                n_a, n_groups = sum([x[2] for x in found]), groups.count(b"|")
+                # a group of x and y tokens has x - 1 and y - 1 commas
+                values.append((block.number, n_a, groups.count(b",") + 2 * n_groups - n_a, n_groups, hashlib.sha256(groups).hexdigest(), groups.decode() if keep_groups else None, *block.add(found), None, None, None, None))
             yield rows(batch.column(0).slice(start), values)
         if block.links:
             yield end()

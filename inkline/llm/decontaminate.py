@@ -21,8 +21,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .common import written
 from .words import WORD, as_bytes, few, in_chunks, split_words
 
-#: Bytes of text in a shard, bytes of benchmark text searched for in one pass, bytes of a piece of an item, and the distance between suffix samples.
-SHARD_BYTES, PART_BYTES, PIECE_BYTES, SAMPLED = 4 << 20, 1 << 20, 64 << 10, 16
+#: Bytes of text in a shard, bytes of benchmark text searched for in one pass, bytes of a piece of an item and those that its row counts besides, and the distance between suffix samples.
+SHARD_BYTES, PART_BYTES, PIECE_BYTES, ROW_BYTES, SAMPLED = 4 << 20, 1 << 20, 64 << 10, 16, 16
 
 
 class FMIndex:
@@ -196,10 +196,10 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def in_parts(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, int]:
     """The benchmark's items as a table of pieces (``item``, ``text``, ``part``) and the number of parts, each small enough to go to every task.
 
-    A long item is cut into pieces that overlap by ``window`` - 1 words, so that each of its windows lies in one.
+    A long item is cut into pieces that overlap by ``window`` - 1 words, so that each of its windows lies in one. Items
+    without words have no piece and repeated ones the pieces of one, so that a hash deals the pieces evenly; each counts as
+    its bytes and ``ROW_BYTES``.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n = -(-size // PART_BYTES) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches, 64):
@@ -212,15 +212,19 @@ def in_parts(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
                     while end < len(words) and (held < PIECE_BYTES or end < start + window):
                         held += len(words[end]) + 1
                         end += 1
-                    at.append(k)
-                    texts.append(b" ".join(words[start:end]))
+                    if end:
+                        at.append(k)
+                        texts.append(b" ".join(words[start:end]))
                     if end == len(words):
                         break
                     start = end - window + 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, type=pa.int64())), pa.array(texts, type=pa.binary()).cast(pa.string())], names=["item", "text"])
 
     pieces = benchmark.select(F.col(item_col).cast("string"), text_col).mapInArrow(run, "item string, text string")
-    return written(pieces.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), "benchmark-pieces"), n
+    pieces = written(pieces.distinct(), "benchmark-pieces")
+    held = F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)) + ROW_BYTES
+    n = -(-pieces.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0] // PART_BYTES) or 1
+    return pieces.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), n
 
 
 def phrases_of(pieces: DataFrame, part: int, window: int) -> Phrases:

@@ -1,8 +1,8 @@
 """Embedding near duplicates: spherical k-means cells, blocked cosine products within them, one vector of each group kept.
 
 Equal vectors are one class with a weight. A class lives in the cell of its nearest centre and also asks
-the cells whose centre is nearly as near (within ``margin`` of cosine): two vectors that are linked lie
-so close together that one of them asks the other's cell, but for a share too small to measure here. Above
+the cells whose centre is nearly as near, by a bound that follows from the threshold: of two vectors that are linked
+one always asks the other's cell (see ``Cells.ask``), so that no link is lost. Above
 ``FAN`` cells the centres are two levels, so that their number grows with the vectors and few of them are
 looked at. Vectors travel as packed fragments of a cell; a cell is cut into blocks of bounded size, those at
 home and those that only ask apart; each pair of blocks is a task, so that a crowded cell is spread.
@@ -25,7 +25,6 @@ from .simhash import merge
 SAMPLE_BYTES, CELL, FAN = 64 << 20, 800, 256
 #: Vectors and bytes of vectors in a block at most, vectors in a fragment, widths that get centres of their own (the rest have one cell each).
 BLOCK, BLOCK_BYTES, FRAGMENT, WIDTHS = 16_000, 4 << 20, 1000, 64
-MARGIN = 0.15
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -60,26 +59,45 @@ class Cells:
                     self.sub[c] = spherical_kmeans(mine, max(1, min(len(mine) // 4, -(-k // fan))))
         self.first = np.cumsum([0, *map(len, self.sub)])
 
-    def ask(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The home of each row; and rows and the cells that they live in or ask, in order of rows."""
-        near = x @ self.top.T
-        if len(self.sub) == self.first[-1]:
-            row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
-            return near.argmax(axis=1), row, cell
-        rows, cells, values = [], [], []
-        close = near >= near.max(axis=1, keepdims=True) - 1.5 * margin  # the nearest cell can lie under another top centre than the nearest
-        for c in np.flatnonzero(close.any(axis=0)):
-            here = np.flatnonzero(close[:, c])
-            value = x[here] @ self.sub[c].T
-            rows.append(np.repeat(here, value.shape[1]))
-            cells.append(np.tile(np.arange(self.first[c], self.first[c + 1]), len(here)))
-            values.append(value.ravel())
-        row, cell, value = map(np.concatenate, (rows, cells, values))
-        order = np.lexsort((cell, -value, row))
-        row, cell, value = row[order], cell[order], value[order]
-        begins = np.searchsorted(row, np.arange(len(x)))  # the best of each row comes first
-        keep = value >= value[begins][row] - margin
-        return cell[begins], row[keep], cell[keep]
+    def ask(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home of each row; and rows and the cells that they live in or ask, in order of rows.
+
+        Linked x and y are at most d = sqrt(2 - 2 ``threshold``) apart. With homes c and c' (nearest centres), (x.c - x.c') + (y.c' - y.c) =
+        (x - y).(c - c') <= d |c - c'|, and neither summand is below zero. So one of them is at most half of that: where x asks
+        every c' with x.c - x.c' <= d |c - c'| / 2, one of the two asks the other's home. On two levels a home is the
+        nearest centre under the nearest top: tops are asked like this, and under another top than its own x asks every cell
+        that a linked vector can live in, where the whole bound holds.
+        """
+        d = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+        row, cell = [], []
+        top, tops = asked(x, self.top, d, 0.5)
+        home = np.zeros(len(x), dtype=np.int64)
+        for c, sub in enumerate(self.sub):
+            here = np.flatnonzero(tops[:, c])
+            if not len(here):
+                continue
+            own = top[here] == c
+            for some, share in ((here[own], 0.5), (here[~own], 1.0)):
+                for k in range(0, len(some), 4096):
+                    part = some[k : k + 4096]
+                    near, asks = asked(x[part], sub, d, share)
+                    if share < 1:
+                        home[part] = self.first[c] + near
+                    r, j = np.nonzero(asks)
+                    row.append(part[r])
+                    cell.append(self.first[c] + j)
+        row, cell = np.concatenate([*row, np.zeros(0, dtype=np.int64)]), np.concatenate([*cell, np.zeros(0, dtype=np.int64)])
+        order = np.lexsort((cell, row))
+        return home, row[order], cell[order]
+
+
+def asked(x: np.ndarray, centres: np.ndarray, d: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and whether each centre is as near but for ``share`` of ``d`` times its distance to that one."""
+    near = x @ centres.T
+    best = near.argmax(axis=1)
+    norm = (centres**2).sum(axis=1)
+    apart = np.sqrt(np.maximum(0.0, norm[:, None] + norm[None] - 2 * centres @ centres.T) + 1e-12)
+    return best, near[np.arange(len(x)), best][:, None] - near <= share * d * apart[best]
 
 
 def usable(vector: str):
@@ -109,7 +127,7 @@ def fit(classes: DataFrame) -> dict[int, Cells]:
 FRAGMENTS = "width int, cell int, lives boolean, n long, class binary, weight binary, vector binary, home binary, asked binary, asks binary"
 
 
-def in_fragments(classes: DataFrame, cells: dict[int, Cells], margin: float) -> DataFrame:
+def in_fragments(classes: DataFrame, cells: dict[int, Cells], threshold: float) -> DataFrame:
     """Packed rows of one cell: classes that live there, with the cells that they ask (``asked``, ``asks`` of each), or that ask it, with their homes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +138,7 @@ def in_fragments(classes: DataFrame, cells: dict[int, Cells], margin: float) ->
                 here = batch.filter(pa.array(width == w))
                 ids, weight, raw = here.column(0).to_numpy(), here.column(1).to_numpy(), to_matrix(here.column(2), w)
                 if w in cells:
-                    home, row, cell = cells[w].ask(unit(raw.astype(np.float64)), margin)
+                    home, row, cell = cells[w].ask(unit(raw.astype(np.float64)), threshold)
                 else:
                     home, row, cell = np.zeros(len(ids), dtype=int), np.arange(len(ids)), np.zeros(len(ids), dtype=int)
                 asks = np.bincount(row, minlength=len(ids)).astype("<i4")
@@ -191,7 +209,7 @@ def same_vector(vector: str) -> Column:
     return F.struct(F.xxhash64(plain).alias("x"), F.xxhash64(F.lit(7), plain).alias("y"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept`` of every row.
 
     ``n_links``: other rows with cosine >= ``threshold``, equal vectors included; vectors of different widths
@@ -205,7 +223,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = good.groupBy("same").agg(F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("weight"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
     cells = fit(classes)
-    fragments = written(in_fragments(classes, cells, margin), "vector-cells")
+    fragments = written(in_fragments(classes, cells, threshold), "vector-cells")
     lives = F.col("lives")
     size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES / 4) / F.greatest("width", F.lit(1)))))
     blocks = lambda which: F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / F.first(size)).cast("int")
@@ -225,8 +243,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     linked = found.where("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
     roots = connected_components(found.where("n = 0").select("a", "b"), "vector-components").withColumnRenamed("node", "class")
     per_class = classes.drop("vector").join(linked, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = per_class.join(least, "root").select("same", "weight", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
+    per_class = written(per_class, "vector-classes-linked")
+    least = written(per_class.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "vector-least")
+    told = join_each(per_class, least, "root", "size").select("same", "weight", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
     joined = join_each(good.select("id", "same"), written(told, "vector-told"), "same", "weight").select("id", "n_links", "component_id")
     alone = rows.where(~usable("vector")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     component = F.coalesce("component_id", "id")

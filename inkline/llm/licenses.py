@@ -49,8 +49,8 @@ def binding(label: str) -> float:
     return BINDING[max(known, key=len)] if known else UNKNOWN
 
 
-def read_expression(text: bytes, start: int = 0) -> tuple[list[str], float | None]:
-    """Licences named by the longest well-formed expression from ``start`` on, within its line, and how far it binds.
+def read_expression(text: bytes, start: int = 0, stop: int | None = None) -> tuple[list[str], float | None]:
+    """Licences named by the longest well-formed expression from ``start`` on, within its line and before ``stop``, and how far it binds.
 
     Shunting-yard: ``or`` takes the freer side, ``and`` the stricter one, ``with`` grants an exception
     that eases its licence by a fifth; parentheses group. The line is read once, up to its end or the first
@@ -67,7 +67,7 @@ def read_expression(text: bytes, start: int = 0) -> tuple[list[str], float | Non
         right, left = values.pop(), values.pop()
         values.append(JOIN[operators.pop()](left, right))
 
-    for match in EXPRESSION.finditer(text, start):
+    for match in EXPRESSION.finditer(text, start, len(text) if stop is None else stop):
         token = match.group().decode().lower()
         opens = token not in RANK and token not in (")", "\n")  # begins an operand
         if token == "\n" or token[-1] == ":" or operand != opens or token == "(" and excepts or token == ")" and not depth:
@@ -134,9 +134,11 @@ def scan(text: bytes | None) -> dict:
             labels.add(label := BASE.get(phrase) or NOTICES[phrase])
             score = max(score, binding(label))
     if tags:
-        ends = [m.end() for m in WORD.finditer(text)]
-        for tag in tags:
-            names, value = read_expression(text, ends[tag])
+        spots = [m.span() for m in WORD.finditer(text)]
+        # an expression ends where the next tag begins, so that each byte is read once
+        stops = [spots[tag - 2][0] for tag in tags[1:]]
+        for tag, stop in zip(tags, [*stops, len(text)], strict=True):
+            names, value = read_expression(text, spots[tag][1], stop)
             labels.update(names)
             score = max(score, value or 0.0)
     return {"n_words": len(words), "places": [{"word": w, "phrase": p} for w, p in places], "base": base, "base_labels": sorted(base_labels), "labels": sorted(labels), "score": score}
@@ -150,8 +152,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``n_words``; ``places`` (word number and phrase, as they end); ``base`` (starts of the counted phrases);
     ``base_labels``, ``labels`` (sorted); ``score``: how far the strictest notice binds, 0 without any.
-    Null and empty texts have no words and no labels. An expression ends with its line at the latest; lines
-    of any length and with any number of tags are read in time in proportion to them. Rows stay where they are: nothing is joined or
+    Null and empty texts have no words and no labels. An expression ends with its line, or where the next
+    tag begins; lines of any length and with any number of tags are read in time in proportion to them. Rows stay where they are: nothing is joined or
     shuffled, repeated rows stay, other columns are ignored.
     """
 

@@ -157,12 +157,15 @@ def test_alignment_of_awkward_rows(odd, monkeypatch, block):
 
 
 def test_transducer_of_sides_that_differ():
-    t = align.Transducer()
-    assert t.align([(1, b"ab"), (2, b"c")], [(3, b"a"), (4, b"bc")]) == ([([1, 2], [3, 4])], [(1, 3), (1, 4), (2, 4)])
-    assert t.align([(1, b"ab")], [(3, b"a")]) is None
-    assert t.align([(1, b"ab")], [(3, b"ax")]) is None
-    assert t.align([(1, b"a")], [(3, b"a"), (4, b"b")]) is None
-    assert t.align([], []) == ([], [])
+    names = [*map(str, range(9))]
+    t = align.Transducer((names, names))
+    assert t.align(([1, 2], [3, 4]), ([b"ab", b"c"], [b"a", b"bc"])) == ("1,2|3,4", [1 << 32 | 3, 1 << 32 | 4, 2 << 32 | 4])
+    assert t.align(([1, 2], [3, 4]), ([b"ab", b"c"], [b"ab", b"c"])) == ("1|3;2|4", [1 << 32 | 3, 2 << 32 | 4])
+    assert len(t.steps) == 5
+    assert t.align(([1], [3]), ([b"ab"], [b"a"])) is None
+    assert t.align(([1], [3]), ([b"ab"], [b"ax"])) is None
+    assert t.align(([1], [3, 4]), ([b"a"], [b"a", b"b"])) is None
+    assert t.align(([], []), ([], [])) == ("", [])
 
 
 def whitened(vectors, most):
