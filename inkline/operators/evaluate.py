@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..sources.scratch import written
 
 
 #: Points of a tuning grid and rows of a calibration set at most.
@@ -33,9 +34,22 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
+    """``df`` with each row's place, from 0, in ``order`` (equal rows in any order, but each with a place of its own).
+
+    Ranges of the order are dealt to tasks, equal values too; a task numbers its own rows, and the sizes of the ranges, a row each, say where it begins.
+    """
+    marked = df.withColumn("_o", F.struct(*(c.alias(f"c{k}") for k, c in enumerate(order)), F.monotonically_increasing_id().alias("row")))
+    dealt = written(marked.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_o").withColumn("_part", F.spark_partition_id()), "numbered-rows")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    begins = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_o")) - 1 + F.col("_begin")
+    return dealt.join(F.broadcast(begins), "_part").select(*df.columns, place.alias(name))
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """All rows in an order that seed and epoch fix: by the digest of them and the key, range-partitioned."""
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string"))), key)
+    """All rows with their place (``pos``, from 0) in an order that seed and epoch fix: by the digest of them and the key."""
+    return numbered(df, F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string"))), F.col(key))
 
 
 def evaluate_split(samples: DataFrame, hypothesis: Column, n: int | None = None, key: str = "path", seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -68,11 +82,28 @@ def best_point(grid: DataFrame) -> DataFrame:
     return grid.orderBy("cer", "alpha", "beta").limit(1)
 
 
+def quantiles(values: DataFrame, by: tuple[str, ...], value: str, **shares: float) -> DataFrame:
+    """``by`` and, named by the keywords, the quantiles of ``value`` in each group, linear between two values; nulls are left out.
+
+    Rows are numbered by group and value; a group asks for the two places about each quantile, and only those are looked up. No task holds a group.
+    """
+    placed = written(numbered(values.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), *map(F.col, by), F.col("_v")), "placed-values")
+    groups = placed.groupBy(*by).agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+
+    def spot(share: float) -> Column:
+        return (F.col("n") - 1) * F.lit(float(share))
+
+    asked = F.array(*(F.struct(F.lit(name).alias("name"), (F.col("first") + end(spot(share))).cast("long").alias("pos"), (F.lit(1.0) - F.abs(spot(share) - end(spot(share)))).alias("w")) for name, share in shares.items() for end in (F.floor, lambda x: F.floor(x) + 1)))
+    each = groups.select(*by, F.explode(asked).alias("a")).select(*by, "a.*").where("w > 0")
+    found = each.join(placed.select("pos", "_v"), "pos")
+    return found.groupBy(*by).agg(*(F.sum(F.when(F.col("name") == name, F.col("_v") * F.col("w"))).alias(name) for name in shares))
+
+
 def latency_summary(times: DataFrame, by: tuple[str, ...], ms: str = "ms", batch: int | Column = 1) -> DataFrame:
     """Linear-interpolated p50 and p95, and images a second at the median."""
-    batch = F.lit(batch) if isinstance(batch, int) else batch
-    half = F.percentile(ms, F.lit(0.5))  # exact: it counts distinct values, so round a time to what its clock can tell
-    return times.groupBy(*by).agg(F.round(half, 3).alias("latency_ms_p50"), F.round(F.percentile(ms, F.lit(0.95)), 3).alias("latency_ms_p95"), F.when(half > 0, F.round(batch * 1000 / half, 2)).otherwise(0.0).alias("images_per_s"))
+    found = quantiles(times, by, ms, half=0.5, most=0.95)
+    half = F.col("half")
+    return found.select(*by, F.round(half, 3).alias("latency_ms_p50"), F.round("most", 3).alias("latency_ms_p95"), F.when(half > 0, F.round(batch * 1000 / half, 2)).otherwise(0.0).alias("images_per_s"))
 
 
 def accuracy_deltas(rates: DataFrame, baselines: tuple[str, ...], model: str = "model") -> DataFrame:
@@ -88,19 +119,22 @@ def precision_drop(rates: DataFrame, limit: float = 0.01) -> DataFrame:
     return rates.agg((of("int8") - of("fp16")).alias("cer_drop")).withColumn("warn", F.coalesce(F.col("cer_drop") > limit, F.lit(False)))
 
 
-def pick_variant(variants: DataFrame, preferred: tuple[tuple[str, int], ...] = (("int8", 1), ("fp16", 1), ("int8", 16), ("fp16", 16))) -> DataFrame:
-    """The first preferred (``precision``, ``batch``) that is there; else int8 first, then by batch and name."""
+def pick_variant(variants: DataFrame, preferred: tuple[tuple[str, int], ...] = (("int8", 1), ("fp16", 1), ("int8", 16), ("fp16", 16)), by: tuple[str, ...] = ()) -> DataFrame:
+    """Of each group the first preferred (``precision``, ``batch``) that is there; else int8 first, then by batch and name."""
     rank = F.lit(len(preferred))
     for k, (precision, batch) in reversed(list(enumerate(preferred))):
         rank = F.when((F.col("precision") == precision) & (F.col("batch") == batch), k).otherwise(rank)
-    return variants.orderBy(rank, F.col("precision") != "int8", "batch", "precision").limit(1)
+    best = F.min(F.struct(rank.alias("rank"), (F.col("precision") != "int8").alias("other"), "batch", "precision")).alias("b")
+    return variants.groupBy(*by).agg(best).where("b IS NOT NULL").select(*by, "b.precision", "b.batch")
 
 
-def variant_grid(precisions: tuple[str, ...], batches: tuple[int, ...], present: DataFrame) -> DataFrame:
-    """``precision``, ``batch`` of the grid's variants that are ``present`` (same columns), in grid order; missing ones are left out."""
-    points = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(p).alias("precision"), F.lit(b).alias("batch")) for k, (b, p) in enumerate((b, p) for b in batches for p in precisions)))
-    grid = present.sparkSession.range(1).select(F.inline(points))
-    return grid.join(present, ["precision", "batch"], "left_semi").orderBy("place").select("precision", "batch")
+def variant_grid(precisions: tuple[str, ...], batches: tuple[int, ...], present: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``precision``, ``batch`` and ``place`` (in the grid, batch by batch) of each group's variants of the grid that are ``present``; missing ones are left out."""
+    places = {(p, b): k for k, (b, p) in enumerate((b, p) for b in batches for p in precisions)}
+    place = F.lit(None).cast("int")
+    for (precision, batch), k in places.items():
+        place = F.when((F.col("precision") == precision) & (F.col("batch") == batch), k).otherwise(place)
+    return present.select(*by, "precision", "batch", place.alias("place")).where("place IS NOT NULL").distinct()
 
 
 def calibration_batches(samples: DataFrame, batch: int, order: str, most: int = CALIBRATION) -> DataFrame:

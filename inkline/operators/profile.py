@@ -23,13 +23,12 @@ def row_projection(image: Column | str) -> Column:
 def smooth(profile: DataFrame) -> DataFrame:
     """``page``, ``y``, ``p``, ``h`` and ``s``: the centred mean over max(3, height / 100 made odd) rows, zeros beyond the ends.
 
-    Row numbers are 0 to height - 1. Each row adds its value to those around it, combined before the shuffle.
+    Row numbers are 0 to height - 1. Pages are dealt once: rows that a page's reach counts as one step away are within one of its own.
     """
     sized = profile.withColumn("h", F.count("*").over(Window.partitionBy("page"))).withColumn("k", F.greatest(F.lit(3), F.floor(F.col("h") * 0.01).cast("int").bitwiseOR(F.lit(1))))
-    reach = F.floor(F.col("k") / 2).cast("int")
-    near = F.sequence(F.greatest(F.col("y") - reach, F.lit(0)), F.least(F.col("y") + reach, (F.col("h") - 1).cast("int")))
-    spread = sized.select("page", F.col("y").alias("own"), "p", "h", "k", F.explode(near).alias("y"))
-    return spread.groupBy("page", "y").agg(F.max(F.when(F.col("own") == F.col("y"), F.col("p"))).alias("p"), F.first("h").alias("h"), (F.sum("p") / F.first("k")).alias("s"))
+    near = sized.withColumn("_at", F.col("y") / F.floor(F.col("k") / 2))
+    around = F.expr("sum(p) OVER (PARTITION BY page ORDER BY _at RANGE BETWEEN 1.000001D PRECEDING AND 1.000001D FOLLOWING)")
+    return near.select("page", "y", "p", "h", (around / F.col("k")).alias("s"))
 
 
 def lines_at(smoothed: DataFrame, ratio: Column | float, by: tuple[str, ...] = ("page",), min_height: float = 0.3) -> DataFrame:

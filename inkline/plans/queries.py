@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ctc, metrics, text
 from ..operators import evaluate, labels, ngram, profile
-from ..sources import sinks
+from ..sources import files, sinks
+from ..sources.scratch import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,6 +169,29 @@ def normalize_transcripts(spark, sf):
     return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", text.normalize("text", composed=True).alias("text"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\s+([,.;:!?%)])', '\\1', 'g'), '\\(\\s+', '(', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
+def normalize_deployed(spark, sf):
+    """As a deployed reader does: tones stay where they are."""
+    return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", text.normalize("text", tones=False, composed=True).alias("text"))
+
+
+@query("WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS token FROM documents) SELECT token FROM w WHERE token NOT LIKE '##%'")
+def unigram_file(spark, sf):
+    """The vocabulary written as a file and read again."""
+    path = shared(spark, "unigrams")
+    sinks.write_vocabulary(table(spark, sf, "documents"), path)
+    return files.token_file(spark, path).select("token")
+
+
+@query("WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM documents), k AS (SELECT token FROM c WHERE NOT regexp_matches(token, '^[\\r\\n\\x0B\\f\\x85\\x{2028}\\x{2029}]*$') AND token <> '') SELECT 0 AS pos, '<BLANK>' AS token UNION ALL SELECT row_number() OVER (ORDER BY encode(token)), token FROM k")
+def charset_file(spark, sf):
+    """The charset of all texts, a token a line behind the blank, written as a file and read again."""
+    path = shared(spark, "charset")
+    known = table(spark, sf, "documents").select(F.explode(text.chars("text")).alias("token")).distinct().where(~F.col("token").rlike(r"^[\r\n\x0b\f\x85\u2028\u2029]$"))
+    sinks.write_charset(known, path)
+    return spark.createDataFrame(list(enumerate(files.load_charset(spark, path))), "pos long, token string")
+
+
 STEPS = "list_transform(range(8), lambda t: embedding[t * 8 + 1 : t * 8 + 8])"
 IDS = f"list_transform({STEPS}, lambda r: list_position(r, list_max(r)) - 1)"
 
@@ -296,6 +320,13 @@ def failure_lines(spark, sf):
     return sinks.failure_lines(evaluate.failures(split(spark, sf)))
 
 
+@query(f"""WITH {PAIRS.partition(',' + chr(10))[0]}, f AS (SELECT conv_id || '/' || turn AS path, gt, predict, row_number() OVER (ORDER BY conv_id || '/' || turn) AS k, count(*) OVER () AS n FROM pairs WHERE gt <> predict)
+SELECT k AS pos, '  {{{{' || chr(10) || '    "path": ' || to_json(path) || ',' || chr(10) || '    "gt": ' || to_json(gt) || ',' || chr(10) || '    "predict": ' || to_json(predict) || chr(10) || '  }}}}' || CASE WHEN k < n THEN ',' ELSE '' END AS line FROM f
+UNION ALL SELECT 0, '[' UNION ALL SELECT count(*) + 1, ']' FROM f""".replace("{{", "{").replace("}}", "}"))
+def failure_array(spark, sf):
+    return sinks.failure_array(evaluate.failures(split(spark, sf)))
+
+
 @query("SELECT rpad(event_type, 12, ' ') || ' ' || lpad(count(*)::VARCHAR, 8, ' ') AS line FROM events GROUP BY event_type")
 def report_lines(spark, sf):
     return sinks.report(table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")), {"event_type": 12, "n": 8})
@@ -373,11 +404,31 @@ def size_limit(spark, sf):
     return table(spark, sf, "documents").select("doc_id", profile.limited(F.col("n_chars"), F.col("doc_id") % 3000 + 1).alias("size")).select("doc_id", "size.height", "size.width")
 
 
-@query("SELECT * FROM (VALUES ('fp16', 1::INTEGER), ('int8', 1::INTEGER), ('fp16', 16::INTEGER)) AS v(precision, batch)")
+#: Names of model folders that events make: a precision, or the event's type, and a batch; some are no variants.
+NAMES_SQL = """names AS (SELECT user_id, CASE event_id % 5 WHEN 0 THEN 'notes' ELSE CASE event_id % 4 WHEN 0 THEN 'int8' WHEN 1 THEN 'fp16' WHEN 2 THEN 'fp16_x' ELSE event_type END || '_b' || (user_id % 3 * 15 % 29 + 1) END AS name FROM events),
+variants AS (SELECT user_id, name, regexp_extract(name, '^(.+)_b(\\d+)$', 1) AS precision, regexp_extract(name, '^(.+)_b(\\d+)$', 2)::INTEGER AS batch FROM names WHERE name <> 'notes')"""
+
+
+def variants(spark, sf) -> DataFrame:
+    precision = F.when(F.col("event_id") % 4 == 0, "int8").when(F.col("event_id") % 4 == 1, "fp16").when(F.col("event_id") % 4 == 2, "fp16_x").otherwise(F.col("event_type"))
+    named = F.when(F.col("event_id") % 5 == 0, "notes").otherwise(F.concat(precision, F.lit("_b"), (F.col("user_id") % 3 * 15 % 29 + 1).cast("string")))
+    return table(spark, sf, "events").select("user_id", named.alias("name")).withColumn("v", text.variant("name")).where("v IS NOT NULL").select("user_id", "name", "v.precision", "v.batch")
+
+
+@query(f"WITH {NAMES_SQL} SELECT name, precision, batch, count(*) AS n FROM variants GROUP BY ALL")
+def variant_names(spark, sf):
+    return variants(spark, sf).groupBy("name", "precision", "batch").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT DISTINCT user_id, precision, batch, (CASE precision WHEN 'fp16' THEN 0 ELSE 1 END + CASE batch WHEN 1 THEN 0 ELSE 2 END)::INTEGER AS place FROM variants WHERE precision IN ('fp16', 'int8') AND batch IN (1, 16)")
 def variant_grid(spark, sf):
-    names = F.array(*(F.lit(x) for x in ("fp16_b1", "int8_b1", "fp16_b16", "fp16_b4", "notes")))
-    present = spark.range(1).select(F.explode(names).alias("name")).select(text.variant("name").alias("v")).where("v IS NOT NULL").select("v.precision", "v.batch")
-    return evaluate.variant_grid(("fp16", "int8"), (1, 16), present)
+    return evaluate.variant_grid(("fp16", "int8"), (1, 16), variants(spark, sf), ("user_id",))
+
+
+@query(f"""WITH {NAMES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE precision || batch WHEN 'int81' THEN 0 WHEN 'fp161' THEN 1 WHEN 'int816' THEN 2 WHEN 'fp1616' THEN 3 ELSE 4 END, precision <> 'int8', batch, precision) AS k FROM variants)
+SELECT user_id, precision, batch FROM r WHERE k = 1""")
+def pick_variant(spark, sf):
+    return evaluate.pick_variant(variants(spark, sf), by=("user_id",))
 
 
 @query("SELECT count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality <> 0)")
@@ -390,9 +441,9 @@ def absolute_paths(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.absolute("/data", "url").alias("path"))
 
 
-@query("SELECT doc_id FROM documents ORDER BY md5('7:2:' || doc_id), doc_id LIMIT 30")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('7:2:' || doc_id), doc_id) - 1 AS pos FROM documents")
 def seeded_shuffle(spark, sf):
-    return evaluate.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id", 7, 2).limit(30)
+    return evaluate.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id", 7, 2)
 
 
 @query("SELECT source AS writer, doc_id::VARCHAR || '.png' AS name, toxic::VARCHAR AS text, source || '/' || doc_id || CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN '.jpg' ELSE '.png' END AS path FROM documents JOIN labels USING (doc_id)")
@@ -420,13 +471,6 @@ def sample_n(spark, sf):
     return evaluate.sample_n(table(spark, sf, "documents").select("doc_id"), 50, "doc_id")
 
 
-@query("SELECT 'fp16' AS precision, 16::INTEGER AS batch")
-def pick_variant(spark, sf):
-    names = F.array(*(F.lit(x) for x in ("fp32_b1", "fp16_b16", "int8_b4", "notes")))
-    found = spark.range(1).select(F.explode(names).alias("name")).select(text.variant("name").alias("v")).where("v IS NOT NULL").select("v.precision", "v.batch")
-    return evaluate.pick_variant(found)
-
-
 @query("WITH p AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark) SELECT item_id, (pos // 16)::INTEGER AS batch_id, (pos % 16)::INTEGER AS slot FROM p WHERE pos < n // 16 * 16")
 def calibration_batches(spark, sf):
     return evaluate.calibration_batches(table(spark, sf, "benchmark").select("item_id"), 16, "item_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ngram
+from ..operators import evaluate, ngram
+from .files import BLANK
 
 
 def failure_lines(failures: DataFrame) -> DataFrame:
@@ -18,6 +19,24 @@ def write_failures(failures: DataFrame, path: str) -> None:
     failure_lines(failures).write.mode("overwrite").text(path)
 
 
+def failure_array(failures: DataFrame) -> DataFrame:
+    """``pos``, ``line``: the failures by path as one indented JSON array, a bracket, object by object and a bracket; in order of ``pos`` they are the document."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":(?s)(.*)\}$', 1)
+    placed = evaluate.numbered(failures.select("path", "gt", "predict"), F.col("path"))
+    n = placed.agg(F.count("*").alias("n"))
+    fields = F.concat_ws(",\n", *(F.concat(F.lit(f'    "{c}": '), quoted(c)) for c in ("path", "gt", "predict")))
+    rows = placed.crossJoin(F.broadcast(n)).select((F.col("pos") + 1).alias("pos"), F.concat(F.lit("  {\n"), fields, F.lit("\n  }"), F.when(F.col("pos") + 1 < F.col("n"), ",").otherwise("")).alias("line"))
+    ends = n.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit("[").alias("line")), F.struct((F.col("n") + 1).alias("pos"), F.lit("]").alias("line")))).alias("e")).select("e.*")
+    return rows.unionByName(ends)
+
+
+def write_charset(tokens: DataFrame, path: str) -> None:
+    """The blank, then ``token`` in code-point order, one a line in one file: a charset is bounded by the characters there are."""
+    first = tokens.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(BLANK).alias("value"))
+    rows = first.unionAll(tokens.select(F.lit(1), "token").distinct())
+    rows.coalesce(1).sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)
+
+
 def write_corpus(samples: DataFrame, path: str) -> None:
     """Stripped transcripts, one a line; without any it is an error."""
     texts = ngram.corpus(samples)

@@ -147,7 +147,8 @@ def test_evaluate_split(spark):
     rates, failed = evaluate.evaluate_split(samples, F.col("raw"))
     assert (rates.first().n, rates.first().n_failures, failed.count()) == (10, 5, 5) and math.isclose(rates.first().cer, 0.125)
     assert evaluate.evaluate_split(samples, F.col("raw"), 4)[0].first().n == 4
-    assert [r.path for r in evaluate.shuffled(samples, "path", 1).collect()] != [r.path for r in evaluate.shuffled(samples, "path", 1, 1).collect()]
+    assert [r.path for r in evaluate.shuffled(samples, "path", 1).orderBy("pos").collect()] != [r.path for r in evaluate.shuffled(samples, "path", 1, 1).orderBy("pos").collect()]
+    assert sorted(r.pos for r in evaluate.shuffled(samples, "path", 1).collect()) == list(range(10))
     with pytest.raises(ValueError):
         evaluate.score_grid(samples, spark.range(evaluate.MOST_POINTS + 1).selectExpr("id AS alpha", "id AS beta"), F.col("raw"))
     assert evaluate.score_grid(samples, spark.range(0).selectExpr("id AS alpha", "id AS beta"), F.col("raw")).count() == 0
@@ -156,6 +157,16 @@ def test_evaluate_split(spark):
 def test_reports(spark):
     times = spark.createDataFrame([(float(x),) for x in (10, 12, 11, 30, 13)], "ms double")
     assert tuple(evaluate.latency_summary(times, (), batch=16).first()) == (12.0, 26.6, 1333.33)
+    rng = random.Random(4)
+    groups = [(g, rng.choice([1.5, 2.0, rng.random() * 9])) for g, n in (("a", 1), ("b", 2), ("c", 37), ("d", 400)) for _ in range(n)] + [("d", None), ("e", None)]
+    found = {r.g: (r.low, r.mid, r.top) for r in evaluate.quantiles(spark.createDataFrame(groups, "g string, v double"), ("g",), "v", low=0.0, mid=0.37, top=1.0).collect()}
+    for g in "abcd":
+        assert np.allclose(found[g], np.quantile([v for h, v in groups if h == g and v is not None], [0, 0.37, 1]))
+    assert set(found) == set("abcd") and evaluate.quantiles(times.limit(0), (), "ms", half=0.5).first().half is None
+    failed = spark.createDataFrame([("p/2", 'a"b', "é"), ("p/1", "x\ny", "")], "path string, gt string, predict string")
+    text_of = lambda df: "\n".join(r.line for r in sinks.failure_array(df).orderBy("pos").collect())
+    assert text_of(failed) == json.dumps([{"path": "p/1", "gt": "x\ny", "predict": ""}, {"path": "p/2", "gt": 'a"b', "predict": "é"}], ensure_ascii=False, indent=2)
+    assert json.loads(text_of(failed.limit(0))) == []
     few = spark.createDataFrame([(k,) for k in range(3)], "k int")
     assert [(r.k, r.batch_id, r.slot) for r in evaluate.calibration_batches(few, 4, "k").orderBy("slot").collect()] == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (0, 0, 3)]
     many = spark.createDataFrame([(k,) for k in range(10)], "k int")
