@@ -19,22 +19,35 @@ def corpus(samples: DataFrame, text: str = "text") -> DataFrame:
     return samples.select(strip(text).alias("text")).where(F.col("text") != "")
 
 
+def padded(words: Column) -> Column:
+    return F.concat(F.array(F.lit(START)), words, F.array(F.lit(END)))
+
+
 def grams(words: Column, order: int) -> Column:
     """All runs of ``order`` words, sentence marks included."""
 
-
-    def runs(padded: Column) -> Column:
-        last = F.size(padded) - order
+    def runs(w: Column) -> Column:
+        last = F.size(w) - order
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda k: F.slice(padded, k + 1, F.lit(order)))
+        return F.transform(starts, lambda k: F.slice(w, k + 1, F.lit(order)))
 
-    return let(F.concat(F.array(F.lit(START)), words, F.array(F.lit(END))), runs)
+    return let(padded(words), runs)
 
 
 def ngram_counts(texts: DataFrame, order: int, prune: int = 0, text: str = "text") -> DataFrame:
-    """``context`` (blank-joined), ``token``, ``n``: counts above ``prune``; combined before the shuffle."""
-    each = texts.select(F.explode(grams(tokens(text), order)).alias("g"))
-    counted = each.groupBy(F.array_join(F.slice("g", 1, order - 1), " ").alias("context"), F.get("g", F.lit(order - 1)).alias("token")).agg(F.count("*").alias("n"))
+    """``context`` (blank-joined), ``token``, ``n``: counts above ``prune``; combined before the shuffle.
+
+    Words of one and two are counted as they are, longer runs as arrays; only what is left of them is joined.
+    """
+    words = tokens(text)
+    if order == 1:
+        counted = texts.select(F.lit("").alias("context"), F.explode(padded(words)).alias("token")).groupBy("context", "token").agg(F.count("*").alias("n"))
+    elif order == 2:
+        pairs = let(padded(words), lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.struct(a.alias("context"), b.alias("token"))))
+        counted = texts.select(F.explode(pairs).alias("g")).groupBy("g.context", "g.token").agg(F.count("*").alias("n"))
+    else:
+        each = texts.select(F.explode(grams(words, order)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+        counted = each.select(F.array_join(F.slice("g", 1, order - 1), " ").alias("context"), F.get("g", F.lit(order - 1)).alias("token"), "n")
     return counted.where(F.col("n") > prune) if prune else counted
 
 

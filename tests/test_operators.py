@@ -111,7 +111,7 @@ def test_kneser_ney_sums_to_one(spark):
         back = uni[h].backoff if h in uni else None
         if back is not None:
             assert math.isclose(sum(seen.values()) + back * (1 - sum(uni[t].p for t in seen)), 1, abs_tol=1e-9)
-    assert all(0 < r.p <= 1 for r in model)
+    assert all(0 < r.p <= 1 or r.token == ngram.START and r.p == 0 for r in model)
     pairs = [p for (t,) in texts.collect() if t for p in itertools.pairwise(["<s>", *t.split(), "</s>"])] + [("<s>", "</s>")]
     kinds, found = set(pairs), ngram.kneser_ney_bigrams(texts).collect()
     for context in {a for a, _ in kinds}:
