@@ -99,7 +99,7 @@ def format_chat(turns: DataFrame, template: Template | None = None, conv_col: st
                     conv, state, position, valid, begun = now, "", 0, True, True
                 valid = valid and role in template.follows.get(state, ())
                 state = role
-                rows += [(conv, position, 0, template.before.format(role=escape_role(role)), False, valid), (conv, position, 1, escape(text, template), role in template.trained, valid), (conv, position, 2, template.after, False, valid)]
+                rows += [(conv, position, 0, template.before.replace("{role}", escape_role(role)), False, valid), (conv, position, 1, escape(text, template), role in template.trained, valid), (conv, position, 2, template.after, False, valid)]
                 position += 1
                 size += len(text)
                 if size > 4 << 20:

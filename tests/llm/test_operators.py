@@ -439,6 +439,10 @@ def test_chat(spark):
     again = {r.conv_id: r for r in chat.read_chat(chat.format_chat(table, other), other).collect()}
     assert {c: (r.n_turns, r.turns_sha256) for c, r in again.items()} == {c: (r.n_turns, r.turns_sha256) for c, r in found.items()}
     assert again[1].loss_sha256 == hashlib.sha256(b"<|im_start|>a\n").hexdigest()
+    for before in ("{{\"{role}\": <|s|>", "{x<|{role}|"):  # braces of the template's own are text
+        braced = chat.Template(before, "<|e|>", "<|")
+        again = {r.conv_id: r for r in chat.read_chat(chat.format_chat(table, braced), braced).collect()}
+        assert {c: (r.n_turns, r.turns_sha256, r.loss_sha256) for c, r in again.items()} == {c: (r.n_turns, r.turns_sha256, r.loss_sha256) for c, r in found.items()}
     with pytest.raises(Exception, match="doesn't match the template"):
         chat.read_chat(segments, other).collect()
     with pytest.raises(ValueError):
