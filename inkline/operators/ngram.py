@@ -71,6 +71,24 @@ def kneser_ney_bigrams(texts: DataFrame, discount: float = 0.75, text: str = "te
     return pairs.join(after, "context").join(before, "token").crossJoin(F.broadcast(whole)).select("context", "token", p.alias("p"))
 
 
+def without_first(context: str) -> Column:
+    """Blank-joined words but the first."""
+    at = F.instr(context, " ")
+    return F.when(at > 0, F.col(context).substr(at + 1, F.length(context))).otherwise(F.lit(""))
+
+
+def one_shorter(counts: DataFrame, texts: DataFrame, length: int, text: str) -> DataFrame:
+    """``context``, ``token``, ``n`` of all n-grams of ``length`` from those one longer: how many different words stand before the n-gram.
+
+    One that no word stands before begins texts: it has their number.
+    """
+    ends = counts.select(without_first("context").alias("context"), "token", F.lit(1).cast("long").alias("left"), F.lit(0).cast("long").alias("first"))
+    heads = texts.select(F.slice(padded(tokens(text)), 1, length).alias("g")).where(F.size("g") == length)
+    begun = heads.select(F.array_join(F.slice("g", 1, length - 1), " ").alias("context"), F.get("g", F.lit(length - 1)).alias("token"), F.lit(0).cast("long").alias("left"), F.lit(1).cast("long").alias("first"))
+    both = ends.unionAll(begun).groupBy("context", "token").agg(F.sum("left").alias("left"), F.sum("first").alias("first"))
+    return both.select("context", "token", F.when(F.col("left") > 0, F.col("left")).otherwise(F.col("first")).alias("n"))
+
+
 def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text: str = "text") -> DataFrame:
     """All orders up to ``order``: ``length``, ``context``, ``token``, ``p`` and ``backoff`` (of the n-gram as a context; null for the longest).
 
@@ -78,22 +96,18 @@ def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text:
     and interpolates with the one below. Probabilities of a context, the rest backed off, sum to one. The sentence's
     beginning is a context only: its row has the probability 0.
     ``prune``: n-grams of any order with no higher a count are left out, and those whose shorter end is.
-    Each length is counted and each level worked out once, as a written table.
+    Only the longest n-grams are counted in the texts. Those of each length below follow from the ones a word longer: all that don't begin a
+    text end one of these. Each length and each level is worked out once, as a written table.
     """
     shorter, out = None, None
     gram = F.when(F.col("context") == "", F.col("token")).otherwise(F.concat_ws(" ", "context", "token"))
-    counted = written(ngram_counts(texts, 1, text=text), "grams-1")
+    weights_of = {order: written(ngram_counts(texts, order, text=text), f"weights-{order}")}
+    for k in range(order - 1, 0, -1):
+        weights_of[k] = written(one_shorter(weights_of[k + 1], texts, k, text), f"weights-{k}")
     for k in range(1, order + 1):
-        counts = counted
-        if k < order:
-            counted = written(ngram_counts(texts, k + 1, text=text), f"grams-{k + 1}")
-            # how many different words stand before the n-gram; those that begin a sentence keep their counts
-            end = F.concat_ws(" ", F.when(F.instr("context", " ") > 0, F.regexp_replace("context", "^[^ ]* ", "")), "token")
-            longer = counted.groupBy(end.alias("gram")).agg(F.count("*").alias("left"))
-            counts = counts.withColumn("gram", gram).join(longer, "gram", "left").select("context", "token", F.coalesce("left", "n").alias("n"))
+        counts = weights_of[k]
         if k == 1:
             counts = counts.where(F.col("token") != START)
-        counts = written(counts, f"weights-{k}")
         d = discounts(counts)
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         taken = counts.crossJoin(F.broadcast(d)).withColumn("cut", cut)
@@ -103,7 +117,7 @@ def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text:
         if k == 1:  # one context, so one row of totals
             level = kept.crossJoin(F.broadcast(total.drop("context"))).select("context", "token", (own + rest / F.col("v")).alias("p"))
         else:
-            short = F.when(F.instr("context", " ") > 0, F.regexp_replace("context", "^[^ ]* ", "")).otherwise(F.lit(""))
+            short = without_first("context")
             lower = shorter.select(F.col("context").alias("rest"), "token", F.col("p").alias("below"))
             level = kept.join(total.drop("v"), "context").withColumn("rest", short).join(lower, ["rest", "token"]).select("context", "token", (own + rest * F.col("below")).alias("p"))
             weights = total.select(F.col("context").alias("gram"), rest.alias("backoff"))

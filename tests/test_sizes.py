@@ -7,6 +7,7 @@ import re
 import pytest
 
 import inkline.plans.pages  # noqa: F401 adds its queries
+from inkline.operators import ngram
 from inkline.plans.queries import QUERIES
 
 RASTERS = "otsu_ink page_equalized sauvola_ink sauvola_ink_small adaptive_ink ink_distance energy_rows stroke_widths skew_angles line_seams cut_pages page_shrunk page_stretched".split()
@@ -18,3 +19,16 @@ def test_pixels_are_neither_sorted_nor_joined(spark, sf, name):
     assert "hashpartitioning(page#" in plan
     assert not re.search(r"windowspecdefinition\(page#\d+L?, [xy]#\d+, |Join \[page#\d+L?, ", plan)
     assert len(re.findall(r"hashpartitioning\(page#\d+L?, [a-z]+#", plan)) <= 1 + (name == "cut_pages")  # counts of events, sums of lines
+
+
+def test_only_the_longest_ngrams_are_counted_in_texts(spark, monkeypatch):
+    asked, count = [], ngram.ngram_counts
+    monkeypatch.setattr(ngram, "ngram_counts", lambda texts, order, *a, **b: asked.append(order) or count(texts, order, *a, **b))
+    texts = spark.createDataFrame([("a <s> b",), ("<s> b a",)], "text string")  # a word that looks like the beginning
+    found = {(r.context, r.token) for r in ngram.modified_kneser_ney(texts, 3).where("length = 2").collect()}
+    assert asked == [3] and found == {("<s>", "a"), ("a", "<s>"), ("<s>", "b"), ("b", "</s>"), ("<s>", "<s>"), ("b", "a"), ("a", "</s>")}
+
+
+def test_a_bucket_is_one_file(spark):
+    model = spark.range(0, 1000, 1, 6).selectExpr("'' AS context", "CAST(id AS string) AS token", "0.5D AS p", "0.1D AS backoff")
+    assert len(ngram.model_table(model, 4).inputFiles()) == 4
