@@ -22,6 +22,8 @@ SQL: dict[str, str] = {}
 #: The classes of 8 x 8 scores, and the characters that texts may hold in the codec queries, after the blank.
 LETTERS = ["<BLANK>", *"ho a,()"]
 CHARSET = ["<BLANK>", *" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'\"()%-\n"]
+#: Rows of whole texts in an Arrow batch at most.
+BATCH = 1000
 
 
 def query(sql: str | None = None):
@@ -159,20 +161,28 @@ def tone_placement(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.place_tones("text").alias("text"))
 
 
+def composed(spark, sf) -> DataFrame:
+    """Documents in NFC. Texts can be long: batches for Python are bounded, so that its memory doesn't grow with the rows of a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(held, BATCH) if held > 0 else BATCH))
+    return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text")
+
+
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def nfc(spark, sf):
-    return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return composed(spark, sf)
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({tones_sql('nfc_normalize(text)')}, '\\s+([,.;:!?%)])', '\\1', 'g'), '\\(\\s+', '(', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
 def normalize_transcripts(spark, sf):
-    return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", text.normalize("text", composed=True).alias("text"))
+    return composed(spark, sf).select("doc_id", text.normalize("text", composed=True).alias("text"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\s+([,.;:!?%)])', '\\1', 'g'), '\\(\\s+', '(', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
 def normalize_deployed(spark, sf):
     """As a deployed reader does: tones stay where they are."""
-    return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", text.normalize("text", tones=False, composed=True).alias("text"))
+    return composed(spark, sf).select("doc_id", text.normalize("text", tones=False, composed=True).alias("text"))
 
 
 @query("WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS token FROM documents) SELECT token FROM w WHERE token NOT LIKE '##%'")

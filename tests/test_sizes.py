@@ -26,9 +26,21 @@ def test_only_the_longest_ngrams_are_counted_in_texts(spark, monkeypatch):
     monkeypatch.setattr(ngram, "ngram_counts", lambda texts, order, *a, **b: asked.append(order) or count(texts, order, *a, **b))
     texts = spark.createDataFrame([("a <s> b",), ("<s> b a",)], "text string")  # a word that looks like the beginning
     found = {(r.context, r.token) for r in ngram.modified_kneser_ney(texts, 3).where("length = 2").collect()}
-    assert asked == [3] and found == {("<s>", "a"), ("a", "<s>"), ("<s>", "b"), ("b", "</s>"), ("<s>", "<s>"), ("b", "a"), ("a", "</s>")}
+    assert asked == [3] and found == {("<s>", "a"), ("<s>", "b"), ("b", "</s>"), ("b", "a"), ("a", "</s>")}  # the beginning has no probability
 
 
 def test_a_bucket_is_one_file(spark):
     model = spark.range(0, 1000, 1, 6).selectExpr("'' AS context", "CAST(id AS string) AS token", "0.5D AS p", "0.1D AS backoff")
     assert len(ngram.model_table(model, 4).inputFiles()) == 4
+
+
+@pytest.mark.parametrize("name", ["nfc", "normalize_transcripts", "normalize_deployed"])
+def test_batches_of_whole_texts_are_bounded(spark, sf, name):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    QUERIES[name](spark, sf)
+    assert int(spark.conf.get(key)) == 1000
+    spark.conf.set(key, "10")
+    QUERIES[name](spark, sf)
+    assert int(spark.conf.get(key)) == 10  # a smaller bound stays
+    spark.conf.unset(key)
