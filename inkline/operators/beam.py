@@ -28,12 +28,12 @@ def prefix_beam(log_probs: Column, width: int = 100, gains: Column | None = None
     last = lambda p: F.coalesce(F.get(p, F.size(p) - 1), F.lit(0))
     gain = lambda p, c: F.lit(0.0) if gains is None else F.coalesce(F.get(F.get(gains, last(p)), c), F.lit(0.0))
 
-    def entry(prefix: Column, blank: Column, other: Column, earned: Column) -> Column:
-        return F.struct((-(ctc.log_sum(blank, other) + earned)).alias("cost"), prefix.alias("prefix"), blank.alias("blank"), other.alias("other"), earned.alias("gain"))
+    def entry(prefix: Column, blank: Column, other: Column, weight: Column, earned: Column) -> Column:
+        return F.struct((-(weight + earned)).alias("cost"), prefix.alias("prefix"), blank.alias("blank"), other.alias("other"), earned.alias("gain"))
 
-    def longer(b: Column, c: Column, row: Column) -> Column:
-        """The weight that ``b`` brings to itself and ``c``: after an equal class only through a blank."""
-        return F.when(last(b["prefix"]) == c, b["blank"]).otherwise(ctc.log_sum(b["blank"], b["other"])) + F.get(row, c)
+    def longer(b: Column, c: Column, row: Column, total: Column) -> Column:
+        """The weight that ``b`` (of weight ``total``) brings to itself and ``c``: after an equal class only through a blank."""
+        return F.when(last(b["prefix"]) == c, b["blank"]).otherwise(total) + F.get(row, c)
 
     def step(beam: Column, row: Column) -> Column:
         likely = F.filter(F.sequence(F.lit(1), F.greatest(F.size(row) - 1, F.lit(1))), lambda c: (c < F.size(row)) & (F.get(row, c) >= token_floor))
@@ -46,20 +46,23 @@ def prefix_beam(log_probs: Column, width: int = 100, gains: Column | None = None
                 shorter = F.slice(b["prefix"], F.lit(1), F.greatest(F.size(b["prefix"]) - 1, F.lit(0)))
                 parent = F.filter(beam, lambda p: (F.size(b["prefix"]) > 0) & (p["prefix"] == shorter))
                 read = F.array_contains(tried, own) & (F.size(b["prefix"]) > 0)
-                brought = F.when(read, F.coalesce(F.get(F.transform(parent, lambda p: longer(p, own, row)), F.lit(0)), F.lit(NEVER))).otherwise(NEVER)
+                brought = F.when(read, F.coalesce(F.get(F.transform(parent, lambda p: longer(p, own, row, ctc.log_sum(p["blank"], p["other"]))), F.lit(0)), F.lit(NEVER))).otherwise(NEVER)
                 again = F.when(read, b["other"] + F.get(row, own)).otherwise(NEVER)
-                return entry(b["prefix"], ctc.log_sum(b["blank"], b["other"]) + F.get(row, F.lit(0)), ctc.log_sum(again, brought), b["gain"])
+                parts = F.struct((ctc.log_sum(b["blank"], b["other"]) + F.get(row, F.lit(0))).alias("blank"), ctc.log_sum(again, brought).alias("other"))
+                return let(parts, lambda s: entry(b["prefix"], s["blank"], s["other"], ctc.log_sum(s["blank"], s["other"]), b["gain"]))
 
             def grows(b: Column) -> Column:
                 deeper = F.filter(beam, lambda q: (F.size(q["prefix"]) == F.size(b["prefix"]) + 1) & (F.slice(q["prefix"], F.lit(1), F.size(b["prefix"])) == b["prefix"]))
                 there = F.transform(deeper, lambda q: last(q["prefix"]))
                 fresh = F.array_except(tried, there)
-                return F.transform(fresh, lambda c: entry(F.concat(b["prefix"], F.array(c)), F.lit(NEVER), longer(b, c, row), b["gain"] + gain(b["prefix"], c)))
+                # without paths that end in a blank the weight is that of the others
+                added = lambda c, total: entry(F.concat(b["prefix"], F.array(c)), F.lit(NEVER), longer(b, c, row, total), longer(b, c, row, total), b["gain"] + gain(b["prefix"], c))
+                return let(ctc.log_sum(b["blank"], b["other"]), lambda total: F.transform(fresh, lambda c: added(c, total)))
 
             return F.concat(F.transform(beam, stays), F.flatten(F.transform(beam, grows)))
 
         tried = F.when(F.size(likely) > 0, likely).otherwise(best)
-        ranked = F.slice(F.array_sort(let(tried, grown)), 1, width)
+        ranked = F.slice(F.sort_array(let(tried, grown)), 1, width)
         return let(ranked, lambda r: F.filter(r, lambda b: b["cost"] <= F.get(r, F.lit(0))["cost"] + beam_drop))
 
     return F.get(F.aggregate(F.coalesce(log_probs, F.array().cast("array<array<double>>")), start, step), F.lit(0))["prefix"]

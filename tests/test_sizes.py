@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import inkline.plans.pages  # noqa: F401 adds its queries
-from inkline.operators import ngram
+from inkline.operators import beam, ngram
 from inkline.plans.queries import QUERIES
 
 RASTERS = "otsu_ink page_equalized sauvola_ink sauvola_ink_small adaptive_ink ink_distance energy_rows stroke_widths skew_angles line_seams cut_pages page_shrunk page_stretched".split()
@@ -44,3 +45,9 @@ def test_batches_of_whole_texts_are_bounded(spark, sf, name):
     QUERIES[name](spark, sf)
     assert int(spark.conf.get(key)) == 10  # a smaller bound stays
     spark.conf.unset(key)
+
+
+def test_a_beams_weights_are_worked_out_once_a_prefix(spark):
+    found = spark.range(1).select(beam.prefix_beam(F.expr("array(array(0.0D, 0.0D))"), 5))
+    shown = found._jdf.queryExecution().analyzed().expressions().head().sql().lower()
+    assert 0 < shown.count(" exp(") + shown.count("(exp(") <= 10  # 20 where each class that is tried adds them up anew
