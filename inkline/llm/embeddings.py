@@ -1,11 +1,10 @@
-"""Embedding near duplicates: spherical k-means cells, blocked cosine products within them, one vector of each group kept.
-
-Equal vectors are one class with a weight. A class lives in the cell of its nearest centre and also asks
-the cells whose centre is nearly as near, by a bound that follows from the threshold: of two vectors that are linked
-one always asks the other's cell (see ``Cells.ask``), so that no link is lost. Above
-``FAN`` cells the centres are two levels, so that their number grows with the vectors and few of them are
-looked at. Vectors travel as packed fragments of a cell; a cell is cut into blocks of bounded size, those at
-home and those that only ask apart; each pair of blocks is a task, so that a crowded cell is spread.
+"""Embedding near duplicates: spherical k-means cells, blocked cosine products within and between them, one vector of each group kept.
+
+Equal vectors are one class with a weight. A class lives in the cell of its nearest centre. Above ``FAN`` cells
+the centres are two levels, so that their number grows with the vectors and few of them are looked at. Classes are sorted by
+cell and packed into blocks of bounded size, which are written once; pairs of blocks are read from there and
+multiplied where a bound that follows from the threshold leaves anything to find (see ``Cells.ask`` for pairs of blocks,
+``links_of_block`` for rows), so that no link is lost and a vector is never copied to the cells that it is near.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ from .simhash import merge
 
 #: Bytes of vectors that the centres of a width are fitted on at most, vectors aimed at in a cell, cells of a level.
 SAMPLE_BYTES, CELL, FAN = 64 << 20, 800, 256
-#: Vectors and bytes of vectors in a block at most, vectors in a fragment, widths that get centres of their own (the rest have one cell each).
-BLOCK, BLOCK_BYTES, FRAGMENT, WIDTHS = 16_000, 4 << 20, 1000, 64
+#: Vectors and bytes of vectors in a block at most, vectors of it multiplied at once, widths that get centres of their own (the rest have one cell each).
+BLOCK, BLOCK_BYTES, FRAGMENT, WIDTHS = 16_000, 4 << 20, 128, 64
+#: Numbers in a partition of blocks: below the first there are no more partitions than the session shuffles to, none has more than the second.
+FEW_NUMBERS, MOST_NUMBERS = 1 << 17, 1 << 22
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -59,6 +60,13 @@ class Cells:
                     self.sub[c] = spherical_kmeans(mine, max(1, min(len(mine) // 4, -(-k // fan))))
         self.first = np.cumsum([0, *map(len, self.sub)])
 
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row: the nearest centre under the nearest top."""
+        top, home = (x @ self.top.T).argmax(axis=1), np.zeros(len(x), dtype=np.int64)
+        for c in np.unique(top):
+            home[top == c] = self.first[c] + (x[top == c] @ self.sub[c].T).argmax(axis=1)
+        return home
+
     def ask(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The home of each row; and rows and the cells that they live in or ask, in order of rows.
 
@@ -124,83 +132,128 @@ def fit(classes: DataFrame) -> dict[int, Cells]:
     return found
 
 
-FRAGMENTS = "width int, cell int, lives boolean, n long, class binary, weight binary, vector binary, home binary, asked binary, asks binary"
+BLOCKS = "width int, n int, class binary, weight binary, vector binary, home binary, lived array<int>, asked array<int>"
 
 
-def in_fragments(classes: DataFrame, cells: dict[int, Cells], threshold: float) -> DataFrame:
-    """Packed rows of one cell: classes that live there, with the cells that they ask (``asked``, ``asks`` of each), or that ask it, with their homes."""
+def in_blocks(classes: DataFrame, cells: dict[int, Cells], threshold: float) -> DataFrame:
+    """Packed rows of ``BLOCK`` classes at most, in order of their cells, with the cells that they live in and that they ask."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             width = np.diff(batch.column(2).offsets.to_numpy()) if batch.num_rows else np.zeros(0, dtype=int)
-            rows = []
+            cell = np.zeros(len(width), dtype="<i4")
             for w in np.unique(width).tolist():
-                here = batch.filter(pa.array(width == w))
-                ids, weight, raw = here.column(0).to_numpy(), here.column(1).to_numpy(), to_matrix(here.column(2), w)
                 if w in cells:
-                    home, row, cell = cells[w].ask(unit(raw.astype(np.float64)), threshold)
-                else:
-                    home, row, cell = np.zeros(len(ids), dtype=int), np.arange(len(ids)), np.zeros(len(ids), dtype=int)
-                asks = np.bincount(row, minlength=len(ids)).astype("<i4")
-                ends = np.cumsum(asks)
-                lives = home[row] == cell
-                order = np.lexsort((row, home[row], lives, cell))  # those that ask by their homes
-                part = 2 * cell[order] + lives[order]
-                for at in np.split(order, np.flatnonzero(np.diff(part)) + 1):
-                    for k in range(0, len(at), FRAGMENT):
-                        some = row[at[k : k + FRAGMENT]]
-                        own = bool(lives[at[k]])
-                        asked = np.concatenate([cell[ends[r] - asks[r] : ends[r]] for r in some]).astype("<i4") if own else home[:0].astype("<i4")
-                        rows.append((w, int(cell[at[k]]), own, len(some), ids[some].tobytes(), weight[some].tobytes(), raw[some].tobytes(), home[some].astype("<i4").tobytes(), asked.tobytes(), asks[some].tobytes() if own else b""))
-            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 6)
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FRAGMENTS.split(", ")])
-
-    return classes.select("class", "weight", "vector").mapInArrow(run, FRAGMENTS)
-
-
-def links_of_block(frame: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
-    """Of one task (``role`` 0: fragments that ask or come first, 1: those asked, 2: both): each class's linked weight, and stars over the linked."""
-    frame = frame.sort_values("role", kind="stable")  # 0, 2, 1 can't meet: it is 2 alone, or 0 and 1
+                    cell[width == w] = cells[w].home(unit(to_matrix(batch.filter(pa.array(width == w)).column(2), w).astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(width.astype("<i4")), pa.array(cell)], names=["class", "weight", "vector", "width", "cell"])
+
+    def pack(w: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids, weight, raw = whole.column(0).to_numpy(), whole.column(1).to_numpy(), to_matrix(whole.column(2), w)
+        home, cell = np.zeros(len(ids), dtype=int), np.zeros(1, dtype=int)
+        if w in cells:
+            home, _, cell = cells[w].ask(unit(raw.astype(np.float64)), threshold)
+        order = np.argsort(home, kind="stable")
+        row = (w, len(ids), ids[order].tobytes(), weight[order].tobytes(), raw[order].tobytes(), home[order].astype("<i4").tobytes(), np.unique(home), np.unique(cell))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int32())] * 2)
+        return pa.RecordBatch.from_arrays([pa.array([c], type=t) for c, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            width = batch.column(3).to_numpy()
+            for part in np.split(np.arange(len(width)), np.flatnonzero(np.diff(width)) + 1) if len(width) else []:
+                w, at, end = int(width[part[0]]), int(part[0]), int(part[-1]) + 1
+                if held and w != now:
+                    yield pack(now, held)
+                    held = []
+                now, most = w, max(1, min(BLOCK, BLOCK_BYTES // 4 // max(1, w)))
+                while at < end:
+                    some = batch.slice(at, min(end - at, most - sum(b.num_rows for b in held)))
+                    held.append(some)
+                    at += some.num_rows
+                    if sum(b.num_rows for b in held) == most:
+                        yield pack(now, held)
+                        held = []
+        if held:
+            yield pack(now, held)
+
+    kind = classes.schema["vector"].dataType.simpleString()
+    settled = classes.select("class", "weight", "vector").mapInArrow(settle, f"class long, weight long, vector {kind}, width int, cell int")
+    numbers = classes.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
+    parts = max(1, min(shuffle_width(classes.sparkSession), numbers // FEW_NUMBERS), -(-numbers // MOST_NUMBERS))
+    # the class is a key too, so that a crowded cell is spread
+    return settled.repartitionByRange(parts, "width", "cell", "class").sortWithinPartitions("width", "cell").mapInArrow(run, BLOCKS)
+
+
+def pairs_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Each two blocks of one width (``l_``, ``r_``; a block also with itself) of which one asks a cell of the other, read from where they are written: nothing is shuffled."""
+    sides = [blocks.select(*(F.col(c).alias(f"{s}_{c}") for c in blocks.columns)) for s in "lr"]
+    met = F.arrays_overlap("l_lived", "r_asked") | F.arrays_overlap("l_asked", "r_lived")
+    return sides[0].join(sides[1].hint("shuffle_replicate_nl"), (F.col("l_width") == F.col("r_width")) & (F.col("l_block") <= F.col("r_block")) & met)
+
+
+def links_of_block(frame: pd.DataFrame, threshold: float, kind: str, cells: dict[int, Cells]) -> pd.DataFrame:
+    """Of two blocks (or one with itself): each class's linked weight, and stars over the linked.
+
+    Linked x and y are at most d = sqrt(2 - 2 ``threshold``) apart, so for the centres c and c' of their cells (x.c - x.c') + (y.c' - y.c) = (x - y).(c - c')
+    <= d |c - c'|. Rows of two cells are put in order of these summands, and only those whose sum is small enough are multiplied.
+    """
     many = lambda name, kind: np.frombuffer(b"".join(frame[name]), dtype=kind)
-    ids, weight, home = many("class", "<i8"), many("weight", "<i8"), many("home", "<i4")
-    width, cell, sizes, roles = int(frame["width"].iloc[0]), int(frame["cell"].iloc[0]), frame["n"].to_numpy(), frame["role"].to_numpy()
+    ids, weight, home, width, sizes = many("class", "<i8"), many("weight", "<i8").astype(float), many("home", "<i4"), int(frame["width"].iloc[0]), frame["n"].to_numpy()
     x = unit(many("vector", kind).reshape(-1, width).astype(np.float64))
-    role = np.repeat(roles, sizes)
-    left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-    left = left[np.argsort(home[left], kind="stable")]
-    # who of the right asks the lower homes of the left: such pairs count there
-    owner, asked = np.repeat(np.arange(len(ids)), many_asks(frame, sizes)), many("asked", "<i4")
+    centres = np.concatenate(cells[width].sub) if width in cells else np.zeros((1, width))
+    alone = len(sizes) == 1
+    l_rows, r_rows = slice(0, int(sizes[0])), slice(0 if alone else int(sizes[0]), len(ids))
+    (l_cells, l_at), (r_cells, r_at) = (np.unique(home[rows], return_index=True) for rows in (l_rows, r_rows))
+    a, b = centres[l_cells], centres[r_cells]
+    own = np.einsum("ij,ij->i", x, centres[home])
+    l_away, r_away = own[l_rows, None] - x[l_rows] @ b.T, own[r_rows, None] - x[r_rows] @ a.T
+    d = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    most = d * np.sqrt(np.maximum(0.0, (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * a @ b.T) + 1e-12) + 1e-9
+    met = np.minimum.reduceat(l_away, l_at, axis=0) + np.minimum.reduceat(r_away, r_at, axis=0).T <= most
+    l_ends, r_ends = np.append(l_at[1:], len(l_away)), np.append(r_at[1:], len(r_away))
     gained, label = np.zeros(len(ids)), np.arange(len(ids))
-    y, heavy = x[right], weight[right].astype(float)
-    for k in range(0, len(left), 512):
-        rows = left[k : k + 512]
-        near = x[rows] @ y.T >= threshold
-        if not near.any():
-            continue
-        near &= ids[rows][:, None] != ids[right][None, :]
-        if role[rows[0]] == 2:
-            near &= rows[:, None] < right[None, :]  # each pair once
-        for h in np.unique(home[rows]):
-            if h < cell:
-                there = np.zeros(len(ids), dtype=bool)
-                there[owner[asked == h]] = True
-                near[np.ix_(home[rows] == h, there[right])] = False
-        gained[rows] += near @ heavy
-        gained[right] += weight[rows].astype(float) @ near
-        for s in range(0, len(rows), 64):
-            live = near[s : s + 64] & (label[rows[s : s + 64]][:, None] != label[right][None, :])
+    for m, k in np.argwhere(np.triu(met) if alone else met):
+        p, q, bound = l_away[l_at[m] : l_ends[m], k], r_away[r_at[k] : r_ends[k], m], most[m, k]
+        left, right = np.flatnonzero(p <= bound - q.min()), np.flatnonzero(q <= bound - p.min())
+        left, right = left[np.argsort(p[left])], right[np.argsort(q[right])]
+        p, q, left, right = p[left], q[right], left + l_at[m], right + r_rows.start + r_at[k]
+        y = x[right]
+        for s in range(0, len(left), FRAGMENT):
+            rows = left[s : s + FRAGMENT]
+            cols = right[: np.searchsorted(q, bound - p[s], side="right")]
+            near = x[rows] @ y[: len(cols)].T >= threshold
+            if alone and m == k:
+                near &= rows[:, None] < cols[None, :]  # each pair once
+            if not near.any():
+                continue
+            gained[rows] += near @ weight[cols]
+            gained[cols] += weight[rows] @ near
+            live = near & (label[rows][:, None] != label[cols][None, :])
             if live.any():
                 i, j = np.nonzero(live)
-                label = merge(label, rows[s : s + 64][i], right[j])
+                label = merge(label, rows[i], cols[j])
     told = pd.DataFrame({"a": ids, "b": ids, "n": gained.astype(np.int64)})[gained > 0]
     joined = label != np.arange(len(ids))
     return pd.concat([told, pd.DataFrame({"a": ids[joined], "b": ids[label[joined]], "n": 0})])
 
 
-def many_asks(frame: pd.DataFrame, sizes: np.ndarray) -> np.ndarray:
-    """How many cells each row asks; none for rows that don't live here."""
-    return np.concatenate([np.frombuffer(a, dtype="<i4") if len(a) else np.zeros(n, dtype="<i4") for a, n in zip(frame["asks"], sizes, strict=True)])
+def links(blocks: DataFrame, cells: dict[int, Cells], threshold: float, kind: str) -> DataFrame:
+    """``a``, ``b``, ``n``: the weight linked to class ``a`` = ``b`` in two blocks, or 0 where classes ``a`` and ``b`` are linked directly or by others."""
+    fields = ("width", "n", "class", "weight", "vector", "home")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                sides = "l" if row["l_block"] == row["r_block"] else "lr"
+                found = links_of_block(pd.DataFrame([{f: row[f"{s}_{f}"] for f in fields} for s in sides]), threshold, kind, cells)
+                if len(found):
+                    yield pa.RecordBatch.from_pandas(found.astype("int64"), preserve_index=False)
+
+    pairs = pairs_of_blocks(blocks).select("l_block", "r_block", *(f"{s}_{f}" for s in "lr" for f in fields))
+    return pairs.mapInArrow(run, "a long, b long, n long")
 
 
 def same_vector(vector: str) -> Column:
@@ -223,23 +276,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = good.groupBy("same").agg(F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("weight"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
     cells = fit(classes)
-    fragments = written(in_fragments(classes, cells, threshold), "vector-cells")
-    lives = F.col("lives")
-    size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES / 4) / F.greatest("width", F.lit(1)))))
-    blocks = lambda which: F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / F.first(size)).cast("int")
-    crowd = written(fragments.groupBy("width", "cell").agg(blocks(lives).alias("blocks"), blocks(~lives).alias("asking")).where("blocks > 0"), "vector-crowd")
-    few = crowd.count() <= BROADCAST_ROWS  # cells, not vectors: fragments needn't move for them
-    dealt = fragments.join(F.broadcast(crowd) if few else crowd, ["width", "cell"]).withColumn("block", F.pmod(F.xxhash64("class"), F.when(lives, F.col("blocks")).otherwise(F.col("asking"))).cast("int"))
-    numbers = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda j: j < F.col(n))
-    # one at home meets its own block, every other and every block that asks (numbered below zero); one that asks meets every block at home
-    at_home = F.transform(numbers("blocks"), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("role")))
-    answers = F.transform(numbers("asking"), lambda j: F.struct((-1 - j).alias("low"), F.col("block").alias("high"), F.lit(1).alias("role")))
-    asks = F.transform(numbers("blocks"), lambda j: F.struct((-1 - F.col("block")).alias("low"), j.alias("high"), F.lit(0).alias("role")))
-    tasks = dealt.withColumn("meets", F.explode(F.when(lives, F.concat(at_home, answers)).otherwise(asks))).select("meets.*", *fragments.columns)
     kind = "<f4" if classes.schema["vector"].dataType.elementType.typeName() == "float" else "<f8"
-    n_cells = sum(int(c.first[-1]) for c in cells.values())
-    found = tasks.repartition(max(shuffle_width(spark), n_cells // 4), "width", "cell", "low", "high").groupBy("width", "cell", "low", "high")
-    found = written(found.applyInPandas(lambda frame: links_of_block(frame, threshold, kind), "a long, b long, n long"), "vector-links")
+    blocks = written(in_blocks(classes, cells, threshold).withColumn("block", F.monotonically_increasing_id()), "vector-blocks")
+    found = written(links(blocks, cells, threshold, kind), "vector-links")
     linked = found.where("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
     roots = connected_components(found.where("n = 0").select("a", "b"), "vector-components").withColumnRenamed("node", "class")
     per_class = classes.drop("vector").join(linked, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))

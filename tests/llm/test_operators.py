@@ -364,6 +364,20 @@ def test_pairs_between_two_clusters_are_found(spark):
         assert found == brute_force_links(x, threshold)
 
 
+def test_a_vector_is_packed_once(spark, monkeypatch):
+    """Vectors without clusters ask many cells: none is copied there, and pairs of blocks are read where they are written."""
+    for name, value in (("CELL", 20), ("BLOCK", 50)):
+        monkeypatch.setattr(embeddings, name, value)
+    x = np.random.default_rng(13).normal(size=(600, 16)).astype(np.float32)
+    classes = spark.createDataFrame([(k, 1, r.tolist()) for k, r in enumerate(x)], "class long, weight long, vector array<float>")
+    cells = embeddings.fit(classes)
+    assert len(cells[16].ask(embeddings.unit(x.astype(float)), 0.95)[1]) > 1200
+    blocks = embeddings.written(embeddings.in_blocks(classes, cells, 0.95).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    assert blocks.agg(F.sum("n"), F.max("n")).first() == (600, 50)
+    plan = embeddings.links(blocks, cells, 0.95, "<f4")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 @pytest.mark.parametrize("size", [16, 64])
 def test_best_two_fit(size):
     rng = np.random.default_rng(6)
