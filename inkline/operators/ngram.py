@@ -35,18 +35,20 @@ def grams(words: Column, order: int) -> Column:
 
 
 def ngram_counts(texts: DataFrame, order: int, prune: int = 0, text: str = "text") -> DataFrame:
-    """``context`` (blank-joined), ``token``, ``n``: counts above ``prune``; combined before the shuffle.
+    """``context`` (blank-joined), ``token``, ``n``: counts above ``prune``.
 
-    Words of one and two are counted as they are, longer runs as arrays; only what is left of them is joined.
+    Single words are combined before the shuffle. About every second pair of neighbours is a new one, so that a table of them outgrows a task's memory
+    and is sorted on disk, for few rows saved: longer runs are dealt to tasks first and counted there, pairs as one string, as no word holds a blank.
     """
-    words = tokens(text)
+    words, parts = tokens(text), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that they aren't merged into few large ones
     if order == 1:
         counted = texts.select(F.lit("").alias("context"), F.explode(padded(words)).alias("token")).groupBy("context", "token").agg(F.count("*").alias("n"))
     elif order == 2:
-        pairs = let(padded(words), lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.struct(a.alias("context"), b.alias("token"))))
-        counted = texts.select(F.explode(pairs).alias("g")).groupBy("g.context", "g.token").agg(F.count("*").alias("n"))
+        pairs = F.arrays_zip(F.concat(F.array(F.lit(START)), F.col("w")).alias("context"), F.concat(F.col("w"), F.array(F.lit(END))).alias("token"))
+        each = texts.select(words.alias("w")).select(F.explode(pairs).alias("g")).select(F.concat_ws(" ", "g.context", "g.token").alias("g"))
+        counted = each.repartition(parts, "g").groupBy("g").agg(F.count("*").alias("n")).select(F.substring_index("g", " ", 1).alias("context"), F.substring_index("g", " ", -1).alias("token"), "n")
     else:
-        each = texts.select(F.explode(grams(words, order)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+        each = texts.select(F.explode(grams(words, order)).alias("g")).repartition(parts, "g").groupBy("g").agg(F.count("*").alias("n"))
         counted = each.select(F.array_join(F.slice("g", 1, order - 1), " ").alias("context"), F.get("g", F.lit(order - 1)).alias("token"), "n")
     return counted.where(F.col("n") > prune) if prune else counted
 

@@ -30,6 +30,17 @@ def test_only_the_longest_ngrams_are_counted_in_texts(spark, monkeypatch):
     assert asked == [3] and found == {("<s>", "a"), ("<s>", "b"), ("b", "</s>"), ("b", "a"), ("a", "</s>")}  # the beginning has no probability
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_runs_of_words_are_dealt_before_they_are_counted(spark, order):
+    """No task collects the runs of its own texts: nearly all of them are new, and the table outgrows its memory."""
+    texts = spark.createDataFrame([("a b\u3000a  b",), ("",), (None,), (" <s> ",), ("é,é a b",)], "text string")
+    found = ngram.ngram_counts(texts, order)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" in plan and not re.search(r"Exchange.*HashAggregate", plan, re.S)
+    runs = [tuple(w[k : k + order]) for t in ("a b a b", "", "<s>", "é,é a b") for w in [["<s>", *t.split(), "</s>"]] for k in range(len(w) - order + 1)]
+    assert {(*r.context.split(" "), r.token): r.n for r in found.collect()} == {r: runs.count(r) for r in runs}
+
+
 def test_a_bucket_is_one_file(spark):
     model = spark.range(0, 1000, 1, 6).selectExpr("'' AS context", "CAST(id AS string) AS token", "0.5D AS p", "0.1D AS backoff")
     assert len(ngram.model_table(model, 4).inputFiles()) == 4
