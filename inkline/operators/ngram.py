@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.text import strip, tokens
 from ..sources.scratch import bucketed, written
+from . import packed
+from .packed import END, START
 
-START, END = "<s>", "</s>"
 #: Shares of the n-grams asked for from which one is hot: there are as many at most, and they are broadcast.
 HOT_SHARE = 10_000
 
@@ -34,12 +37,14 @@ def grams(words: Column, order: int) -> Column:
     return let(padded(words), runs)
 
 
-def ngram_counts(texts: DataFrame, order: int, prune: int = 0, text: str = "text") -> DataFrame:
-    """``context`` (blank-joined), ``token``, ``n``: counts above ``prune``.
+def ngram_counts(texts: DataFrame, order: int, prune: int = 0, text: str = "text", buckets: Sequence[int] | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """``context`` (blank-joined), ``token``, ``n``: counts above ``prune``. With ``buckets`` all counts, packed (``packed.counted``).
 
     Single words are combined before the shuffle. About every second pair of neighbours is a new one, so that a table of them outgrows a task's memory
     and is sorted on disk, for few rows saved: longer runs are dealt to tasks first and counted there, pairs as one string, as no word holds a blank.
     """
+    if buckets is not None:
+        return packed.counted(texts, order, buckets, text, asked)
     words, parts = tokens(text), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that they aren't merged into few large ones
     if order == 1:
         counted = texts.select(F.lit("").alias("context"), F.explode(padded(words)).alias("token")).groupBy("context", "token").agg(F.count("*").alias("n"))
@@ -73,25 +78,7 @@ def kneser_ney_bigrams(texts: DataFrame, discount: float = 0.75, text: str = "te
     return pairs.join(after, "context").join(before, "token").crossJoin(F.broadcast(whole)).select("context", "token", p.alias("p"))
 
 
-def without_first(context: str) -> Column:
-    """Blank-joined words but the first."""
-    at = F.instr(context, " ")
-    return F.when(at > 0, F.col(context).substr(at + 1, F.length(context))).otherwise(F.lit(""))
-
-
-def one_shorter(counts: DataFrame, texts: DataFrame, length: int, text: str) -> DataFrame:
-    """``context``, ``token``, ``n`` of all n-grams of ``length`` from those one longer: how many different words stand before the n-gram.
-
-    One that no word stands before begins texts: it has their number.
-    """
-    ends = counts.select(without_first("context").alias("context"), "token", F.lit(1).cast("long").alias("left"), F.lit(0).cast("long").alias("first"))
-    heads = texts.select(F.slice(padded(tokens(text)), 1, length).alias("g")).where(F.size("g") == length)
-    begun = heads.select(F.array_join(F.slice("g", 1, length - 1), " ").alias("context"), F.get("g", F.lit(length - 1)).alias("token"), F.lit(0).cast("long").alias("left"), F.lit(1).cast("long").alias("first"))
-    both = ends.unionAll(begun).groupBy("context", "token").agg(F.sum("left").alias("left"), F.sum("first").alias("first"))
-    return both.select("context", "token", F.when(F.col("left") > 0, F.col("left")).otherwise(F.col("first")).alias("n"))
-
-
-def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text: str = "text") -> DataFrame:
+def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text: str = "text", asked: DataFrame | None = None) -> DataFrame:
     """All orders up to ``order``: ``length``, ``context``, ``token``, ``p`` and ``backoff`` (of the n-gram as a context; null for the longest).
 
     Lower orders count distinct words to the left instead of occurrences; each order has three discounts
@@ -99,37 +86,18 @@ def modified_kneser_ney(texts: DataFrame, order: int = 4, prune: int = 0, text:
     beginning is a context only: its row has the probability 0.
     ``prune``: n-grams of any order with no higher a count are left out, and those whose shorter end is.
     Only the longest n-grams are counted in the texts. Those of each length below follow from the ones a word longer: all that don't begin a
-    text end one of these. Each length and each level is worked out once, as a written table.
+    text end one of these. N-grams stay packed until their rows are made (``packed``).
+    ``asked`` (texts in its column ``text``): n-grams that none of these texts holds may be left out.
     """
-    shorter, out = None, None
-    gram = F.when(F.col("context") == "", F.col("token")).otherwise(F.concat_ws(" ", "context", "token"))
-    weights_of = {order: written(ngram_counts(texts, order, text=text), f"weights-{order}")}
-    for k in range(order - 1, 0, -1):
-        weights_of[k] = written(one_shorter(weights_of[k + 1], texts, k, text), f"weights-{k}")
-    for k in range(1, order + 1):
-        counts = weights_of[k]
-        if k == 1:
-            counts = counts.where(F.col("token") != START)
-        d = discounts(counts)
-        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        taken = counts.crossJoin(F.broadcast(d)).withColumn("cut", cut)
-        total = taken.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("given"), F.count("*").alias("v"))
-        own, rest = (F.col("n") - F.col("cut")) / F.col("total"), F.col("given") / F.col("total")
-        kept = taken.where(F.col("n") > prune)
-        if k == 1:  # one context, so one row of totals
-            level = kept.crossJoin(F.broadcast(total.drop("context"))).select("context", "token", (own + rest / F.col("v")).alias("p"))
-        else:
-            short = without_first("context")
-            lower = shorter.select(F.col("context").alias("rest"), "token", F.col("p").alias("below"))
-            level = kept.join(total.drop("v"), "context").withColumn("rest", short).join(lower, ["rest", "token"]).select("context", "token", (own + rest * F.col("below")).alias("p"))
-            weights = total.select(F.col("context").alias("gram"), rest.alias("backoff"))
-            if k == 2:
-                shorter = shorter.unionAll(shorter.sparkSession.range(1).select(F.lit(""), F.lit(START), F.lit(0.0)))
-            told = shorter.withColumn("gram", gram).join(weights, "gram", "left").select(F.lit(k - 1).alias("length"), "context", "token", "p", "backoff")
-            out = told if k == 2 else out.unionByName(told)
-        shorter = written(level, f"level-{k}")
-    last = shorter.select(F.lit(order).alias("length"), "context", "token", "p", F.lit(None).cast("double").alias("backoff"))
-    return last if order == 1 else out.unionByName(last)
+    if order > 1:
+        buckets = packed.labels_of(texts, text)
+        return packed.model(ngram_counts(texts, order, text=text, buckets=buckets, asked=asked), order, len(buckets), prune, asked is not None)
+    counts = written(ngram_counts(texts, 1, text=text), "weights-1").where(F.col("token") != START)
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    taken = counts.crossJoin(F.broadcast(discounts(counts))).withColumn("cut", cut)
+    total = taken.agg(F.sum("n").alias("total"), F.sum("cut").alias("given"), F.count("*").alias("v"))
+    p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("given") / F.col("total") / F.col("v")
+    return taken.where(F.col("n") > prune).crossJoin(F.broadcast(total)).select(F.lit(1).alias("length"), "context", "token", p.alias("p"), F.lit(None).cast("double").alias("backoff"))
 
 
 def model_table(model: DataFrame, buckets: int) -> DataFrame:

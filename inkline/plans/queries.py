@@ -161,11 +161,16 @@ def tone_placement(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.place_tones("text").alias("text"))
 
 
-def composed(spark, sf) -> DataFrame:
-    """Documents in NFC. Texts can be long: batches for Python are bounded, so that its memory doesn't grow with the rows of a task."""
+def short_batches(spark: SparkSession) -> None:
+    """Texts can be long: batches for Python are bounded, so that its memory doesn't grow with the rows of a task."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(key))
     spark.conf.set(key, str(min(held, BATCH) if held > 0 else BATCH))
+
+
+def composed(spark, sf) -> DataFrame:
+    """Documents in NFC."""
+    short_batches(spark)
     return text.compose(table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
@@ -317,6 +322,7 @@ def kn_probs(spark, sf):
 
 @query()
 def modified_kn(spark, sf):
+    short_batches(spark)
     return ngram.modified_kneser_ney(ngram.corpus(table(spark, sf, "documents")), 4).select("length", "context", "token", F.round("p", 9).alias("p"), F.round("backoff", 9).alias("backoff"))
 
 

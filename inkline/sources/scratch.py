@@ -27,13 +27,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, dealt: bool = False) -> DataFrame:
     """``df`` written and bucketed by ``key``: joins on it with as many partitions don't shuffle it. The table's name is its own.
 
-    Rows are dealt by bucket first, so that a bucket is one file: else each task writes a file for each bucket, and the driver lists and commits their product.
+    Rows are dealt by bucket first (unless ``dealt`` says that they are), so that a bucket is one file: else each task writes a file for each bucket, and the driver lists and commits their product.
     """
     spark = df.sparkSession
     path = shared(spark, name)
     table = f"{re.sub(r'[^a-z]', '_', name)}_{path[-32:]}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)

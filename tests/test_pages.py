@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkline.functions import ctc, pixels
-from inkline.operators import beam, ngram, profile, raster
+from inkline.operators import beam, ngram, packed, profile, raster
 
 RASTER = "page long, y int, x int, v int"
 
@@ -352,6 +352,32 @@ def test_model_and_its_lookups(spark, order, monkeypatch):
             assert math.isclose(r.perplexity, 10 ** (-total / (len(w) - 1 - unknown)))
 
 
+@pytest.mark.parametrize(("order", "prune"), [(2, 0), (3, 0), (4, 0), (5, 0), (3, 1)])
+def test_a_model_of_many_blocks_and_buckets(spark, order, prune, monkeypatch):
+    monkeypatch.setattr(packed, "BLOCK_TOKENS", 90)
+    monkeypatch.setattr(packed, "BUCKET_BYTES", 300)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("the of é 的 d e f g </s> #".split(), weights=[20, 6, 4, 3, 2, 1, 1, 1, 1, 1], k=rng.randint(1, 30))) for _ in range(150)]
+    given = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    assert len(packed.labels_of(given, "text")) > 10
+    p, backoff = plain_model(texts, order)
+    rows = {(*r.context.split(), r.token): r for r in ngram.modified_kneser_ney(given, order, prune).collect()}
+    if not prune:
+        assert set(rows) == {*p, ("<s>",)}
+    for g, r in rows.items():
+        assert r.length == len(g) and math.isclose(r.p, p.get(g, 0.0), abs_tol=1e-12) and (r.backoff is None or math.isclose(r.backoff, backoff[g]))
+        assert len(g) == order or (r.backoff is None) == (g not in backoff)
+    few = spark.createDataFrame([("the of zz d",), (None,), ("é the the </s>",)], "text string")
+    asked = {tuple(w[i : i + k]) for t in ("the of zz d", "", "é the the </s>") for w in [["<s>", *t.split(), "</s>"]] for k in range(1, order + 1) for i in range(len(w) - k + 1)}
+    found = ngram.modified_kneser_ney(given, order, prune, asked=few).collect()
+    assert {(*r.context.split(), r.token): r for r in found} == {g: r for g, r in rows.items() if g in asked} and len(found) < len(rows)
+
+
+def test_a_model_of_nothing(spark):
+    found = ngram.modified_kneser_ney(spark.createDataFrame([], "text string"), 3).collect()
+    assert [tuple(r) for r in found] == [(1, "", "<s>", 0.0, None)]
+
+
 def test_the_model_is_not_shuffled_for_a_lookup(spark):
     texts = spark.createDataFrame([("a b a c",), ("b c a",)], "text string")
     table = ngram.model_table(ngram.modified_kneser_ney(texts, 2), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import inkline.plans.pages  # noqa: F401 adds its queries
-from inkline.operators import beam, ngram
+from inkline.operators import beam, ngram, packed
 from inkline.plans.queries import QUERIES
 
 RASTERS = "otsu_ink page_equalized sauvola_ink sauvola_ink_small adaptive_ink ink_distance energy_rows stroke_widths skew_angles line_seams cut_pages page_shrunk page_stretched".split()
@@ -30,6 +30,22 @@ def test_only_the_longest_ngrams_are_counted_in_texts(spark, monkeypatch):
     assert asked == [3] and found == {("<s>", "a"), ("<s>", "b"), ("b", "</s>"), ("b", "a"), ("a", "</s>")}  # the beginning has no probability
 
 
+def test_a_models_rows_are_not_shuffled(spark, monkeypatch):
+    """N-grams go between tasks packed, some bytes a token, and are rows of words only where they are returned."""
+    monkeypatch.setattr(packed, "BLOCK_TOKENS", 2000)
+    texts = spark.range(3000).selectExpr("concat_ws(' ', transform(sequence(1, 20), k -> concat('w', hash(id, k) % 500))) AS text").coalesce(2).cache()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ngram.modified_kneser_ney(texts, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\((context|token|gram|rest)#", plan) and "hashpartitioning(bucket#" in plan
+    kept = ngram.ngram_counts(texts, 4, buckets=packed.labels_of(texts, "text"))
+    size = kept.selectExpr("sum(length(words)) + sum(aggregate(windows, 0L, (a, w) -> a + length(w.grams) + length(w.counts)))").first()[0]
+    assert kept.where("size(windows) <> 2").count() == 0 and size < 8 * 21 * 3000  # 63,000 windows, nearly all of them different
+    texts.unpersist()
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_runs_of_words_are_dealt_before_they_are_counted(spark, order):
     """No task collects the runs of its own texts: nearly all of them are new, and the table outgrows its memory."""
