@@ -112,7 +112,7 @@ def score(texts: DataFrame, table: DataFrame, order: int, *ids: str, text: str =
     A token's probability is that of the longest n-gram of the model that ends with it, times the backoff weights of the longer
     contexts; tokens that the model doesn't know are counted and left out, as in the perplexity. Null is empty.
     Each n-gram is looked up once, whatever the number of texts that ask for it; what is found is joined to the tokens that ask, n-grams
-    that more than one in ``HOT_SHARE`` asks for by broadcast.
+    that more than one in ``HOT_SHARE`` asks for by broadcast. Nothing else is: the sizes that Spark expects are those of the packed texts, not of all their n-grams.
     """
     rows = written(texts.select(F.monotonically_increasing_id().alias("_row"), *ids, tokens(F.coalesce(text, F.lit(""))).alias("words")), "scored-rows")
 
@@ -123,17 +123,17 @@ def score(texts: DataFrame, table: DataFrame, order: int, *ids: str, text: str =
         return F.flatten(F.transform(at, here))
 
     asked = rows.select("_row", F.explode(let(F.concat(F.array(F.lit(START)), F.col("words"), F.array(F.lit(END))), ends)).alias("a")).select("_row", "a.*")
-    found = written(asked.groupBy("gram").agg(F.count("*").alias("n")).join(table, "gram"), "found-grams")
+    found = written(asked.groupBy("gram").agg(F.count("*").alias("n")).hint("merge").join(table, "gram"), "found-grams")
     most = F.broadcast(found.agg((F.sum("n") / HOT_SHARE).alias("most")))
     told = found.crossJoin(most).withColumn("hot", F.col("n") > F.col("most")).select("gram", "p", "backoff", "hot")
     hot, cold = (told.where(which).drop("hot") for which in ("hot", "NOT hot"))
     common = F.broadcast(hot)
-    each = asked.join(common, "gram").unionByName(asked.join(common.select("gram"), "gram", "left_anti").join(cold, "gram"))
+    each = asked.join(common, "gram").unionByName(asked.join(common.select("gram"), "gram", "left_anti").join(cold.hint("merge"), "gram"))
     per = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     places = each.groupBy("_row", "pos").agg(*(per("p", k).alias(f"p{k}") for k in range(1, order + 1)), *(per("backoff", k).alias(f"b{k}") for k in range(1, order)))
     # places of which nothing is known have no row: the window must not take another for the one before
     wanted = rows.select("_row", F.explode(F.sequence(F.lit(0), F.size("words") + 1)).alias("pos"))
-    lined = wanted.join(places, ["_row", "pos"], "left")
+    lined = wanted.join(places.hint("merge"), ["_row", "pos"], "left")
     before = Window.partitionBy("_row").orderBy("pos")
     lined = lined.withColumns({f"b{k}": F.coalesce(F.log10(F.lag(f"b{k}").over(before)), F.lit(0.0)) for k in range(1, order)})
     value = F.lit(None).cast("double")
@@ -142,7 +142,7 @@ def score(texts: DataFrame, table: DataFrame, order: int, *ids: str, text: str =
         value = F.when(F.col(f"p{k}").isNotNull(), F.log10(f"p{k}") + lost).otherwise(value)
     sums = lined.where("pos > 0").withColumn("v", value).groupBy("_row").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("v").isNull()).alias("n_unknown"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("log10_p"))
     known = F.col("n_tokens") - F.col("n_unknown")
-    return rows.drop("words").join(sums, "_row").select(*ids, "n_tokens", "n_unknown", "log10_p", F.when(known > 0, F.pow(F.lit(10.0), -F.col("log10_p") / known)).alias("perplexity"))
+    return rows.drop("words").hint("merge").join(sums, "_row").select(*ids, "n_tokens", "n_unknown", "log10_p", F.when(known > 0, F.pow(F.lit(10.0), -F.col("log10_p") / known)).alias("perplexity"))
 
 
 def vocabulary(texts: DataFrame, lexicon: DataFrame | None = None, text: str = "text") -> DataFrame:

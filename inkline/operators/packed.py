@@ -232,7 +232,7 @@ def contexts_of(held: dict[int, dict[str, np.ndarray]], grams: np.ndarray, size:
         yield k, context, at[first]
 
 
-def merged_rows(batches: Iterator[pa.RecordBatch], order: int, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+def merged_rows(batches: Iterator[pa.RecordBatch], order: int, labels: np.ndarray, only_asked: bool) -> Iterator[pa.RecordBatch]:
     window = pa.struct([("grams", pa.binary()), ("counts", pa.binary())])
     ask = pa.struct([("part", pa.int32()), ("words", pa.binary()), ("before", pa.binary())])
     context = pa.struct([("home", pa.int32()), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("grams", pa.binary()), ("sums", pa.binary())])
@@ -242,6 +242,7 @@ def merged_rows(batches: Iterator[pa.RecordBatch], order: int, labels: np.ndarra
         rows.clear()
         windows = [{"grams": shrink(g.ravel()), "counts": shrink(c)} for g, c in found.values()]
         grams, counts = found.pop(GRAMS)
+        wanted = found.pop(ASKED)[0] if only_asked else None
         found.clear()
         there, part = asked_words(words, grams, len(labels))
         real = grams[-1] != 0
@@ -251,11 +252,22 @@ def merged_rows(batches: Iterator[pa.RecordBatch], order: int, labels: np.ndarra
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         asks = [{"part": int(part[a]), "words": shrink_words(words[there[a:b]]), "before": shrink(before[there[a:b]])} for a, b in zip(edges[:-1], edges[1:], strict=True)]
         numbers = [x for k in range(2, order + 1) for x in seen(held[k]["n"])]
-        yield one(schema, bucket=bucket, words=shrink_words(words), windows=windows, seen=numbers, asks=asks, contexts=list(sent_contexts(words, grams, held, labels)))
+        yield one(schema, bucket=bucket, words=shrink_words(words), windows=windows, seen=numbers, asks=asks, contexts=list(sent_contexts(words, grams, held, labels, wanted)))
 
 
-def sent_contexts(words: np.ndarray, grams: np.ndarray, held: dict[int, dict[str, np.ndarray]], labels: np.ndarray) -> Iterator[dict]:
-    """Contexts of two words and more, to where they have their rows as n-grams: the total, and how many n-grams count one, two and more."""
+def among(some: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
+    """Which columns of ``some`` are columns of ``others``."""
+    order, new = in_order(list(np.concatenate([some, others], axis=1)), bits)
+    run = np.empty(len(order), np.int64)
+    run[order] = np.cumsum(new)
+    return np.isin(run[: some.shape[1]], run[some.shape[1] :])
+
+
+def sent_contexts(words: np.ndarray, grams: np.ndarray, held: dict[int, dict[str, np.ndarray]], labels: np.ndarray, wanted: np.ndarray | None) -> Iterator[dict]:
+    """Contexts of two words and more, to where they have their rows as n-grams: the total, and how many n-grams count one, two and more.
+
+    Of contexts asked for (all are by windows but those that end texts) only, if ``wanted`` has the windows.
+    """
     order = len(grams)
     sent, rank = defaultdict(list), np.empty(len(words), np.int32)
     rank[alphabetical(words)] = np.arange(len(words))
@@ -265,6 +277,9 @@ def sent_contexts(words: np.ndarray, grams: np.ndarray, held: dict[int, dict[str
         n = held[k]["n"]
         sums = np.stack([np.bincount(context, weights=w, minlength=len(first)).astype(np.int32) for w in (n, n == 1, n == 2, n > 2)])
         own = grams[order - k : order - 1, first]
+        if wanted is not None:
+            some = np.flatnonzero(among(own, wanted[order - k : -1], len(words).bit_length()) | (words[own[-1]] == END))
+            own, sums = own[:, some], sums[:, some]
         known, at = np.unique(own[-2], return_inverse=True)
         home = homes(words[known], len(labels))[at]
         by_home = np.argsort(home, kind="stable")
@@ -385,7 +400,7 @@ def labels_of(texts: DataFrame, text: str) -> np.ndarray:
 
 def counted(texts: DataFrame, order: int, buckets: Sequence[int], text: str = "text", asked: DataFrame | None = None) -> DataFrame:
     """A row a bucket: its words, windows and their counts (see the module); of the texts of ``asked`` only which there are."""
-    spark, labels = texts.sparkSession, np.asarray(buckets)
+    spark, labels, only_asked = texts.sparkSession, np.asarray(buckets), asked is not None
     none = spark.range(1).select(F.lit(None).cast("array<string>").alias("words"))  # names the marks where there are no texts
 
     def cut(what: int):
@@ -405,7 +420,7 @@ def counted(texts: DataFrame, order: int, buckets: Sequence[int], text: str = "t
     sent = texts.select(tokens(text).alias("words")).unionAll(none).mapInArrow(cut(GRAMS), PIECE)
     if asked is not None:
         sent = sent.unionAll(asked.select(tokens(F.coalesce("text", F.lit(""))).alias("words")).mapInArrow(cut(ASKED), PIECE))
-    dealt = sent.repartition(len(labels), "bucket").mapInArrow(lambda batches: merged_rows(batches, order, labels), MERGED)
+    dealt = sent.repartition(len(labels), "bucket").mapInArrow(lambda batches: merged_rows(batches, order, labels, only_asked), MERGED)
     return bucketed(dealt, "packed-grams", "bucket", len(labels), dealt=True)
 
 

@@ -62,6 +62,17 @@ def test_a_bucket_is_one_file(spark):
     assert len(ngram.model_table(model, 4).inputFiles()) == 4
 
 
+def test_a_lookup_broadcasts_hot_ngrams_only(spark, sf, monkeypatch):
+    """Spark takes a table of texts for small that has a large table of n-grams: it must not go through the driver."""
+    plans, write = {}, ngram.written
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ngram, "written", lambda df, name: plans.update({name: shown(df)}) or write(df, name))
+    model = spark.range(1000).selectExpr("'' AS context", "CAST(id AS string) AS token", "0.5D AS p", "0.1D AS backoff")
+    found = ngram.score(spark.read.parquet(f"{sf}/conversations.parquet"), ngram.model_table(model, 4), 3, "conv_id", "turn")
+    assert "BroadcastHashJoin" not in plans["found-grams"] and "SortMergeJoin" in plans["found-grams"]
+    assert not re.search(r"BroadcastHashJoin \[_row#|BroadcastHashJoin[^\n]*BuildLeft", shown(found)) and shown(found).count("BroadcastHashJoin") == 2
+
+
 @pytest.mark.parametrize("name", ["nfc", "normalize_transcripts", "normalize_deployed"])
 def test_batches_of_whole_texts_are_bounded(spark, sf, name):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
