@@ -24,12 +24,14 @@ def prefix_beam(log_probs: Column, width: int = 100, gains: Column | None = None
     equals those with the smaller prefix, and none ``beam_drop`` below the best. ``gains``: what a class earns after
     another (``gains[last][class]``, row 0 for the beginning), see ``language_gains``. Null and empty scores give no classes.
     """
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("prefix"), F.lit(0.0).alias("blank"), F.lit(NEVER).alias("other"), F.lit(0.0).alias("gain")))
+    none = F.array().cast("array<int>")
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), none.alias("prefix"), none.alias("head"), F.lit(0.0).alias("blank"), F.lit(NEVER).alias("other"), F.lit(0.0).alias("gain")))
     last = lambda p: F.coalesce(F.get(p, F.size(p) - 1), F.lit(0))
     gain = lambda p, c: F.lit(0.0) if gains is None else F.coalesce(F.get(F.get(gains, last(p)), c), F.lit(0.0))
 
-    def entry(prefix: Column, blank: Column, other: Column, weight: Column, earned: Column) -> Column:
-        return F.struct((-(weight + earned)).alias("cost"), prefix.alias("prefix"), blank.alias("blank"), other.alias("other"), earned.alias("gain"))
+    def entry(prefix: Column, head: Column, blank: Column, other: Column, weight: Column, earned: Column) -> Column:
+        """``head``: the prefix without its last class, so that looking for relatives cuts nothing."""
+        return F.struct((-(weight + earned)).alias("cost"), prefix.alias("prefix"), head.alias("head"), blank.alias("blank"), other.alias("other"), earned.alias("gain"))
 
     def longer(b: Column, c: Column, row: Column, total: Column) -> Column:
         """The weight that ``b`` (of weight ``total``) brings to itself and ``c``: after an equal class only through a blank."""
@@ -43,20 +45,19 @@ def prefix_beam(log_probs: Column, width: int = 100, gains: Column | None = None
         def grown(tried: Column) -> Column:
             def stays(b: Column) -> Column:
                 own = last(b["prefix"])
-                shorter = F.slice(b["prefix"], F.lit(1), F.greatest(F.size(b["prefix"]) - 1, F.lit(0)))
-                parent = F.filter(beam, lambda p: (F.size(b["prefix"]) > 0) & (p["prefix"] == shorter))
+                parent = F.filter(beam, lambda p: (F.size(p["prefix"]) == F.size(b["head"])) & (p["prefix"] == b["head"]))
                 read = F.array_contains(tried, own) & (F.size(b["prefix"]) > 0)
                 brought = F.when(read, F.coalesce(F.get(F.transform(parent, lambda p: longer(p, own, row, ctc.log_sum(p["blank"], p["other"]))), F.lit(0)), F.lit(NEVER))).otherwise(NEVER)
                 again = F.when(read, b["other"] + F.get(row, own)).otherwise(NEVER)
                 parts = F.struct((ctc.log_sum(b["blank"], b["other"]) + F.get(row, F.lit(0))).alias("blank"), ctc.log_sum(again, brought).alias("other"))
-                return let(parts, lambda s: entry(b["prefix"], s["blank"], s["other"], ctc.log_sum(s["blank"], s["other"]), b["gain"]))
+                return let(parts, lambda s: entry(b["prefix"], b["head"], s["blank"], s["other"], ctc.log_sum(s["blank"], s["other"]), b["gain"]))
 
             def grows(b: Column) -> Column:
-                deeper = F.filter(beam, lambda q: (F.size(q["prefix"]) == F.size(b["prefix"]) + 1) & (F.slice(q["prefix"], F.lit(1), F.size(b["prefix"])) == b["prefix"]))
+                deeper = F.filter(beam, lambda q: (F.size(q["prefix"]) == F.size(b["prefix"]) + 1) & (q["head"] == b["prefix"]))
                 there = F.transform(deeper, lambda q: last(q["prefix"]))
                 fresh = F.array_except(tried, there)
                 # without paths that end in a blank the weight is that of the others
-                added = lambda c, total: entry(F.concat(b["prefix"], F.array(c)), F.lit(NEVER), longer(b, c, row, total), longer(b, c, row, total), b["gain"] + gain(b["prefix"], c))
+                added = lambda c, total: let(longer(b, c, row, total), lambda w: entry(F.concat(b["prefix"], F.array(c)), b["prefix"], F.lit(NEVER), w, w, b["gain"] + gain(b["prefix"], c)))
                 return let(ctc.log_sum(b["blank"], b["other"]), lambda total: F.transform(fresh, lambda c: added(c, total)))
 
             return F.concat(F.transform(beam, stays), F.flatten(F.transform(beam, grows)))

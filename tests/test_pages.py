@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from inkline.functions import ctc, pixels
 from inkline.operators import beam, ngram, packed, profile, raster
+from inkline.plans import pages
+from inkline.plans.queries import QUERIES
 
 RASTER = "page long, y int, x int, v int"
 
@@ -387,3 +389,16 @@ def test_the_model_is_not_shuffled_for_a_lookup(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_letters_after_letters(spark):
+    texts = ["aaaa", "abab#aa", "", None, "é😀ab a", "aaa##", "b", "##a-"]
+    found = {(r.context, r.token): r.p for r in pages.letters_after(spark.createDataFrame([(t,) for t in texts], "text string"), ["a", "b", "#"]).collect()}
+    pairs = Counter(p for t in texts if t for p in zip(["<s>", *t], t, strict=False))
+    total = Counter(a for p, n in pairs.items() for a in [p[0]] * n)
+    assert found == {(a, b): n / total[a] for (a, b), n in pairs.items() if a in ("<s>", "a", "b", "#") and b in "ab#"}
+
+
+def test_characters_of_texts_are_no_rows(spark, sf):
+    plan = QUERIES["prefix_beam_lm"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(text" not in plan and "Generate explode(zip_with" not in plan
